@@ -32,7 +32,7 @@ def parse_request_date(c: str | Column,
                     F.initcap(F.lower(F.split_part(text, F.lit("-"), F.lit(2)))),
                     F.lit("-"), F.split_part(text, F.lit("-"), F.lit(3)))
     two_digit_year = F.split_part(text, F.lit("-"), F.lit(3)).rlike("^[0-9]{2}$")
-    parsed = F.when(two_digit_year, F.try_to_date(norm, F.lit(REQUEST_DATE_PATTERN)))
+    parsed = F.when(two_digit_year, F.try_to_date(norm, REQUEST_DATE_PATTERN))
     ref = F.lit(reference_date)
     # yy -> 20yy by Spark; move back a century when beyond the window.
     return F.when(parsed > F.add_months(ref, 12 * YEARS_AHEAD),
