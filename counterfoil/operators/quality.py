@@ -137,9 +137,9 @@ def validate_tables(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def split_valid(df: DataFrame, violations: DataFrame, key) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` without / with a violation on ``key``."""
-    bad = violations.select(F.col("row_key")).distinct()
+def split_valid(df: DataFrame, violations: DataFrame, table: str, key) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` (table ``table``) without / with a violation on ``key``."""
+    bad = violations.filter(F.col("table_name") == table).select("row_key").distinct()
     keyed = df.withColumn("_row_key", _key(key))
     valid = keyed.join(bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti").drop("_row_key")
     rejected = keyed.join(bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_semi").drop("_row_key")
