@@ -31,6 +31,7 @@ class Placement:
     tables: Tables          # tables with the accepted orders applied
     decisions: DataFrame    # seq, accepted, reason, order_id (NULL if no id used)
     rounds: int
+    next_id: int            # next free order id (ids are not reused after a rejection)
 
 
 def next_order_id(t: Tables) -> int:
@@ -51,7 +52,9 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
     lines = I.explode_order_lines(requests)
     adm = admit_orders(validated, lines, t.inventory)
     decided = validated.drop("reason").join(adm.decisions, "seq")
-    numbered = I.assign_order_ids(decided, id_start if id_start is not None else next_order_id(t))
+    start = id_start if id_start is not None else next_order_id(t)
+    numbered = I.assign_order_ids(decided, start)
+    top = numbered.agg(F.max("order_id")).first()[0]
     accepted = numbered.filter(F.col("accepted"))
     new_lines = I.build_order_products(accepted, lines)
     tables = t.replace(
@@ -62,14 +65,15 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
         collections=t.collections.unionByName(I.build_collections(accepted)),
         deliveries=t.deliveries.unionByName(I.build_deliveries(accepted)))
     decisions = numbered.select("seq", "accepted", "reason", "order_id")
-    return Placement(tables, decisions, adm.rounds)
+    return Placement(tables, decisions, adm.rounds, start if top is None else top + 1)
 
 
 def run_placement(t: Tables, requests: DataFrame, root: str, job_id: str | None = None,
                   **kwargs) -> tuple[int, Placement]:
     """C9 + S14: place a batch and publish the resulting tables."""
     placed = place_orders(t, requests, **kwargs)
-    version = publish(placed.tables, root, {"job": "placement", "rounds": placed.rounds}, job_id)
+    version = publish(placed.tables, root, {"job": "placement", "rounds": placed.rounds,
+                                            "next_order_id": placed.next_id}, job_id)
     return version, placed
 
 
