@@ -11,11 +11,24 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.dates import parse_request_date
+from ..operators import display as D
+from ..operators import expiry as E
+from ..operators import intake as I
+from ..operators import quality as V
 from ..operators import reports as R
-from ..sources.testdata import bind_tables
+from ..operators import stock as S
+from ..operators.admission import admit_orders
+from ..sources.schemas import MAX_TEXT as V_MAX_TEXT
+from ..sources.schemas import TABLE_SCHEMAS
+from ..sources.testdata import bind_requests, bind_tables
 from . import oracle as O
+from .jobs import place_orders
 
 
 @dataclass(frozen=True)
@@ -229,3 +242,300 @@ JOIN need ON need.yr = r12.yr AND need.n_products = r12.n_products""", "region")
     def _q13(spark, sf_dir, _m=_mode):
         return R.employees_of_the_year(bind_tables(spark, sf_dir, "region"), None, YEAR_PRODUCT_MIN,
                                        staff_min=YEAR_STAFF_MIN, mode=_m)
+
+
+@register("r14_report_lines", O.with_binding("""
+SELECT printf('%-30s%-1s%-30s%-1s%-30s', CAST(i.product_id AS VARCHAR) || ',', ' ',
+              i.product_desc || ',', ' ',
+              '£' || CAST(CAST(trunc(COALESCE(i.price * p.units, 0)) AS BIGINT) AS VARCHAR)) AS line
+FROM b_inventory i
+LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM b_lines GROUP BY product_id) p
+  ON p.product_id = i.product_id
+"""))
+def q_report_lines(spark, sf_dir):
+    return D.report_lines(R.product_revenue(bind_tables(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ expiry
+
+EXPIRY_AS_OF = _dt.date(1998, 1, 1)     # about a third of the order dates precede it
+EXPIRED_SQL = f"""
+  uncollected AS (SELECT o.order_id, c.collection_date
+                  FROM b_orders o JOIN b_collections c ON c.order_id = o.order_id
+                  WHERE o.completed = 0),
+  expired AS (SELECT DISTINCT order_id FROM uncollected
+              WHERE collection_date + 8 <= DATE '{EXPIRY_AS_OF}'),
+  removed AS (SELECT order_id FROM expired
+              WHERE order_id NOT IN (SELECT order_id FROM b_deliveries))"""
+
+
+@register("e1_uncollected_collections", O.with_binding(f"WITH {EXPIRED_SQL}\nSELECT * FROM uncollected"))
+def q_uncollected(spark, sf_dir):
+    return E.uncollected_collections(bind_tables(spark, sf_dir))
+
+
+@register("e2_expired_orders", O.with_binding(f"""WITH {EXPIRED_SQL}
+SELECT * FROM uncollected WHERE collection_date + 8 <= DATE '{EXPIRY_AS_OF}'"""))
+def q_expired(spark, sf_dir):
+    return E.expired_orders(bind_tables(spark, sf_dir), EXPIRY_AS_OF)
+
+
+@register("e3_remove_old_orders", O.with_binding(f"""WITH {EXPIRED_SQL}
+SELECT * FROM b_orders WHERE order_id NOT IN (SELECT order_id FROM removed)"""))
+def q_remove_old(spark, sf_dir):
+    return E.remove_old_orders(bind_tables(spark, sf_dir), EXPIRY_AS_OF)
+
+
+@register("e4_cascade_order_products", O.with_binding(f"""WITH {EXPIRED_SQL}
+SELECT * FROM b_lines WHERE order_id NOT IN (SELECT order_id FROM removed)"""))
+def q_cascade_lines(spark, sf_dir):
+    return E.expire_collections(bind_tables(spark, sf_dir), EXPIRY_AS_OF).tables.order_products
+
+
+@register("e4_cascade_collections", O.with_binding(f"""WITH {EXPIRED_SQL}
+SELECT * FROM b_collections WHERE order_id NOT IN (SELECT order_id FROM removed)"""))
+def q_cascade_collections(spark, sf_dir):
+    return E.expire_collections(bind_tables(spark, sf_dir), EXPIRY_AS_OF).tables.collections
+
+
+@register("e4_cascade_staff_orders", O.with_binding(f"""WITH {EXPIRED_SQL}
+SELECT * FROM b_staff_orders WHERE order_id NOT IN (SELECT order_id FROM removed)"""))
+def q_cascade_links(spark, sf_dir):
+    return E.expire_collections(bind_tables(spark, sf_dir), EXPIRY_AS_OF).tables.staff_orders
+
+
+DISCONTINUE_BELOW = 100   # E5: products with less stock than this are removed
+
+
+@register("e5_cascade_from_parent", O.with_binding(f"""
+SELECT * FROM b_lines WHERE product_id NOT IN
+  (SELECT product_id FROM b_inventory WHERE stock < {DISCONTINUE_BELOW})"""))
+def q_cascade_parent(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    gone = t.inventory.filter(F.col("stock") < DISCONTINUE_BELOW).select("product_id")
+    return E.remove_products(t, gone).order_products
+
+
+@register("e6_expire_collections_stock", O.with_binding(f"""WITH {EXPIRED_SQL}
+SELECT i.product_id, i.product_desc, i.price, i.stock + COALESCE(r.q, 0) AS stock
+FROM b_inventory i LEFT JOIN (
+  SELECT product_id, SUM(quantity) AS q FROM b_lines
+  WHERE order_id IN (SELECT order_id FROM removed) GROUP BY product_id) r
+ON r.product_id = i.product_id"""))
+def q_expire_stock(spark, sf_dir):
+    return E.expire_collections(bind_tables(spark, sf_dir), EXPIRY_AS_OF).tables.inventory
+
+
+@register("e6_cancelled_orders", O.with_binding(f"WITH {EXPIRED_SQL}\nSELECT order_id FROM removed"))
+def q_cancelled(spark, sf_dir):
+    return E.expire_collections(bind_tables(spark, sf_dir), EXPIRY_AS_OF).cancelled
+
+
+# ------------------------------------------------------------------ stock
+
+@register("d1_reduce_stock", O.with_binding("""
+SELECT i.product_id, i.product_desc, i.price, i.stock - COALESCE(s.q, 0) AS stock
+FROM b_inventory i LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM b_lines GROUP BY product_id) s
+ON s.product_id = i.product_id"""))
+def q_reduce_stock(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    return S.reduce_stock(t.inventory, t.order_products)
+
+
+@register("d2_restock", O.with_binding("""
+SELECT i.product_id, i.product_desc, i.price, i.stock + COALESCE(s.q, 0) AS stock
+FROM b_inventory i LEFT JOIN (
+  SELECT l.product_id, SUM(l.quantity) AS q FROM b_lines l JOIN b_orders o ON o.order_id = l.order_id
+  WHERE o.completed = 0 GROUP BY l.product_id) s
+ON s.product_id = i.product_id"""))
+def q_restock(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    open_lines = t.order_products.join(t.orders.filter(F.col("completed") == 0), "order_id", "left_semi")
+    return S.restock(t.inventory, open_lines)
+
+
+# Request lines in array order: gathered per order, sorted by the full line.
+REQUEST_LINES_SQL = """
+  req_lines AS (SELECT CAST(l_orderkey AS BIGINT) AS seq,
+                       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
+                            l_quantity, l_suppkey, l_shipdate) - 1 AS INTEGER) AS pos,
+                       CAST(l_partkey AS BIGINT) AS product_id, CAST(l_quantity AS INTEGER) AS quantity
+                FROM lineitem)"""
+
+
+@register("d3_stock_levels", O.with_binding(f"""WITH {REQUEST_LINES_SQL}
+SELECT r.seq, r.pos, r.product_id, i.stock FROM req_lines r
+LEFT JOIN b_inventory i ON i.product_id = r.product_id"""))
+def q_stock_levels(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    return S.stock_levels(t.inventory, I.explode_order_lines(bind_requests(spark, sf_dir)))
+
+
+@register("d4_sufficient_stock", O.with_binding("""
+SELECT l.product_id, l.order_id, l.quantity, i.stock, i.stock >= l.quantity AS sufficient
+FROM b_lines l LEFT JOIN b_inventory i ON i.product_id = l.product_id"""))
+def q_sufficient(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    return S.sufficient_stock(t.order_products, t.inventory)
+
+
+@register("d5_fulfilment_type", O.with_binding("""
+SELECT o.order_id, 'InStore' AS stored_type,
+       CASE WHEN o.order_id IN (SELECT order_id FROM b_deliveries) THEN 'Delivery'
+            WHEN o.order_id IN (SELECT order_id FROM b_collections) THEN 'Collection'
+            ELSE 'InStore' END AS order_type
+FROM b_orders o"""))
+def q_fulfilment(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    # data as the reference stored it: every order typed 'InStore' (Q1)
+    stored = t.orders.withColumn("order_type", F.lit("InStore"))
+    return S.fulfilment_type(stored, t.collections, t.deliveries)
+
+
+# ------------------------------------------------------------------ integrity
+
+def _integrity_sql() -> str:
+    """Every V1-V8 rule as SQL over the bound tables, one SELECT per rule."""
+    names = {"inventory": "b_inventory", "orders": "b_orders", "order_products": "b_lines",
+             "deliveries": "b_deliveries", "collections": "b_collections", "staff": "b_staff",
+             "staff_orders": "b_staff_orders"}
+    keys = {"order_products": ["order_id", "product_id"], "deliveries": ["order_id"],
+            "collections": ["order_id"], "staff_orders": ["staff_id", "order_id"],
+            **V.PRIMARY_KEYS}
+
+    def key(cols, alias=""):
+        return " || '|' || ".join(f"COALESCE(CAST({alias}{c} AS VARCHAR), 'NULL')" for c in cols)
+
+    parts = []
+    for t, k in V.PRIMARY_KEYS.items():
+        nulls = " OR ".join(f"{c} IS NULL" for c in k)
+        parts.append(f"SELECT 'V1' AS rule, '{t}' AS table_name, {key(k)} AS row_key FROM {names[t]} "
+                     f"GROUP BY {', '.join(k)} HAVING COUNT(*) > 1 OR {nulls}")
+    for child, col, parent, pcol in V.FOREIGN_KEYS:
+        parts.append(f"SELECT 'V2', '{child}', {key([col])} FROM {names[child]} "
+                     f"WHERE {col} IS NULL OR {col} NOT IN (SELECT {pcol} FROM {names[parent]} "
+                     f"WHERE {pcol} IS NOT NULL)")
+    parts.append("SELECT 'V3', 'orders', " + key(["order_id"]) + " FROM b_orders WHERE order_type IS NULL "
+                 "OR order_type NOT IN ('InStore', 'Collection', 'Delivery')")
+    parts.append("SELECT 'V4', 'orders', " + key(["order_id"]) + " FROM b_orders WHERE completed IS NULL "
+                 "OR completed NOT IN (0, 1)")
+    for t, schema in TABLE_SCHEMAS.items():
+        for f in schema.fields:
+            if not f.nullable:
+                parts.append(f"SELECT 'V5', '{t}', {key(keys[t])} FROM {names[t]} WHERE {f.name} IS NULL")
+    parts.append("SELECT 'V6', 'order_products', " + key(["order_id", "product_id"]) +
+                 " FROM b_lines WHERE quantity <= 0")
+    for t, col in (("collections", "collection_date"), ("deliveries", "delivery_date")):
+        parts.append(f"SELECT 'V7', '{t}', {key(['order_id'], 'x.')} FROM {names[t]} x "
+                     f"JOIN b_orders o ON o.order_id = x.order_id WHERE x.{col} < o.order_placed")
+    for t, cols in V.TEXT_COLUMNS.items():
+        for c in cols:
+            parts.append(f"SELECT 'V8', '{t}', {key(keys[t])} FROM {names[t]} WHERE length({c}) > {V_MAX_TEXT}")
+    parts.append(f"SELECT 'V8', 'inventory', {key(['product_id'])} FROM b_inventory "
+                 f"WHERE abs(price) >= {V.MAX_PRICE_EXCLUSIVE}")
+    return O.with_binding("\nUNION ALL ".join(parts))
+
+
+@register("v_integrity_violations", _integrity_sql())
+def q_integrity(spark, sf_dir):
+    return V.validate_tables(bind_tables(spark, sf_dir)).select("rule", "table_name", "row_key")
+
+
+# ------------------------------------------------------------------ intake
+
+@register("c1_explode_order_lines", O.with_binding(f"WITH {REQUEST_LINES_SQL}\nSELECT * FROM req_lines"))
+def q_explode(spark, sf_dir):
+    return I.explode_order_lines(bind_requests(spark, sf_dir))
+
+
+@register("c10_parse_request_date", O.with_binding("""
+SELECT o.order_id AS seq, o.order_placed AS sale_day, COALESCE(c.collection_date, d.delivery_date) AS due_day
+FROM b_orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l.l_orderkey = o.order_id
+LEFT JOIN b_collections c ON c.order_id = o.order_id
+LEFT JOIN b_deliveries d ON d.order_id = o.order_id"""))
+def q_parse_dates(spark, sf_dir):
+    reqs = bind_requests(spark, sf_dir)
+    return reqs.select("seq", parse_request_date("sale_date").alias("sale_day"),
+                       parse_request_date("due_date").alias("due_day"))
+
+
+ID_START = 1_000_000
+
+
+@register("c2_assign_order_ids", O.with_binding(f"""
+SELECT o.order_id AS seq, {ID_START} - 1 + row_number() OVER (ORDER BY o.order_id) AS order_id
+FROM b_orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l.l_orderkey = o.order_id"""))
+def q_assign_ids(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    v = I.validate_requests(bind_requests(spark, sf_dir), t.inventory, t.staff)
+    return I.assign_order_ids(v.select("seq", "reason"), ID_START).select("seq", "order_id")
+
+
+def _replay(spark, sf_dir):
+    """Every source order replayed as a request into an empty ledger with
+    untracked stock: all are accepted, so the built rows are checkable."""
+    t = bind_tables(spark, sf_dir)
+    empty = t.replace(**{n: getattr(t, n).limit(0) for n in
+                         ("orders", "order_products", "staff_orders", "collections", "deliveries")},
+                      inventory=t.inventory.withColumn("stock", F.lit(None).cast("long")))
+    return place_orders(empty, bind_requests(spark, sf_dir), id_start=ID_START).tables
+
+
+REPLAY_SQL = f"""
+  ids AS (SELECT o.order_id AS seq, {ID_START} - 1 + row_number() OVER (ORDER BY o.order_id) AS order_id
+          FROM b_orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l.l_orderkey = o.order_id)"""
+
+
+@register("c4_build_orders", O.with_binding(f"""WITH {REPLAY_SQL}
+SELECT ids.order_id, o.order_type, CAST(CASE WHEN o.order_type = 'InStore' THEN 1 ELSE 0 END AS INTEGER) AS completed,
+       o.order_placed
+FROM ids JOIN b_orders o ON o.order_id = ids.seq"""))
+def q_build_orders(spark, sf_dir):
+    return _replay(spark, sf_dir).orders
+
+
+@register("c5_build_order_products", O.with_binding(f"""WITH {REPLAY_SQL}
+SELECT ids.order_id, l.product_id, l.quantity FROM ids JOIN b_lines l ON l.order_id = ids.seq"""))
+def q_build_lines(spark, sf_dir):
+    return _replay(spark, sf_dir).order_products
+
+
+@register("c6_build_staff_orders", O.with_binding(f"""WITH {REPLAY_SQL}
+SELECT s.staff_id, ids.order_id FROM ids JOIN b_staff_orders s ON s.order_id = ids.seq""", "region"))
+def q_build_links(spark, sf_dir):
+    t = bind_tables(spark, sf_dir, "region")
+    empty = t.replace(**{n: getattr(t, n).limit(0) for n in
+                         ("orders", "order_products", "staff_orders", "collections", "deliveries")},
+                      inventory=t.inventory.withColumn("stock", F.lit(None).cast("long")))
+    return place_orders(empty, bind_requests(spark, sf_dir, "region"), id_start=ID_START).tables.staff_orders
+
+
+@register("c7_build_collections", O.with_binding(f"""WITH {REPLAY_SQL}
+SELECT ids.order_id, c.fname, c.lname, c.collection_date FROM ids JOIN b_collections c ON c.order_id = ids.seq"""))
+def q_build_collections(spark, sf_dir):
+    return _replay(spark, sf_dir).collections
+
+
+@register("c8_build_deliveries", O.with_binding(f"""WITH {REPLAY_SQL}
+SELECT ids.order_id, d.fname, d.lname, d.house, d.street, d.city, d.delivery_date
+FROM ids JOIN b_deliveries d ON d.order_id = ids.seq"""))
+def q_build_deliveries(spark, sf_dir):
+    return _replay(spark, sf_dir).deliveries
+
+
+# Admission with the binding's stock is iterative: no SQL twin; checked
+# against a sequential fold in tests/test_admission.py.
+@register("c3_admit_orders", None)
+def q_admit(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    reqs = bind_requests(spark, sf_dir)
+    v = I.validate_requests(reqs, t.inventory, t.staff)
+    return admit_orders(v, I.explode_order_lines(reqs), t.inventory).decisions
+
+
+@register("c9_place_orders", None)
+def q_place(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    empty = t.replace(**{n: getattr(t, n).limit(0) for n in
+                         ("orders", "order_products", "staff_orders", "collections", "deliveries")})
+    return place_orders(empty, bind_requests(spark, sf_dir), id_start=ID_START).decisions
