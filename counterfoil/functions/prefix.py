@@ -29,20 +29,25 @@ def block_width_for(position_range: int) -> int:
 
 
 def exclusive_prefix_sums(df: DataFrame, key: str, pos: str, values: dict[str, str],
-                          width: int) -> DataFrame:
+                          width: int, key_totals: dict[str, str] | None = None) -> DataFrame:
     """Add, for each ``out: col`` in ``values``, the sum of ``col`` over
     earlier rows (smaller ``pos``) of the same ``key``; positions must be
-    unique within a key."""
+    unique within a key.  ``key_totals`` (``out: col``) adds the sum of
+    ``col`` over all rows of the key, taken from the same block totals."""
+    key_totals = key_totals or {}
     blk = F.floor(F.col(pos) / F.lit(width)).cast("long")
     df = df.withColumn("_blk", blk)
     within = Window.partitionBy(key, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     for out, col in values.items():
         df = df.withColumn(f"_in_{out}", F.coalesce(F.sum(col).over(within), F.lit(0)))
-    totals = df.groupBy(key, "_blk").agg(*[F.sum(col).alias(f"_tot_{out}") for out, col in values.items()])
+    sums = {**{f"_tot_{out}": col for out, col in values.items()},
+            **{f"_all_{out}": col for out, col in key_totals.items()}}
+    totals = df.groupBy(key, "_blk").agg(*[F.sum(col).alias(name) for name, col in sums.items()])
     before = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(key)
     offsets = totals.select(key, "_blk", *[
         F.coalesce(F.sum(f"_tot_{out}").over(before), F.lit(0)).alias(f"_off_{out}")
-        for out in values])
+        for out in values], *[F.sum(f"_all_{out}").over(whole).alias(out) for out in key_totals])
     joined = df.join(offsets, [key, "_blk"])
     for out in values:
         joined = joined.withColumn(out, F.col(f"_in_{out}") + F.col(f"_off_{out}"))

@@ -32,6 +32,7 @@ one round deep and a lost executor recomputes at most one round.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,12 +63,15 @@ def contested_demand(lines: DataFrame, eligible: DataFrame, inventory: DataFrame
 
 
 def _round(state: DataFrame, width: int) -> DataFrame:
-    """One fixpoint round over (seq, product_id, qty, stock, st)."""
-    live = state.filter(F.col("st") != REJECTED)
-    sums = exclusive_prefix_sums(
-        live.withColumn("_a", F.when(F.col("st") == ACCEPTED, F.col("qty")).otherwise(F.lit(0)))
-            .withColumn("_o", F.when(F.col("st") == OPEN, F.col("qty")).otherwise(F.lit(0))),
-        "product_id", "seq", {"lo": "_a", "open_before": "_o"}, width)
+    """One fixpoint round over (seq, product_id, qty, stock, st), st in
+    {A, O}.  Returns the judged lines with ``st`` in {A, R, O} and
+    ``open_after``: open quantity later on the same product (before this
+    round's decisions), used to prune accepted lines nobody depends on."""
+    marked = (state
+              .withColumn("_a", F.when(F.col("st") == ACCEPTED, F.col("qty")).otherwise(F.lit(0)))
+              .withColumn("_o", F.when(F.col("st") == OPEN, F.col("qty")).otherwise(F.lit(0))))
+    sums = exclusive_prefix_sums(marked, "product_id", "seq", {"lo": "_a", "open_before": "_o"},
+                                 width, key_totals={"open_total": "_o"})
     per_order = Window.partitionBy("seq")
     fits = (F.col("lo") + F.col("open_before") + F.col("qty") <= F.col("stock"))
     fails = (F.col("lo") + F.col("qty") > F.col("stock"))
@@ -78,9 +82,9 @@ def _round(state: DataFrame, width: int) -> DataFrame:
            .when(F.col("_any_fail") == 1, REJECTED)
            .when(F.col("_all_fit") == 1, ACCEPTED)
            .otherwise(OPEN))
-    decided_now = state.filter(F.col("st") == REJECTED)
-    return (judged.select("seq", "product_id", "qty", "stock", st.alias("st"))
-            .unionByName(decided_now))
+    open_after = F.col("open_total") - F.col("open_before") - F.col("_o")
+    return judged.select("seq", "product_id", "qty", "stock", st.alias("st"),
+                         open_after.alias("open_after"))
 
 
 def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
@@ -90,35 +94,44 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
     ``validated``: requests with ``reason`` (NULL = passed validation);
     ``lines``: (seq, pos, product_id, quantity); ``inventory``: current stock.
     ``max_rounds`` only guards against a defect: exceeding it raises.
+
+    Between rounds the state keeps open lines and the accepted lines that
+    an open line after them on the same product depends on; rejected lines
+    and accepted lines with nothing open after them can no longer change
+    any decision and are dropped (the open set only shrinks).
     """
     spark = validated.sparkSession
     ensure_checkpoint_dir(spark)
-    eligible = validated.filter(F.col("reason").isNull()).select("seq")
+    verdicts = validated.select("seq", "reason").checkpoint(eager=True)
+    eligible = verdicts.filter(F.col("reason").isNull()).select("seq")
     span = eligible.agg(F.min("seq"), F.max("seq")).first()
     width = block_width_for((span[1] - span[0]) if span[0] is not None else 0)
 
     state = (contested_demand(lines, eligible, inventory)
              .withColumn("st", F.lit(OPEN))
              .checkpoint(eager=True))
+    open_lines = state.count()
+    rejected = []
     rounds = 0
-    open_now = state.filter(F.col("st") == OPEN).select("seq").distinct().count()
-    while open_now:
+    while open_lines:
         if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"admission still has {open_now} open orders after {rounds} rounds")
-        state = _round(state, width).checkpoint(eager=True)
+            raise RuntimeError(f"admission still has {open_lines} open lines after {rounds} rounds")
+        judged = _round(state, width).checkpoint(eager=True)
         rounds += 1
-        left = state.filter(F.col("st") == OPEN).select("seq").distinct().count()
-        if left >= open_now:
+        rejected.append(judged.filter(F.col("st") == REJECTED).select("seq"))
+        state = judged.filter((F.col("st") == OPEN) |
+                              ((F.col("st") == ACCEPTED) & (F.col("open_after") > 0))).drop("open_after")
+        left = judged.filter(F.col("st") == OPEN).count()
+        if left >= open_lines:
             raise RuntimeError("admission round made no progress")  # impossible by construction
-        open_now = left
-
-    stock_rejected = (state.filter(F.col("st") == REJECTED).select("seq").distinct()
-                      .withColumn("_stock", F.lit(True)))
-    decisions = (validated.select("seq", "reason")
-                 .join(stock_rejected, "seq", "left")
-                 .select("seq",
-                         F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(), F.lit("stock"))
-                          .otherwise(F.col("reason")).alias("reason")))
-    decisions = decisions.withColumn("accepted", F.col("reason").isNull())
-    return Admission(decisions.select("seq", "accepted", "reason"), rounds)
-
+        open_lines = left
+
+    decisions = verdicts
+    if rejected:
+        stock_rejected = (reduce(DataFrame.unionByName, rejected).distinct()
+                          .withColumn("_stock", F.lit(True)))
+        decisions = (verdicts.join(stock_rejected, "seq", "left")
+                     .withColumn("reason", F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(),
+                                                  F.lit("stock")).otherwise(F.col("reason"))))
+    decisions = decisions.select("seq", F.col("reason").isNull().alias("accepted"), "reason")
+    return Admission(decisions, rounds)
