@@ -3,7 +3,7 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Each query runs to completion through a ``noop`` sink (every row produced,
-nothing collected).  Prints one JSON line:
+nothing collected), once cold and once warm; the warm time is reported.  Prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 """
 
@@ -59,7 +59,7 @@ def main():
 
     def admit():
         t = bind_tables(spark, sf_dir)
-        reqs = bind_requests(spark, sf_dir)
+        reqs = bind_requests(spark, sf_dir).checkpoint(eager=True)
         v = I.validate_requests(reqs, t.inventory, t.staff)
         adm = admit_orders(v, I.explode_order_lines(reqs), t.inventory)
         run(adm.decisions)
@@ -77,19 +77,21 @@ def main():
     if only:
         queries = {k: v for k, v in queries.items() if re.search(only, k)}
 
-    # warm the JVM and the file listing cache once
-    run(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey"))
-    times, extra = {}, {}
+    # Each query runs twice in one session: the first (cold: class loading,
+    # code generation, file listing) is reported separately; the second
+    # (warm) is the measured time.
+    times, cold, extra = {}, {}, {}
     for name, fn in queries.items():
-        t0 = time.perf_counter()
-        out = fn()
-        times[name] = round(time.perf_counter() - t0, 3)
+        for attempt in ("cold", "warm"):
+            t0 = time.perf_counter()
+            out = fn()
+            (cold if attempt == "cold" else times)[name] = round(time.perf_counter() - t0, 3)
         if out is not None:
             extra[f"{name}_rounds"] = out
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(sf.group(1)) if sf else sf_dir,
-                      "cpus": int(cpus), **extra}))
+                      "cpus": int(cpus), "cold": cold, **extra}))
     spark.stop()
 
 

@@ -28,13 +28,28 @@ def block_width_for(position_range: int) -> int:
     return max(1, math.isqrt(max(position_range, 0)) + 1)
 
 
+def _single_level(df, key, pos, values, key_totals):
+    before = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(key)
+    for out, col in values.items():
+        df = df.withColumn(out, F.coalesce(F.sum(col).over(before), F.lit(0)))
+    for out, col in key_totals.items():
+        df = df.withColumn(out, F.sum(col).over(whole))
+    return df
+
+
 def exclusive_prefix_sums(df: DataFrame, key: str, pos: str, values: dict[str, str],
-                          width: int, key_totals: dict[str, str] | None = None) -> DataFrame:
+                          width: int | None, key_totals: dict[str, str] | None = None) -> DataFrame:
     """Add, for each ``out: col`` in ``values``, the sum of ``col`` over
     earlier rows (smaller ``pos``) of the same ``key``; positions must be
     unique within a key.  ``key_totals`` (``out: col``) adds the sum of
-    ``col`` over all rows of the key, taken from the same block totals."""
+    ``col`` over all rows of the key, taken from the same block totals.
+
+    ``width=None`` uses one window per key: only for callers that have
+    measured their largest key group to be small."""
     key_totals = key_totals or {}
+    if width is None:
+        return _single_level(df, key, pos, values, key_totals)
     blk = F.floor(F.col(pos) / F.lit(width)).cast("long")
     df = df.withColumn("_blk", blk)
     within = Window.partitionBy(key, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)

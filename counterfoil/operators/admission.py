@@ -22,8 +22,10 @@ exactly -- no cap on rounds, no approximation.
 Work is cut before the rounds: requests failing validation are out;
 untracked products never constrain; a product whose total demand fits its
 stock cannot reject anybody.  Only lines on *contested* products iterate.
-Running sums use the two-level prefix of ``functions.prefix`` (a hot
-product is split into blocks, never one task), the all-or-nothing step is a
+Running sums are one window per product when the largest product group
+is measured to be small, else the two-level prefix of ``functions.prefix``
+(a hot product is split into blocks, never one task); the all-or-nothing
+step is a
 window per order (bounded by the lines of one order), and each round's
 state is checkpointed to the shared checkpoint folder so lineage stays
 one round deep and a lost executor recomputes at most one round.
@@ -42,6 +44,10 @@ from ..session import ensure_checkpoint_dir
 
 ACCEPTED, REJECTED, OPEN = "A", "R", "O"
 
+# A product with at most this many contested lines is summed in one window
+# partition; a larger (hot) product is split into blocks (two levels).
+SINGLE_WINDOW_MAX_LINES = 2_000_000
+
 
 @dataclass(frozen=True)
 class Admission:
@@ -104,13 +110,18 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
     ensure_checkpoint_dir(spark)
     verdicts = validated.select("seq", "reason").checkpoint(eager=True)
     eligible = verdicts.filter(F.col("reason").isNull()).select("seq")
-    span = eligible.agg(F.min("seq"), F.max("seq")).first()
-    width = block_width_for((span[1] - span[0]) if span[0] is not None else 0)
-
     state = (contested_demand(lines, eligible, inventory)
              .withColumn("st", F.lit(OPEN))
              .checkpoint(eager=True))
-    open_lines = state.count()
+    # Size check for the running sums: the largest product group decides
+    # between one window per product and the two-level split.
+    shape = (state.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+             .agg(F.max("n"), F.sum("n")).first())
+    open_lines = shape[1] or 0
+    width = None
+    if (shape[0] or 0) > SINGLE_WINDOW_MAX_LINES:
+        span = state.agg(F.min("seq"), F.max("seq")).first()
+        width = block_width_for(span[1] - span[0])
     rejected = []
     rounds = 0
     while open_lines:

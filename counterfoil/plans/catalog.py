@@ -28,6 +28,7 @@ from ..sources.schemas import MAX_TEXT as V_MAX_TEXT
 from ..sources.schemas import TABLE_SCHEMAS
 from ..sources.testdata import bind_requests, bind_tables
 from . import oracle as O
+from ..session import ensure_checkpoint_dir
 from .jobs import place_orders
 
 
@@ -528,7 +529,8 @@ def q_build_deliveries(spark, sf_dir):
 @register("c3_admit_orders", None)
 def q_admit(spark, sf_dir):
     t = bind_tables(spark, sf_dir)
-    reqs = bind_requests(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    reqs = bind_requests(spark, sf_dir).checkpoint(eager=True)
     v = I.validate_requests(reqs, t.inventory, t.staff)
     return admit_orders(v, I.explode_order_lines(reqs), t.inventory).decisions
 

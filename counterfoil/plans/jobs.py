@@ -48,6 +48,9 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
         kind = ORDER_KINDS[kind]
     if kind is not None:
         requests = requests.filter(F.col("order_type") == kind)
+    # read by validation, line explosion and the builders: materialise once
+    ensure_checkpoint_dir(requests.sparkSession)
+    requests = requests.checkpoint(eager=True)
     validated = I.validate_requests(requests, t.inventory, t.staff, reference_date)
     lines = I.explode_order_lines(requests)
     adm = admit_orders(validated, lines, t.inventory)

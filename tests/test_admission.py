@@ -82,8 +82,10 @@ def test_kind_filter(spark):
     assert [r["seq"] for r in placed.decisions.collect()] == [2]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_admission_equals_sequential_fold(spark, seed):
+@pytest.mark.parametrize("seed,split", [(1, False), (2, False), (3, True), (4, True)])
+def test_admission_equals_sequential_fold(spark, seed, split, monkeypatch):
+    if split:   # force the two-level (hot product) running sums
+        monkeypatch.setattr("counterfoil.operators.admission.SINGLE_WINDOW_MAX_LINES", 0)
     rnd = random.Random(seed)
     products = list(range(1, 9))
     stock = {p: rnd.choice([None, rnd.randint(0, 40)]) for p in products}
