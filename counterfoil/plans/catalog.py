@@ -168,15 +168,14 @@ def q_units_long(spark, sf_dir):
 # DuckDB's dynamic PIVOT must wrap a self-contained query (its column
 # discovery does not see outer CTEs).
 @register("r8_staff_product_crosstab", f"""
-SELECT staff_id, full_name, total_value, COALESCE(COLUMNS('^p_[0-9]+$'), CAST(0 AS BIGINT))
-FROM (PIVOT ({O.with_binding(f'''
+SELECT * FROM (PIVOT ({O.with_binding(f'''
 WITH {TOP_SQL},
   ranking AS (SELECT staff_id, fname || ' ' || lname AS full_name,
                      CAST(SUM(value_sold) AS DECIMAL(38,2)) AS total_value
               FROM sellers GROUP BY staff_id, fname, lname)
 SELECT r.staff_id, r.full_name, r.total_value, 'p_' || CAST(s.product_id AS VARCHAR) AS col, s.units_sold
 FROM ranking r JOIN sellers s ON s.staff_id = r.staff_id''')})
-      ON col USING first(units_sold) GROUP BY staff_id, full_name, total_value)
+      ON col USING CAST(COALESCE(SUM(units_sold), 0) AS BIGINT) GROUP BY staff_id, full_name, total_value)
 """)
 def q_crosstab(spark, sf_dir):
     return R.staff_product_crosstab(bind_tables(spark, sf_dir), TOP_PRODUCT_MIN)
