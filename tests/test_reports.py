@@ -118,3 +118,14 @@ def test_report_lines_truncate_pence(spark):
     assert lines[0] == "Bo Ray," + " " * 23 + " " + "£52551" + " " * 24
     prod = [r[0] for r in report_lines(R.product_revenue(g1(spark))).collect()]
     assert prod[2].startswith("3," + " " * 28 + " " + "Bolt," + " " * 25 + " £6")
+
+
+def test_sql_views(spark):
+    from counterfoil.plans.views import register_views
+    names = register_views(g1(spark), prefix="g1_")
+    assert "g1_product_revenue" in names and "g1_orders" in names
+    got = spark.sql("SELECT product_id FROM g1_product_revenue WHERE total_value > 20000 "
+                    "ORDER BY product_id").collect()
+    assert [r[0] for r in got] == [1, 2]
+    eoy = spark.sql("SELECT full_name FROM g1_employees_of_the_year WHERE yr = 2020").collect()
+    assert [r[0] for r in eoy] == ["Ada Li"]
