@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import as_money, line_value, meets
 from ..functions.names import full_name
+from ..session import ensure_checkpoint_dir
 from ..tables import Tables
 
 MODES = ("strict", "compat")
@@ -39,6 +40,14 @@ LIFETIME_SALES_MIN = 50000       # staff lifetime sales at or above
 YEARLY_SALES_MIN = 30000         # staff sales in a year at or above
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Materialise a small intermediate read by more than one branch of a
+    report (R9 inside R13, the crosstab's cells): one pass over the line
+    table instead of one per reader.  Written to the checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _check_mode(mode: str) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
@@ -170,7 +179,7 @@ def staff_product_crosstab(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool
     most ``max_columns + 1`` of them).  Past ``max_columns`` this refuses
     instead of truncating: use :func:`staff_product_units`.
     """
-    sellers = top_product_sellers(t, min_value, inclusive)
+    sellers = _small(top_product_sellers(t, min_value, inclusive))
     ids = [r[0] for r in sellers.select("product_id").distinct()
            .orderBy("product_id").limit(max_columns + 1).collect()]
     if len(ids) > max_columns:
@@ -201,10 +210,13 @@ def yearly_top_products(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool =
 
 
 def staff_top_products(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool = False,
-                       mode: str = "strict") -> DataFrame:
+                       mode: str = "strict", r9: DataFrame | None = None) -> DataFrame:
     """Distinct (yr, staff_id, product_id) where the staff member sold a
-    product of that year's R9 list: in that year (strict) or ever (compat)."""
-    r9 = yearly_top_products(t, min_value, inclusive, mode).select("yr", "product_id")
+    product of that year's R9 list: in that year (strict) or ever (compat).
+    ``r9`` may pass an already computed R9."""
+    if r9 is None:
+        r9 = yearly_top_products(t, min_value, inclusive, mode)
+    r9 = r9.select("yr", "product_id")
     candidates = t.order_products.select("order_id", "product_id").join(
         r9.select("product_id").distinct(), "product_id", "left_semi")
     if mode == "strict":
@@ -229,15 +241,16 @@ def yearly_staff_sales(t: Tables, min_total=YEARLY_SALES_MIN, inclusive: bool =
 
 def staff_yearly_coverage(t: Tables, product_min=TOP_PRODUCT_MIN, product_inclusive: bool = False,
                           staff_min=YEARLY_SALES_MIN, staff_inclusive: bool = True,
-                          mode: str = "strict") -> DataFrame:
+                          mode: str = "strict", r9: DataFrame | None = None) -> DataFrame:
     """(full_name, staff_id, yr, n_products): how many of the year's
     top products the staff member sold, for staff passing R11."""
-    counts = (staff_top_products(t, product_min, product_inclusive, mode)
+    counts = (staff_top_products(t, product_min, product_inclusive, mode, r9)
               .groupBy("staff_id", "yr").agg(F.count("product_id").alias("n_products")))
     passed = yearly_staff_sales(t, staff_min, staff_inclusive, mode).select("staff_id", "yr")
     if mode == "strict":
         kept = counts.join(passed, ["staff_id", "yr"], "left_semi")
     else:
+        passed = _small(passed)   # read twice: staff list and year list
         kept = (counts.join(passed.select("staff_id").distinct(), "staff_id", "left_semi")
                 .join(passed.select("yr").distinct(), "yr", "left_semi"))
     return (kept.join(t.staff, "staff_id")
@@ -260,9 +273,10 @@ def employees_of_the_year(t: Tables, year: int | None = None,
         start = F.make_date(F.lit(year), F.lit(1), F.lit(1))
         t = t.replace(orders=t.orders.filter(
             (F.col("order_placed") >= start) & (F.col("order_placed") < F.add_months(start, 12))))
-    needed = (yearly_top_products(t, product_min, product_inclusive, mode)
-              .groupBy("yr").agg(F.count(F.lit(1)).alias("n_products")))
-    cover = staff_yearly_coverage(t, product_min, product_inclusive, staff_min, staff_inclusive, mode)
+    r9 = _small(yearly_top_products(t, product_min, product_inclusive, mode))
+    needed = r9.groupBy("yr").agg(F.count(F.lit(1)).alias("n_products"))
+    cover = staff_yearly_coverage(t, product_min, product_inclusive, staff_min, staff_inclusive,
+                                  mode, r9)
     winners = cover.join(needed, ["yr", "n_products"]).select("yr", "staff_id", "full_name")
     if year is not None:
         winners = winners.filter(F.col("yr") == year)
