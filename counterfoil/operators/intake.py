@@ -61,17 +61,16 @@ def validate_requests(requests: DataFrame, inventory: DataFrame, staff: DataFram
     lines = explode_order_lines(requests)
     unknown_product = (lines.join(inventory.select("product_id"), "product_id", "left_anti")
                        .select("seq").distinct().withColumn("_no_product", F.lit(True)))
-    unknown_staff = (requests.select("seq", "staff_id")
-                     .join(staff.select("staff_id"), "staff_id", "left_anti")
-                     .select("seq").withColumn("_no_staff", F.lit(True)))
-    r = (r.join(unknown_product, "seq", "left").join(unknown_staff, "seq", "left"))
+    known_staff = staff.select("staff_id", F.lit(True).alias("_staff_ok"))
+    r = (r.join(known_staff, "staff_id", "left").join(unknown_product, "seq", "left")
+         .withColumn("_no_staff", F.col("_staff_ok").isNull()))
     reason = (F.when(~F.coalesce(F.col("order_type").isin(*ORDER_TYPES), F.lit(False)), "type")
               .when(~date_ok, "date")
               .when(~lines_ok, "lines")
               .when(~F.coalesce(qty_ok, F.lit(False)), "quantity")
               .when(F.coalesce(F.col("_no_product"), F.lit(False)), "product")
               .when(F.coalesce(F.col("_no_staff"), F.lit(False)), "staff"))
-    return r.withColumn("reason", reason).drop("_no_product", "_no_staff")
+    return r.withColumn("reason", reason).drop("_no_product", "_no_staff", "_staff_ok")
 
 
 def assign_order_ids(decided: DataFrame, start: int) -> DataFrame:

@@ -135,34 +135,62 @@ def _bind_staff(staff_by, typed, cust, nation, region):
 
 
 def bind_requests(spark: SparkSession, sf_dir: str, staff_by: str = "nation") -> DataFrame:
-    """Order requests replaying every source order (seq = order key).
+    """Order requests replaying every source order that has lines
+    (seq = order key), with the same derived fields as ``bind_tables``.
 
-    Lines are gathered per order (bounded by the lines of one order) and
-    ordered by the full line, so positions repeat run to run.
+    One pass: orders joined to their customer and nation (left joins, so an
+    order without a customer keeps NULL name and staff), plus the order's
+    lines gathered into arrays (bounded by the lines of one order, ordered
+    by the full line so positions repeat run to run).
     """
-    t = bind_tables(spark, sf_dir, staff_by)
+    if staff_by not in STAFF_BINDINGS:
+        raise ValueError(f"staff_by must be one of {STAFF_BINDINGS}")
+    src_orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
+    customer = _read(spark, sf_dir, "customer")
+    nation = _read(spark, sf_dir, "nation")
+
+    typed = src_orders.select(
+        F.col("o_orderkey").cast("long").alias("order_id"),
+        F.col("o_custkey").cast("long").alias("cust_id"),
+        _order_type(F.col("o_orderpriority")).alias("order_type"),
+        F.to_date("o_orderdate").alias("order_placed"))
+    fn, ln = split_name("c_name", "#")
+    cust = customer.select(F.col("c_custkey").cast("long").alias("cust_id"),
+                           fn.alias("c_fname"), ln.alias("c_lname"),
+                           F.col("c_nationkey").cast("long").alias("nation_id"),
+                           F.col("c_mktsegment").alias("segment"))
+    nat = nation.select(F.col("n_nationkey").cast("long").alias("nation_id"),
+                        F.col("n_name").alias("n_city"),
+                        F.col("n_regionkey").cast("long").alias("region_id"))
     lines = (lineitem.groupBy(F.col("l_orderkey").cast("long").alias("order_id"))
              .agg(F.array_sort(F.collect_list(F.struct(
                  F.col("l_linenumber"), F.col("l_partkey").cast("long").alias("p"),
                  F.col("l_quantity").cast("int").alias("q"), F.col("l_suppkey"),
                  F.col("l_shipdate")))).alias("ls")))
+    req = (typed.join(cust, "cust_id", "left").join(nat, "nation_id", "left")
+           .join(lines, "order_id"))
+
+    has_cust = F.col("c_fname").isNotNull()
+    has_city = has_cust & F.col("n_city").isNotNull()
+    is_coll = (F.col("order_type") == "Collection") & has_cust
+    is_deli = (F.col("order_type") == "Delivery") & has_city
+    named = is_coll | is_deli
     fmt = "dd-MMM-yy"
-    due = F.coalesce(F.col("c.collection_date"), F.col("d.delivery_date"))
-    req = (t.orders.alias("o")
-           .join(lines, "order_id")
-           .join(t.collections.alias("c"), "order_id", "left")
-           .join(t.deliveries.alias("d"), "order_id", "left")
-           .join(t.staff_orders.alias("s"), "order_id", "left"))
+    staff = {"nation": F.col("nation_id"),
+             "region": F.when(has_city, F.col("region_id")),
+             "customer": F.when(has_cust, F.col("cust_id"))}[staff_by]
     return req.select(
         F.col("order_id").alias("seq"),
-        F.col("o.order_type").alias("order_type"),
+        "order_type",
         F.col("ls.p").alias("products"),
         F.col("ls.q").alias("quantities"),
-        F.date_format("o.order_placed", fmt).alias("sale_date"),
-        F.date_format(due, fmt).alias("due_date"),
-        F.coalesce("c.fname", "d.fname").alias("fname"),
-        F.coalesce("c.lname", "d.lname").alias("lname"),
-        F.col("d.house").alias("house"), F.col("d.street").alias("street"),
-        F.col("d.city").alias("city"),
-        F.col("s.staff_id").alias("staff_id"))
+        F.date_format("order_placed", fmt).alias("sale_date"),
+        F.when(named, F.date_format(_due_date(F.col("order_placed"), F.col("order_id")), fmt))
+         .alias("due_date"),
+        F.when(named, F.col("c_fname")).alias("fname"),
+        F.when(named, F.col("c_lname")).alias("lname"),
+        F.when(is_deli, F.col("cust_id").cast("string")).alias("house"),
+        F.when(is_deli, F.col("segment")).alias("street"),
+        F.when(is_deli, F.col("n_city")).alias("city"),
+        staff.alias("staff_id"))
