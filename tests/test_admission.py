@@ -134,3 +134,26 @@ def test_admission_on_testdata_matches_fold(spark):
     expected, _ = sequential_admission([(s, items[s]) for s in ok], stock)
     assert {s: a for s, a in got.items() if s in ok} == expected
     assert 0 < sum(expected.values()) < len(expected)
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+_line = st.tuples(st.integers(1, 4), st.integers(1, 6))
+_requests = st.lists(st.lists(_line, min_size=1, max_size=3), min_size=1, max_size=25)
+_stock = st.lists(st.one_of(st.none(), st.integers(0, 15)), min_size=4, max_size=4)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(reqs=_requests, stock=_stock)
+def test_admission_property(spark, reqs, stock):
+    """Any request stream: Spark rounds == sequential fold, stock never negative."""
+    stock_map = dict(zip(range(1, 5), stock))
+    numbered = [(i + 1, items) for i, items in enumerate(reqs)]
+    expected, left = sequential_admission(numbered, stock_map)
+    inv = [(p, f"p{p}", D("1.00"), s) for p, s in stock_map.items()]
+    t = _tables(spark, inv)
+    df = spark.createDataFrame([request(s, items, 1) for s, items in numbered], REQUESTS)
+    v = I.validate_requests(df, t.inventory, t.staff)
+    adm = admit_orders(v, I.explode_order_lines(df), t.inventory)
+    assert {r["seq"]: r["accepted"] for r in adm.decisions.collect()} == expected
+    assert all(s is None or s >= 0 for s in left.values())

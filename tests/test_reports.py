@@ -129,3 +129,36 @@ def test_sql_views(spark):
     assert [r[0] for r in got] == [1, 2]
     eoy = spark.sql("SELECT full_name FROM g1_employees_of_the_year WHERE yr = 2020").collect()
     assert [r[0] for r in eoy] == ["Ada Li"]
+
+
+def _one_sale(spark, value_pennies, year=2020, staff=1):
+    """One in-store order of product 9 priced value/100 x 1 unit."""
+    from datetime import date
+    from counterfoil.tables import Tables
+    price = D(value_pennies) / 100
+    return Tables.from_rows(
+        spark, inventory=[(9, "P", price, None)], staff=[(1, "Ada", "Li"), (2, "Bo", "Ray")],
+        orders=[(1, "InStore", 1, date(year, 6, 1))], order_products=[(1, 9, 1)],
+        staff_orders=[(staff, 1)])
+
+
+@pytest.mark.parametrize("pennies,shown", [(4999999, False), (5000000, True)])
+def test_lifetime_boundary(spark, pennies, shown):
+    assert (R.staff_lifetime_sales(_one_sale(spark, pennies)).count() == 1) == shown
+
+
+@pytest.mark.parametrize("pennies,top", [(2000000, False), (2000001, True)])
+def test_yearly_top_product_boundary_is_strict(spark, pennies, top):
+    assert (R.yearly_top_products(_one_sale(spark, pennies)).count() == 1) == top
+
+
+@pytest.mark.parametrize("pennies,passed", [(2999999, False), (3000000, True)])
+def test_yearly_staff_sales_boundary_is_inclusive(spark, pennies, passed):
+    assert (R.yearly_staff_sales(_one_sale(spark, pennies)).count() == 1) == passed
+
+
+def test_single_order_worth_30k_is_employee_of_the_year(spark):
+    # one order, one product worth 30,000: top product (> 20,000) and 30k seller
+    out = R.employees_of_the_year(_one_sale(spark, 3000000), 2020)
+    assert [r["full_name"] for r in out.collect()] == ["Ada Li"]
+    assert R.employees_of_the_year(_one_sale(spark, 3000000), 2019).count() == 0
