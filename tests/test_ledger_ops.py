@@ -148,3 +148,21 @@ def test_publish_is_all_or_nothing(spark, scratch):
     back = read_version(spark, root)
     types = lambda df: [(f.name, f.dataType) for f in df.schema.fields]
     assert back.orders.count() == 6 and types(back.inventory) == types(t.inventory)
+
+
+def test_year_filter_and_columns_reach_the_scan(spark, scratch):
+    """On stored ledger tables a single-year report reads the orders file
+    with the date range pushed down and only the columns it needs."""
+    from counterfoil.operators import reports as R
+    from counterfoil.tables import Tables
+    root = f"{scratch}/ledger"
+    publish(g1(spark), root)
+    t = read_version(spark, root)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")   # untruncated filter lists
+    plan = R.employees_of_the_year(t, 2020)._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "FileScan" in ln and "/orders]" in ln]
+    assert scans
+    for ln in scans:
+        assert "GreaterThanOrEqual(order_placed,2020-01-01)" in ln
+        assert "LessThan(order_placed,2021-01-01)" in ln
+        assert "order_type" not in ln.split("ReadSchema:")[1]
