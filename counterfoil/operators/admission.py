@@ -25,8 +25,9 @@ stock cannot reject anybody.  Only lines on *contested* products iterate.
 Running sums are one window per product when the largest product group
 is measured to be small, else the two-level prefix of ``functions.prefix``
 (a hot product is split into blocks, never one task); the all-or-nothing
-step is a
-window per order (bounded by the lines of one order), and each round's
+step is a window per order, or -- when the largest order is measured to be
+too big for one task -- a per-order aggregate joined back on the order
+(partial aggregation, so a huge order is no single task); each round's
 state is checkpointed to the shared checkpoint folder so lineage stays
 one round deep and a lost executor recomputes at most one round.
 """
@@ -45,7 +46,9 @@ from ..session import ensure_checkpoint_dir
 ACCEPTED, REJECTED, OPEN = "A", "R", "O"
 
 # A product with at most this many contested lines is summed in one window
-# partition; a larger (hot) product is split into blocks (two levels).
+# partition; a larger (hot) product is split into blocks (two levels).  An
+# order with more contested lines than this is judged by aggregate + join
+# instead of a window per order.
 SINGLE_WINDOW_MAX_LINES = 2_000_000
 
 
@@ -68,7 +71,7 @@ def contested_demand(lines: DataFrame, eligible: DataFrame, inventory: DataFrame
     return demand.join(over, "product_id")
 
 
-def _round(state: DataFrame, width: int) -> DataFrame:
+def _round(state: DataFrame, width: int | None, big_orders: bool = False) -> DataFrame:
     """One fixpoint round over (seq, product_id, qty, stock, st), st in
     {A, O}.  Returns the judged lines with ``st`` in {A, R, O} and
     ``open_after``: open quantity later on the same product (before this
@@ -78,12 +81,20 @@ def _round(state: DataFrame, width: int) -> DataFrame:
               .withColumn("_o", F.when(F.col("st") == OPEN, F.col("qty")).otherwise(F.lit(0))))
     sums = exclusive_prefix_sums(marked, "product_id", "seq", {"lo": "_a", "open_before": "_o"},
                                  width, key_totals={"open_total": "_o"})
-    per_order = Window.partitionBy("seq")
     fits = (F.col("lo") + F.col("open_before") + F.col("qty") <= F.col("stock"))
     fails = (F.col("lo") + F.col("qty") > F.col("stock"))
-    judged = (sums
-              .withColumn("_all_fit", F.min(fits.cast("int")).over(per_order))
-              .withColumn("_any_fail", F.max(fails.cast("int")).over(per_order)))
+    open_fits = F.when(F.col("st") == OPEN, fits.cast("int"))
+    open_fails = F.when(F.col("st") == OPEN, fails.cast("int"))
+    if big_orders:
+        # An order too large for one task: aggregate per order (partial per
+        # task, combined map-side) and join the verdict back on seq.
+        verdict = sums.groupBy("seq").agg(F.min(open_fits).alias("_all_fit"),
+                                          F.max(open_fails).alias("_any_fail"))
+        judged = sums.join(verdict, "seq", "left")
+    else:
+        per_order = Window.partitionBy("seq")
+        judged = (sums.withColumn("_all_fit", F.min(open_fits).over(per_order))
+                  .withColumn("_any_fail", F.max(open_fails).over(per_order)))
     st = (F.when(F.col("st") != OPEN, F.col("st"))
            .when(F.col("_any_fail") == 1, REJECTED)
            .when(F.col("_all_fit") == 1, ACCEPTED)
@@ -122,12 +133,15 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
     if (shape[0] or 0) > SINGLE_WINDOW_MAX_LINES:
         span = state.agg(F.min("seq"), F.max("seq")).first()
         width = block_width_for(span[1] - span[0])
+    biggest_order = (state.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+                     .agg(F.max("n")).first()[0] or 0)
+    big_orders = biggest_order > SINGLE_WINDOW_MAX_LINES
     rejected = []
     rounds = 0
     while open_lines:
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"admission still has {open_lines} open lines after {rounds} rounds")
-        judged = _round(state, width).checkpoint(eager=True)
+        judged = _round(state, width, big_orders).checkpoint(eager=True)
         rounds += 1
         rejected.append(judged.filter(F.col("st") == REJECTED).select("seq"))
         state = judged.filter((F.col("st") == OPEN) |

@@ -84,7 +84,7 @@ def test_kind_filter(spark):
 
 @pytest.mark.parametrize("seed,split", [(1, False), (2, False), (3, True), (4, True)])
 def test_admission_equals_sequential_fold(spark, seed, split, monkeypatch):
-    if split:   # force the two-level (hot product) running sums
+    if split:   # force the skew paths: two-level running sums, per-order aggregate
         monkeypatch.setattr("counterfoil.operators.admission.SINGLE_WINDOW_MAX_LINES", 0)
     rnd = random.Random(seed)
     products = list(range(1, 9))
