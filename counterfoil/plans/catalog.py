@@ -319,7 +319,7 @@ def q_cascade_parent(spark, sf_dir):
 @register("e6_expire_collections_stock", O.with_binding(f"""WITH {EXPIRED_SQL}
 SELECT i.product_id, i.product_desc, i.price, i.stock + COALESCE(r.q, 0) AS stock
 FROM b_inventory i LEFT JOIN (
-  SELECT product_id, SUM(quantity) AS q FROM b_lines
+  SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS q FROM b_lines
   WHERE order_id IN (SELECT order_id FROM removed) GROUP BY product_id) r
 ON r.product_id = i.product_id"""))
 def q_expire_stock(spark, sf_dir):
@@ -335,7 +335,7 @@ def q_cancelled(spark, sf_dir):
 
 @register("d1_reduce_stock", O.with_binding("""
 SELECT i.product_id, i.product_desc, i.price, i.stock - COALESCE(s.q, 0) AS stock
-FROM b_inventory i LEFT JOIN (SELECT product_id, SUM(quantity) AS q FROM b_lines GROUP BY product_id) s
+FROM b_inventory i LEFT JOIN (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS q FROM b_lines GROUP BY product_id) s
 ON s.product_id = i.product_id"""))
 def q_reduce_stock(spark, sf_dir):
     t = bind_tables(spark, sf_dir)
@@ -345,7 +345,7 @@ def q_reduce_stock(spark, sf_dir):
 @register("d2_restock", O.with_binding("""
 SELECT i.product_id, i.product_desc, i.price, i.stock + COALESCE(s.q, 0) AS stock
 FROM b_inventory i LEFT JOIN (
-  SELECT l.product_id, SUM(l.quantity) AS q FROM b_lines l JOIN b_orders o ON o.order_id = l.order_id
+  SELECT l.product_id, CAST(SUM(l.quantity) AS BIGINT) AS q FROM b_lines l JOIN b_orders o ON o.order_id = l.order_id
   WHERE o.completed = 0 GROUP BY l.product_id) s
 ON s.product_id = i.product_id"""))
 def q_restock(spark, sf_dir):

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
-from oracle_check import TABLES, canon  # noqa: E402
+from oracle_check import TABLES, canon, type_mismatches  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -33,6 +33,7 @@ def test_query_matches_oracle(spark, duck, name):
     got = canon(df.columns, [tuple(r) for r in df.collect()])
     want = canon([d[0] for d in rel.description], rel.fetchall())
     assert got[0] == want[0]
+    assert not type_mismatches(df, rel)
     assert got[1] == want[1]
 
 
