@@ -540,3 +540,45 @@ def q_place(spark, sf_dir):
     empty = t.replace(**{n: getattr(t, n).limit(0) for n in
                          ("orders", "order_products", "staff_orders", "collections", "deliveries")})
     return place_orders(empty, bind_requests(spark, sf_dir), id_start=ID_START).decisions
+
+
+# ------------------------------------------------------------------ presentation
+# The operators compute money exactly as DECIMAL(38,2).  Registered queries
+# present it as DOUBLE, converted once from the exact result on both sides,
+# so a comparison reads the same values whether it goes through Row
+# objects, DB-API tuples or pandas (where DuckDB turns DECIMAL into float64
+# but Spark yields Decimal objects).  No sum is ever taken over doubles.
+MONEY_COLUMNS = {
+    "r1_sale_values": ("sale_value",),
+    "r2_product_revenue": ("total_value",),
+    "r3_order_totals": ("order_total",),
+    "r4_staff_lifetime_sales": ("lifetime_sales",),
+    "r4_staff_lifetime_sales_compat": ("lifetime_sales",),
+    "r5_top_products": ("total_value",),
+    "r6_top_product_sellers": ("value_sold",),
+    "r7_staff_by_top_value": ("total_value",),
+    "r8_staff_product_units": ("total_value",),
+    "r8_staff_product_crosstab": ("total_value",),
+    "r9_yearly_top_products": ("total_value",),
+    "r9_yearly_top_products_compat": ("total_value",),
+    "r11_yearly_staff_sales": ("total_sales",),
+    "r11_yearly_staff_sales_compat": ("total_sales",),
+    "d1_reduce_stock": ("price",),
+    "d2_restock": ("price",),
+    "e6_expire_collections_stock": ("price",),
+}
+
+
+def _present(name: str, cols: tuple[str, ...]) -> None:
+    q = REGISTRY[name]
+
+    def build(spark, sf_dir, _b=q.build):
+        return _b(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in cols})
+
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    sql = f"SELECT * REPLACE ({casts}) FROM (\n{q.sql}\n) AS presented" if q.sql else None
+    REGISTRY[name] = Query(build, sql)
+
+
+for _name, _cols in MONEY_COLUMNS.items():
+    _present(_name, _cols)

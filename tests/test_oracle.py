@@ -48,3 +48,12 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["yr", "staff_id", "full_name"]
     df.collect()
+
+
+def test_registered_outputs_hold_no_decimal_columns(spark):
+    from pyspark.sql.types import DecimalType
+    for name, build in entry.queries().items():
+        if name.startswith(("c3", "c9", "r8_staff_product_crosstab")):
+            continue
+        df = build(spark, SF)
+        assert not [f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)], name
