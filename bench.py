@@ -22,6 +22,7 @@ from counterfoil.operators import intake as I            # noqa: E402
 from counterfoil.operators import reports as R           # noqa: E402
 from counterfoil.operators.admission import admit_orders  # noqa: E402
 from counterfoil.plans import catalog as C               # noqa: E402
+from counterfoil.plans.jobs import materialize_requests  # noqa: E402
 from counterfoil.session import ensure_checkpoint_dir, get_session  # noqa: E402
 from counterfoil.sources.testdata import bind_requests, bind_tables  # noqa: E402
 
@@ -59,7 +60,7 @@ def main():
 
     def admit():
         t = bind_tables(spark, sf_dir)
-        reqs = bind_requests(spark, sf_dir).checkpoint(eager=True)
+        reqs = materialize_requests(bind_requests(spark, sf_dir))
         v = I.validate_requests(reqs, t.inventory, t.staff)
         adm = admit_orders(v, I.explode_order_lines(reqs), t.inventory)
         run(adm.decisions)

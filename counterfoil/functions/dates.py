@@ -25,15 +25,10 @@ DEFAULT_REFERENCE_DATE = _dt.date(2026, 1, 1)
 def parse_request_date(c: str | Column,
                        reference_date: _dt.date = DEFAULT_REFERENCE_DATE) -> Column:
     """``dd-MMM-yy`` (day of 1 or 2 digits, month in any letter case)
-    to DATE, NULL when unparseable."""
+    to DATE, NULL when unparseable.  Spark's pattern parser is already
+    case-insensitive and strict (whole text, two-digit year)."""
     text = F.trim(F.col(c) if isinstance(c, str) else c)
-    # MMM only matches title case; normalise 'nov' / 'NOV' to 'Nov'.
-    norm = F.concat(F.substring_index(text, "-", 1), F.lit("-"),
-                    F.initcap(F.lower(F.split_part(text, F.lit("-"), F.lit(2)))),
-                    F.lit("-"), F.split_part(text, F.lit("-"), F.lit(3)))
-    two_digit_year = F.split_part(text, F.lit("-"), F.lit(3)).rlike("^[0-9]{2}$")
-    parsed = F.when(two_digit_year, F.try_to_date(norm, REQUEST_DATE_PATTERN))
-    ref = F.lit(reference_date)
-    # yy -> 20yy by Spark; move back a century when beyond the window.
-    return F.when(parsed > F.add_months(ref, 12 * YEARS_AHEAD),
-                  F.add_months(parsed, -1200)).otherwise(parsed)
+    parsed = F.try_to_date(text, REQUEST_DATE_PATTERN)
+    # yy -> 20yy; move back a century when beyond the window.
+    limit = F.add_months(F.lit(reference_date), 12 * YEARS_AHEAD)
+    return F.add_months(parsed, F.when(parsed > limit, F.lit(-1200)).otherwise(F.lit(0)))

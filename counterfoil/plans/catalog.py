@@ -29,7 +29,7 @@ from ..sources.schemas import TABLE_SCHEMAS
 from ..sources.testdata import bind_requests, bind_tables
 from . import oracle as O
 from ..session import ensure_checkpoint_dir
-from .jobs import place_orders
+from .jobs import materialize_requests, place_orders
 
 
 @dataclass(frozen=True)
@@ -528,8 +528,7 @@ def q_build_deliveries(spark, sf_dir):
 @register("c3_admit_orders", None)
 def q_admit(spark, sf_dir):
     t = bind_tables(spark, sf_dir)
-    ensure_checkpoint_dir(spark)
-    reqs = bind_requests(spark, sf_dir).checkpoint(eager=True)
+    reqs = materialize_requests(bind_requests(spark, sf_dir))
     v = I.validate_requests(reqs, t.inventory, t.staff)
     return admit_orders(v, I.explode_order_lines(reqs), t.inventory).decisions
 

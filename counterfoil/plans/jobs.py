@@ -34,6 +34,13 @@ class Placement:
     next_id: int            # next free order id (ids are not reused after a rejection)
 
 
+def materialize_requests(requests: DataFrame) -> DataFrame:
+    spark = requests.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return requests.repartition(n, "seq").checkpoint(eager=True)
+
+
 def next_order_id(t: Tables) -> int:
     top = t.orders.agg(F.max("order_id")).first()[0]
     return (top or 0) + 1
@@ -48,9 +55,9 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
         kind = ORDER_KINDS[kind]
     if kind is not None:
         requests = requests.filter(F.col("order_type") == kind)
-    # read by validation, line explosion and the builders: materialise once
-    ensure_checkpoint_dir(requests.sparkSession)
-    requests = requests.checkpoint(eager=True)
+    # read by validation, line explosion and the builders: materialise once,
+    # hash-partitioned by seq (parallel, and joins on seq can keep it)
+    requests = materialize_requests(requests)
     validated = I.validate_requests(requests, t.inventory, t.staff, reference_date)
     lines = I.explode_order_lines(requests)
     adm = admit_orders(validated, lines, t.inventory)
