@@ -28,6 +28,29 @@ REASONS = ("type", "date", "lines", "quantity", "product", "staff", "stock")
 PRE_INSERT_REASONS = ("type", "date", "lines", "quantity")
 
 
+def coerce_requests(raw: DataFrame) -> DataFrame:
+    """Requests typed as text (as read from a form, csv or untyped json) to
+    the request schema: text is trimmed, ids and quantities go through
+    ``try_cast`` so a malformed number becomes NULL and the request is
+    rejected by validation ('lines', 'quantity' or 'staff') instead of
+    failing the job.  ``products`` / ``quantities`` may be arrays of text or
+    ``;``-separated text."""
+    def as_array(name, to):
+        c = F.col(name)
+        dtype = dict(raw.dtypes)[name]
+        items = c if dtype.startswith("array") else F.split(c, ";")
+        return F.transform(items, lambda x: F.trim(x.cast("string")).try_cast(to))
+
+    text = ["order_type", "sale_date", "due_date", "fname", "lname", "house", "street", "city"]
+    return raw.select(
+        F.trim(F.col("seq").cast("string")).try_cast("long").alias("seq"),
+        F.trim("order_type").alias("order_type"),
+        as_array("products", "long").alias("products"),
+        as_array("quantities", "int").alias("quantities"),
+        *[F.trim(F.col(c).cast("string")).alias(c) for c in text[1:]],
+        F.trim(F.col("staff_id").cast("string")).try_cast("long").alias("staff_id"))
+
+
 def explode_order_lines(requests: DataFrame) -> DataFrame:
     """(seq, pos, product_id, quantity), one row per array position of
     requests whose arrays have equal, non-zero length."""
@@ -53,6 +76,7 @@ def validate_requests(requests: DataFrame, inventory: DataFrame, staff: DataFram
     lines_ok = (F.col("products").isNotNull() & F.col("quantities").isNotNull()
                 & (F.size("products") == F.size("quantities")) & (F.size("products") > 0))
     qty_ok = F.forall("quantities", lambda q: q.isNotNull() & (q > 0))
+    ids_ok = F.forall("products", lambda p: p.isNotNull())
     date_ok = F.col("sale_day").isNotNull() & (
         ~needs_due | (F.col("due_day").isNotNull() & (F.col("due_day") >= F.col("sale_day"))))
 
@@ -66,7 +90,7 @@ def validate_requests(requests: DataFrame, inventory: DataFrame, staff: DataFram
          .withColumn("_no_staff", F.col("_staff_ok").isNull()))
     reason = (F.when(~F.coalesce(F.col("order_type").isin(*ORDER_TYPES), F.lit(False)), "type")
               .when(~date_ok, "date")
-              .when(~lines_ok, "lines")
+              .when(~lines_ok | ~F.coalesce(ids_ok, F.lit(False)), "lines")
               .when(~F.coalesce(qty_ok, F.lit(False)), "quantity")
               .when(F.coalesce(F.col("_no_product"), F.lit(False)), "product")
               .when(F.coalesce(F.col("_no_staff"), F.lit(False)), "staff"))

@@ -18,7 +18,7 @@ from ..functions.dates import DEFAULT_REFERENCE_DATE
 from ..operators import expiry as E
 from ..operators import intake as I
 from ..operators.admission import admit_orders
-from ..operators.stock import reduce_stock
+from ..operators.stock import reduce_stock, stock_levels
 from ..session import ensure_checkpoint_dir
 from ..sources.publish import publish
 from ..tables import Tables
@@ -32,6 +32,7 @@ class Placement:
     decisions: DataFrame    # seq, accepted, reason, order_id (NULL if no id used)
     rounds: int
     next_id: int            # next free order id (ids are not reused after a rejection)
+    stock_after: DataFrame  # D3: stock of each accepted request's products after the batch
 
 
 def materialize_requests(requests: DataFrame) -> DataFrame:
@@ -75,7 +76,8 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
         collections=t.collections.unionByName(I.build_collections(accepted)),
         deliveries=t.deliveries.unionByName(I.build_deliveries(accepted)))
     decisions = numbered.select("seq", "accepted", "reason", "order_id")
-    return Placement(tables, decisions, adm.rounds, start if top is None else top + 1)
+    stock_after = stock_levels(tables.inventory, lines.join(accepted.select("seq"), "seq", "left_semi"))
+    return Placement(tables, decisions, adm.rounds, start if top is None else top + 1, stock_after)
 
 
 def run_placement(t: Tables, requests: DataFrame, root: str, job_id: str | None = None,

@@ -157,3 +157,22 @@ def test_admission_property(spark, reqs, stock):
     adm = admit_orders(v, I.explode_order_lines(df), t.inventory)
     assert {r["seq"]: r["accepted"] for r in adm.decisions.collect()} == expected
     assert all(s is None or s >= 0 for s in left.values())
+
+
+def test_coerce_text_requests(spark):
+    raw = spark.createDataFrame([
+        (" 1 ", "InStore", "1;2", "3; 2", "17-Nov-20", None, None, None, None, None, None, " 1 "),
+        ("2", "InStore", "1;x", "1;1", "17-Nov-20", None, None, None, None, None, None, "1"),
+        ("3", "InStore", "1", "two", "17-Nov-20", None, None, None, None, None, None, "1"),
+        ("4", "InStore", "1", "1", "17-Nov-20", None, None, None, None, None, None, "one"),
+    ], ", ".join(f"{n} string" for n in
+                 "seq order_type products quantities sale_date due_date fname lname house street city staff_id".split()))
+    reqs = I.coerce_requests(raw)
+    assert [(f.name, f.dataType) for f in reqs.schema.fields] == \
+        [(f.name, f.dataType) for f in REQUESTS.fields]
+    t = _tables(spark)
+    placed = place_orders(t, reqs, id_start=1)
+    got = {r["seq"]: r["reason"] for r in placed.decisions.collect()}
+    assert got == {1: None, 2: "lines", 3: "quantity", 4: "staff"}
+    after = sorted((r["pos"], r["product_id"], r["stock"]) for r in placed.stock_after.collect())
+    assert after == [(0, 1, 7), (1, 2, 3)]
