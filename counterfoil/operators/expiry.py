@@ -43,9 +43,10 @@ def uncollected_collections(t: Tables) -> DataFrame:
 
 def expired_orders(t: Tables, as_of, days: int = EXPIRY_DAYS) -> DataFrame:
     """E1 rows with ``as_of >= collection_date + days`` (NULL dates
-    never expire)."""
+    never expire).  Written as ``collection_date <= as_of - days`` so the
+    bound folds to a literal and is pushed to the collections scan."""
     return uncollected_collections(t).filter(
-        F.date_add("collection_date", days) <= _as_date(as_of))
+        F.col("collection_date") <= F.date_sub(_as_date(as_of), days))
 
 
 def cascade_from_parent(child: DataFrame, removed_keys: DataFrame, key: str) -> DataFrame:

@@ -166,3 +166,14 @@ def test_year_filter_and_columns_reach_the_scan(spark, scratch):
         assert "GreaterThanOrEqual(order_placed,2020-01-01)" in ln
         assert "LessThan(order_placed,2021-01-01)" in ln
         assert "order_type" not in ln.split("ReadSchema:")[1]
+
+
+def test_expiry_cutoff_reaches_the_scan(spark, scratch):
+    root = f"{scratch}/ledger"
+    publish(g1(spark), root)
+    t = read_version(spark, root)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = E.expired_orders(t, "2020-05-28")._jdf.queryExecution().executedPlan().toString()
+    scans = [ln for ln in plan.splitlines() if "FileScan" in ln and "/collections]" in ln]
+    assert scans and all("LessThanOrEqual(collection_date,2020-05-20)" in ln for ln in scans)
+    assert [r["order_id"] for r in E.expired_orders(t, "2020-05-28").collect()] == [2]
