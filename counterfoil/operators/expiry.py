@@ -92,16 +92,26 @@ class ExpiryResult:
     blocked: DataFrame      # distinct order_id kept because of a delivery row
 
 
+ON_BLOCKED = ("skip", "abort")
+
+
 def expire_collections(t: Tables, as_of, days: int = EXPIRY_DAYS,
-                       materialize=None) -> ExpiryResult:
+                       materialize=None, on_blocked: str = "skip") -> ExpiryResult:
     """One expiry run (E2 + E3 + E4 + D2).
 
     ``materialize`` (e.g. ``lambda df: df.checkpoint()``) is applied to the
-    expired and blocked id sets, which feed every output table."""
+    expired and blocked id sets, which feed every output table.
+    ``on_blocked``: "skip" keeps an order that has a delivery row and
+    removes the others; "abort" removes nothing when any order is blocked
+    (the single failing DELETE of the source)."""
+    if on_blocked not in ON_BLOCKED:
+        raise ValueError(f"on_blocked must be one of {ON_BLOCKED}")
     keep = materialize or (lambda df: df)
     expired = keep(expired_orders(t, as_of, days).select("order_id").distinct())
     blocked = keep(blocked_by_deliveries(t, expired))
     removed = expired.join(blocked, "order_id", "left_anti")
+    if on_blocked == "abort" and blocked.limit(1).count() > 0:
+        removed = removed.limit(0)
     removed_lines = t.order_products.join(removed, "order_id", "left_semi")
     after = cascade_delete(t, removed).replace(inventory=restock(t.inventory, removed_lines))
     return ExpiryResult(after, removed, blocked)

@@ -65,6 +65,12 @@ def test_delivery_row_blocks_expiry(spark):
     assert res.cancelled.count() == 0
     assert [r[0] for r in res.blocked.collect()] == [2]
     assert res.tables.orders.count() == 6
+    # a later run date expires order 6 too; "skip" removes it, "abort" nothing
+    skip = E.expire_collections(t, "2020-07-09")
+    assert [r[0] for r in skip.cancelled.collect()] == [6]
+    abort = E.expire_collections(t, "2020-07-09", on_blocked="abort")
+    assert abort.cancelled.count() == 0 and abort.tables.orders.count() == 6
+    assert {r["product_id"]: r["stock"] for r in abort.tables.inventory.collect()}[3] == 10
 
 
 def test_remove_products_and_staff_cascade(spark):
