@@ -111,7 +111,7 @@ def expire_collections(t: Tables, as_of, days: int = EXPIRY_DAYS,
     blocked = keep(blocked_by_deliveries(t, expired))
     removed = expired.join(blocked, "order_id", "left_anti")
     if on_blocked == "abort" and blocked.limit(1).count() > 0:
-        removed = removed.limit(0)
+        removed = removed.filter(F.lit(False))   # the whole run fails: nothing removed
     removed_lines = t.order_products.join(removed, "order_id", "left_semi")
     after = cascade_delete(t, removed).replace(inventory=restock(t.inventory, removed_lines))
     return ExpiryResult(after, removed, blocked)

@@ -471,14 +471,22 @@ def q_assign_ids(spark, sf_dir):
     return I.assign_order_ids(v.select("seq", "reason"), ID_START).select("seq", "order_id")
 
 
-def _replay(spark, sf_dir):
-    """Every source order replayed as a request into an empty ledger with
-    untracked stock: all are accepted, so the built rows are checkable."""
-    t = bind_tables(spark, sf_dir)
-    empty = t.replace(**{n: getattr(t, n).limit(0) for n in
-                         ("orders", "order_products", "staff_orders", "collections", "deliveries")},
-                      inventory=t.inventory.withColumn("stock", F.lit(None).cast("long")))
-    return place_orders(empty, bind_requests(spark, sf_dir), id_start=ID_START).tables
+ORDER_TABLES = ("orders", "order_products", "staff_orders", "collections", "deliveries")
+
+
+def _no_orders(spark, t):
+    """The bound inventory and staff with no orders yet (empty tables of
+    the declared schemas)."""
+    return t.replace(**{n: spark.createDataFrame([], TABLE_SCHEMAS[n]) for n in ORDER_TABLES})
+
+
+def _replay(spark, sf_dir, staff_by="nation"):
+    """Every source order replayed as a request into a ledger without
+    orders and with untracked stock: all are accepted, so the built rows are
+    checkable against the source."""
+    t = _no_orders(spark, bind_tables(spark, sf_dir, staff_by))
+    t = t.replace(inventory=t.inventory.withColumn("stock", F.lit(None).cast("long")))
+    return place_orders(t, bind_requests(spark, sf_dir, staff_by), id_start=ID_START).tables
 
 
 REPLAY_SQL = f"""
@@ -503,11 +511,7 @@ def q_build_lines(spark, sf_dir):
 @register("c6_build_staff_orders", O.with_binding(f"""WITH {REPLAY_SQL}
 SELECT s.staff_id, ids.order_id FROM ids JOIN b_staff_orders s ON s.order_id = ids.seq""", "region"))
 def q_build_links(spark, sf_dir):
-    t = bind_tables(spark, sf_dir, "region")
-    empty = t.replace(**{n: getattr(t, n).limit(0) for n in
-                         ("orders", "order_products", "staff_orders", "collections", "deliveries")},
-                      inventory=t.inventory.withColumn("stock", F.lit(None).cast("long")))
-    return place_orders(empty, bind_requests(spark, sf_dir, "region"), id_start=ID_START).tables.staff_orders
+    return _replay(spark, sf_dir, "region").staff_orders
 
 
 @register("c7_build_collections", O.with_binding(f"""WITH {REPLAY_SQL}
@@ -535,10 +539,8 @@ def q_admit(spark, sf_dir):
 
 @register("c9_place_orders", None)
 def q_place(spark, sf_dir):
-    t = bind_tables(spark, sf_dir)
-    empty = t.replace(**{n: getattr(t, n).limit(0) for n in
-                         ("orders", "order_products", "staff_orders", "collections", "deliveries")})
-    return place_orders(empty, bind_requests(spark, sf_dir), id_start=ID_START).decisions
+    t = _no_orders(spark, bind_tables(spark, sf_dir))
+    return place_orders(t, bind_requests(spark, sf_dir), id_start=ID_START).decisions
 
 
 # ------------------------------------------------------------------ presentation
