@@ -20,7 +20,7 @@ from ..operators import intake as I
 from ..operators.admission import admit_orders
 from ..operators.stock import reduce_stock, stock_levels
 from ..session import ensure_checkpoint_dir
-from ..sources.publish import publish
+from ..sources.publish import commit_note, latest_version, publish
 from ..tables import Tables
 
 ORDER_KINDS = {1: "InStore", 2: "Collection", 3: "Delivery"}
@@ -80,9 +80,23 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
     return Placement(tables, decisions, adm.rounds, start if top is None else top + 1, stock_after)
 
 
+def sequence_position(spark, root: str, t: Tables) -> int:
+    """Next order id: the position recorded by the last published job, never
+    below max(order_id) + 1.  Ids used by rejected or cancelled orders are
+    not handed out again (the source's sequence is not rolled back)."""
+    recorded = None
+    latest = latest_version(spark, root)
+    if latest:
+        recorded = commit_note(spark, root, latest).get("next_order_id")
+    return max(recorded or 0, next_order_id(t))
+
+
 def run_placement(t: Tables, requests: DataFrame, root: str, job_id: str | None = None,
                   **kwargs) -> tuple[int, Placement]:
     """C9 + S14: place a batch and publish the resulting tables."""
+    spark = t.orders.sparkSession
+    if kwargs.get("id_start") is None:
+        kwargs["id_start"] = sequence_position(spark, root, t)
     placed = place_orders(t, requests, **kwargs)
     version = publish(placed.tables, root, {"job": "placement", "rounds": placed.rounds,
                                             "next_order_id": placed.next_id}, job_id)
@@ -94,7 +108,10 @@ def run_expiry(t: Tables, as_of, root: str, days: int = E.EXPIRY_DAYS,
     """E6 + S14: one expiry run published as a new version.  The removed
     set feeds five outputs, so it is written to the checkpoint folder
     once instead of being recomputed for each."""
-    ensure_checkpoint_dir(t.orders.sparkSession)
+    spark = t.orders.sparkSession
+    ensure_checkpoint_dir(spark)
+    position = sequence_position(spark, root, t)        # carried forward
     result = E.expire_collections(t, as_of, days, materialize=lambda df: df.checkpoint(eager=True))
-    version = publish(result.tables, root, {"job": "expiry", "as_of": str(as_of)}, job_id)
+    version = publish(result.tables, root, {"job": "expiry", "as_of": str(as_of),
+                                            "next_order_id": position}, job_id)
     return version, result
