@@ -176,3 +176,14 @@ def test_coerce_text_requests(spark):
     assert got == {1: None, 2: "lines", 3: "quantity", 4: "staff"}
     after = sorted((r["pos"], r["product_id"], r["stock"]) for r in placed.stock_after.collect())
     assert after == [(0, 1, 7), (1, 2, 3)]
+
+
+def test_dense_index_is_consecutive_across_partitions(spark):
+    from counterfoil.functions.ids import dense_index
+    rnd = random.Random(5)
+    keys = rnd.sample(range(10**9), 5000)
+    df = spark.createDataFrame([(k,) for k in keys], "seq long").repartition(7)
+    out = sorted((r["seq"], r["order_id"]) for r in dense_index(df, "seq", "order_id", 100,
+                                                                   partitions=9).collect())
+    assert [i for _, i in out] == list(range(100, 100 + len(keys)))
+    assert [s for s, _ in out] == sorted(keys)
