@@ -77,6 +77,10 @@ REQUESTS = T.StructType([
     T.StructField("staff_id", T.LongType(), True),
 ])
 
+# The same request as text (form input, csv, untyped json): see
+# ``intake.coerce_requests``.
+RAW_REQUESTS = T.StructType([T.StructField(f.name, T.StringType(), True) for f in REQUESTS.fields])
+
 TABLE_SCHEMAS = {
     "inventory": INVENTORY,
     "orders": ORDERS,

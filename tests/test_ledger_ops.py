@@ -183,3 +183,15 @@ def test_expiry_cutoff_reaches_the_scan(spark, scratch):
     scans = [ln for ln in plan.splitlines() if "FileScan" in ln and "/collections]" in ln]
     assert scans and all("LessThanOrEqual(collection_date,2020-05-20)" in ln for ln in scans)
     assert [r["order_id"] for r in E.expired_orders(t, "2020-05-28").collect()] == [2]
+
+
+def test_read_raw_csv_requests(spark, scratch):
+    from counterfoil.sources.files import read_requests
+    path = f"{scratch}/requests.csv"
+    with open(path, "w") as fh:
+        fh.write("seq,order_type,products,quantities,sale_date,due_date,fname,lname,house,street,city,staff_id\n")
+        fh.write(" 7 ,InStore,1;3, 2 ;1,17-Nov-20,,,,,,, 2\n")
+        fh.write("8,Collection,2,x,17-nov-20,20-Nov-20,Al,Bo,,,,1\n")
+    got = {r["seq"]: r for r in read_requests(spark, path, fmt="csv", raw=True).collect()}
+    assert got[7]["products"] == [1, 3] and got[7]["quantities"] == [2, 1] and got[7]["staff_id"] == 2
+    assert got[8]["quantities"] == [None] and got[8]["fname"] == "Al"
