@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, secret_scan, url_filter
+from . import language_id, line_dedup, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op6_url_filters": url_filter.op6_url_filters,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
 }
 SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
