@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, language_id, line_dedup, quality_rules, secret_scan, url_filter
+from . import (byte_bpe, html_text, language_id, line_dedup, packing, quality_rules, secret_scan,
+               url_filter)
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_byte_level_bpe": byte_bpe.op5_byte_level_bpe,
     "op6_url_filters": url_filter.op6_url_filters,
     "op8_html_extraction": html_text.op8_html_extraction,
