@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (byte_bpe, html_text, language_id, line_dedup, packing, quality_rules, secret_scan,
+from . import (byte_bpe, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan,
                url_filter)
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_byte_level_bpe": byte_bpe.op5_byte_level_bpe,
     "op6_url_filters": url_filter.op6_url_filters,
+    "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
