@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import (byte_bpe, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan,
+from . import (byte_bpe, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, topk_search,
                url_filter)
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_topk_search": topk_search.op3_topk_search,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_byte_level_bpe": byte_bpe.op5_byte_level_bpe,
     "op6_url_filters": url_filter.op6_url_filters,

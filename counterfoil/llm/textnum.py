@@ -59,9 +59,10 @@ def blocks(batch: pa.RecordBatch, text: str = "text", size: int = BLOCK_BYTES):
 
 
 class Block:
-    """The texts of a block as one byte array, a space after each text."""
+    """The texts of a block as one byte array, a space after each text; words
+    end at the bytes that ``breaks`` marks."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, breaks: np.ndarray = SPACE):
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
@@ -72,7 +73,7 @@ class Block:
         self.at = offsets - offsets[0] + np.arange(n + 1)  # where each text begins, and the end
         self.bytes = np.full(len(data) + n, 0x20, np.uint8)
         self.bytes[np.arange(len(data)) + np.repeat(np.arange(n), lens)] = LOWER[data] if lower else data
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[self.bytes]]).astype(np.int8)))
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], breaks[self.bytes]]).astype(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]  # of the words
         self.doc = np.searchsorted(self.at, self.starts, "right") - 1
         self.n_words = np.bincount(self.doc, minlength=n)
