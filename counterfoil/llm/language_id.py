@@ -46,8 +46,9 @@ def _trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
     b = _FOLD[block.bytes].astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     bucket = (code * np.uint32(2654435761)) >> np.uint32(16)
-    doc = np.repeat(np.arange(block.n), np.diff(block.at))[:len(code)]
-    return doc, bucket
+    doc = np.repeat(np.arange(block.n), np.diff(block.at))
+    inside = doc[2:] == doc[:-2]  # the last byte of a text is the space after it
+    return doc[:-2][inside], bucket[inside]
 
 
 def learn(docs: DataFrame, train_rows: int = 4000, most_languages: int = 64, smooth: float = 0.5):
@@ -92,8 +93,7 @@ def text_scores(docs: DataFrame, names: list[str], logs: np.ndarray, text_weight
         letters = block.per_text(_LETTER[block.bytes]) > 0
         sums = np.stack([np.bincount(doc, weights=row[bucket], minlength=block.n) for row in logs])
         fused = (sums / np.maximum(n, 1) * np.minimum(n, text_weight)).T
-        known = letters & (n > 0)
-        out = [list(map(float, fused[i])) if known[i] else [] for i in range(block.n)]
+        out = [list(map(float, fused[i])) if letters[i] else [] for i in range(block.n)]
         return pa.RecordBatch.from_arrays(
             [part.column(f.name) for f in others] + [pa.array(out, pa.list_(pa.float64()))],
             names=[f.name for f in others] + ["scores"])

@@ -1,0 +1,103 @@
+"""Secret scans, line dedup and URL filters."""
+
+import hashlib
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from counterfoil.llm import line_dedup, secret_scan, url_filter
+
+from .texts import DOCS, corpus, frame
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    t = t or ""
+    s = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(s)
+
+
+def written(spans):
+    return ",".join(f"{['assign', 'access', 'hex', 'bare'][k]}:{a}:{b}" for a, k, b in spans)
+
+
+def test_base_spans_match_python(spark):
+    many = " ".join(f"token=abc{i:05d}x" for i in range(3000))
+    rows = corpus() + [(900, many, "en", "src0", 1)]
+    got = secret_scan.scan_secrets(frame(spark, rows)).select(
+        "doc_id", F.sha2(secret_scan._written(F.col("base")), 256).alias("h"), F.size("base").alias("n")).collect()
+    want = Counter((r[0], hashlib.sha256(written(base_spans(r[1])).encode()).hexdigest(), len(base_spans(r[1]))) for r in rows)
+    assert Counter(map(tuple, got)) == want
+
+
+def test_ownership_separates_examples_from_live(spark):
+    value = "Zx9Yw8Vu7Ts6Rq5Po4Nm3"
+    rows = [(i, f"see {value} ok", "en", f"s{i % 4}", 1) for i in range(40)]
+    rows += [(100, "see Qa1Ws2Ed3Rf4Tg5Yh6Uj7 ok", "en", "s1", 1), (101, f"token={value}", "fr", "s9", 1)]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, rows)).collect()}
+    assert all(not got[i]["added"] and got[i]["n_example"] == 1 for i in range(40))
+    assert [(s["start"], s["end"]) for s in got[100]["added"]] == [(4, 25)] and got[100]["n_live"] == 1
+    assert got[101]["n_example"] == 1 and len(got[101]["base"]) == 1
+
+
+def test_redaction_joins_overlaps(spark):
+    rows = [(1, 'x token = "0123456789abcdef0123456789abcdef" y', "en", "s", 1), (2, "clean", "en", "s", 1)]
+    d = frame(spark, rows, extra=False)
+    found = secret_scan.scan_secrets(d).select("doc_id", F.concat("base", "added").alias("spans"))
+    out = dict(d.join(found, "doc_id").select("doc_id", secret_scan.redact(F.col("text"), F.col("spans"))).collect())
+    assert out == {1: 'x [SECRET]" y', 2: "clean"}
+
+
+def test_line_dedup_matches_sql(spark):
+    rows = corpus()
+    got = line_dedup.dedup_lines(frame(spark, rows)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    want = con.execute(line_dedup.OP2_SQL).fetchall()
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert sum(r["n_dropped"] for r in got) > 0
+    left = Counter(r[3] for r in rows for x in got if x["doc_id"] == r[0] and "Boilerplate" in (x["text"] or ""))
+    assert all(n < line_dedup.MIN_PAGES for n in left.values())
+
+
+URLS = [None, "", "no scheme", "HTTP://A.Example.ORG/es/x?y#z", "http://example.org/en/12", "http://example.org",
+        "http://x.org?q=/es/", "https://a.com/fr/1", "https://a.com/de/1", "https://www.spam-farm.example.net/a",
+        "http://spam-farm.example.com/fr/", "http://myexample.org/es/", "http://ÀB.net/p", "a://b://c.org/d",
+        "http://b.net/x\ny?z", "http://cheap-pills.net/"] + [f"http://h{i}.net/" for i in range(300)]
+
+
+def listed_python(host, labels):
+    return re.search(r"(^|\.)(" + "|".join(labels) + r")\.", host) is not None
+
+
+@pytest.mark.parametrize("shard_bytes", [16 << 20, 60])
+def test_url_filter_is_exact(spark, shard_bytes):
+    labels = [f"h{i}" for i in range(0, 300, 7)] + ["spam-farm", "cheap-pills"]
+    rows = [(i, u, "<p>", 0) for i, u in enumerate(URLS)] + [(3, URLS[3], "", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key int")
+    got = url_filter.filter_urls(pages, url_filter.label_condition(labels), fpr=0.4, shard_bytes=shard_bytes).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        u = URLS[r["page_id"]] or ""
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
+        host = re.sub("[A-Z]", lambda c: c[0].lower(), m[1]) if m else ""
+        path = m[2] if m else ""
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES
+                if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if listed_python(host, labels) else "allow")
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict), u
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert secret_scan.scan_secrets(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.filter_urls(pages, url_filter.label_condition()).count() == 0
