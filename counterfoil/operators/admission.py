@@ -21,15 +21,14 @@ exactly -- no cap on rounds, no approximation.
 
 Work is cut before the rounds: requests failing validation are out;
 untracked products never constrain; a product whose total demand fits its
-stock cannot reject anybody.  Only lines on *contested* products iterate.
-Running sums are one window per product when the largest product group
-is measured to be small, else the two-level prefix of ``functions.prefix``
-(a hot product is split into blocks, never one task); the all-or-nothing
-step is a window per order, or -- when the largest order is measured to be
-too big for one task -- a per-order aggregate joined back on the order
-(partial aggregation, so a huge order is no single task); each round's
-state is checkpointed to the shared checkpoint folder so lineage stays
-one round deep and a lost executor recomputes at most one round.
+stock cannot reject anybody; an order that asks for more of a product than
+the whole stock is rejected at once.  Only lines on *contested* products
+iterate.  Running sums are the two-level prefix of ``functions.prefix`` over
+a dense arrival index (a hot product is split into blocks, never one task);
+the all-or-nothing step is a window per order, whose lines already sat in
+one row of the request.  Each round's state is checkpointed to the shared
+checkpoint folder, so lineage stays one round deep and a lost executor
+recomputes at most one round; the number of open lines comes with that write.
 """
 
 from __future__ import annotations
@@ -37,24 +36,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import dense_index
 from ..functions.prefix import block_width_for, exclusive_prefix_sums
 from ..session import ensure_checkpoint_dir
 
 ACCEPTED, REJECTED, OPEN = "A", "R", "O"
 
-# A product with at most this many contested lines is summed in one window
-# partition; a larger (hot) product is split into blocks (two levels).  An
-# order with more contested lines than this is judged by aggregate + join
-# instead of a window per order.
-SINGLE_WINDOW_MAX_LINES = 2_000_000
-
-
 @dataclass(frozen=True)
 class Admission:
-    decisions: DataFrame     # seq, accepted (bool), reason (NULL if accepted)
+    decisions: DataFrame     # seq, accepted (bool), reason (NULL if accepted): a row for each request
+    refused: DataFrame       # distinct seq of the valid requests that stock rejected
     rounds: int              # rounds run on contested products
 
 
@@ -71,92 +65,70 @@ def contested_demand(lines: DataFrame, eligible: DataFrame, inventory: DataFrame
     return demand.join(over, "product_id")
 
 
-def _round(state: DataFrame, width: int | None, big_orders: bool = False) -> DataFrame:
-    """One fixpoint round over (seq, product_id, qty, stock, st), st in
+def _round(state: DataFrame, width: int) -> DataFrame:
+    """One fixpoint round over (seq, at, product_id, qty, stock, st), st in
     {A, O}.  Returns the judged lines with ``st`` in {A, R, O} and
     ``open_after``: open quantity later on the same product (before this
     round's decisions), used to prune accepted lines nobody depends on."""
     marked = (state
               .withColumn("_a", F.when(F.col("st") == ACCEPTED, F.col("qty")).otherwise(F.lit(0)))
               .withColumn("_o", F.when(F.col("st") == OPEN, F.col("qty")).otherwise(F.lit(0))))
-    sums = exclusive_prefix_sums(marked, "product_id", "seq", {"lo": "_a", "open_before": "_o"},
+    sums = exclusive_prefix_sums(marked, "product_id", "at", {"lo": "_a", "open_before": "_o"},
                                  width, key_totals={"open_total": "_o"})
     fits = (F.col("lo") + F.col("open_before") + F.col("qty") <= F.col("stock"))
     fails = (F.col("lo") + F.col("qty") > F.col("stock"))
-    open_fits = F.when(F.col("st") == OPEN, fits.cast("int"))
-    open_fails = F.when(F.col("st") == OPEN, fails.cast("int"))
-    if big_orders:
-        # An order too large for one task: aggregate per order (partial per
-        # task, combined map-side) and join the verdict back on seq.
-        verdict = sums.groupBy("seq").agg(F.min(open_fits).alias("_all_fit"),
-                                          F.max(open_fails).alias("_any_fail"))
-        judged = sums.join(verdict, "seq", "left")
-    else:
-        per_order = Window.partitionBy("seq")
-        judged = (sums.withColumn("_all_fit", F.min(open_fits).over(per_order))
-                  .withColumn("_any_fail", F.max(open_fails).over(per_order)))
+    per_order = Window.partitionBy("seq")
+    judged = (sums.withColumn("_all_fit", F.min(F.when(F.col("st") == OPEN, fits.cast("int"))).over(per_order))
+              .withColumn("_any_fail", F.max(F.when(F.col("st") == OPEN, fails.cast("int"))).over(per_order)))
     st = (F.when(F.col("st") != OPEN, F.col("st"))
            .when(F.col("_any_fail") == 1, REJECTED)
            .when(F.col("_all_fit") == 1, ACCEPTED)
            .otherwise(OPEN))
     open_after = F.col("open_total") - F.col("open_before") - F.col("_o")
-    return judged.select("seq", "product_id", "qty", "stock", st.alias("st"),
+    return judged.select("seq", "at", "product_id", "qty", "stock", st.alias("st"),
                          open_after.alias("open_after"))
 
 
-def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
-                 max_rounds: int | None = None) -> Admission:
+def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame) -> Admission:
     """Decide every request.
 
-    ``validated``: requests with ``reason`` (NULL = passed validation);
-    ``lines``: (seq, pos, product_id, quantity); ``inventory``: current stock.
-    ``max_rounds`` only guards against a defect: exceeding it raises.
+    ``validated``: requests with ``reason`` (NULL = passed validation, with a
+    ``seq`` of its own); ``lines``: (seq, pos, product_id, quantity);
+    ``inventory``: current stock.
 
     Between rounds the state keeps open lines and the accepted lines that
     an open line after them on the same product depends on; rejected lines
     and accepted lines with nothing open after them can no longer change
     any decision and are dropped (the open set only shrinks).
     """
-    spark = validated.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(validated.sparkSession)
     verdicts = validated.select("seq", "reason").checkpoint(eager=True)
     eligible = verdicts.filter(F.col("reason").isNull()).select("seq")
-    state = (contested_demand(lines, eligible, inventory)
-             .withColumn("st", F.lit(OPEN))
-             .checkpoint(eager=True))
-    # Size check for the running sums: the largest product group decides
-    # between one window per product and the two-level split.
-    shape = (state.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-             .agg(F.max("n"), F.sum("n")).first())
-    open_lines = shape[1] or 0
-    width = None
-    if (shape[0] or 0) > SINGLE_WINDOW_MAX_LINES:
-        span = state.agg(F.min("seq"), F.max("seq")).first()
-        width = block_width_for(span[1] - span[0])
-    biggest_order = (state.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
-                     .agg(F.max("n")).first()[0] or 0)
-    big_orders = biggest_order > SINGLE_WINDOW_MAX_LINES
-    rejected = []
+    demand = contested_demand(lines, eligible, inventory).checkpoint(eager=True)
+    hopeless = demand.filter(F.col("qty") > F.col("stock")).select("seq").distinct()
+    rejected = [hopeless]
+    contenders = demand.join(hopeless, "seq", "left_anti")
+    order = dense_index(contenders.select("seq").distinct(), "seq", "at")
+    state = contenders.join(order, "seq").withColumn("st", F.lit(OPEN)).checkpoint(eager=True)
+    open_lines, last = state.agg(F.count(F.lit(1)), F.max("at")).first()
+    width = block_width_for(last or 0)
     rounds = 0
     while open_lines:
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"admission still has {open_lines} open lines after {rounds} rounds")
-        judged = _round(state, width, big_orders).checkpoint(eager=True)
+        seen = Observation()
+        judged = _round(state, width).observe(
+            seen, F.count_if(F.col("st") == OPEN).alias("open")).checkpoint(eager=True)
         rounds += 1
         rejected.append(judged.filter(F.col("st") == REJECTED).select("seq"))
         state = judged.filter((F.col("st") == OPEN) |
                               ((F.col("st") == ACCEPTED) & (F.col("open_after") > 0))).drop("open_after")
-        left = judged.filter(F.col("st") == OPEN).count()
+        left = seen.get["open"]
         if left >= open_lines:
             raise RuntimeError("admission round made no progress")  # impossible by construction
         open_lines = left
 
-    decisions = verdicts
-    if rejected:
-        stock_rejected = (reduce(DataFrame.unionByName, rejected).distinct()
-                          .withColumn("_stock", F.lit(True)))
-        decisions = (verdicts.join(stock_rejected, "seq", "left")
-                     .withColumn("reason", F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(),
-                                                  F.lit("stock")).otherwise(F.col("reason"))))
-    decisions = decisions.select("seq", F.col("reason").isNull().alias("accepted"), "reason")
-    return Admission(decisions, rounds)
+    refused = reduce(DataFrame.unionByName, rejected).distinct()
+    decisions = (verdicts.join(refused.withColumn("_stock", F.lit(True)), "seq", "left")
+                 .withColumn("reason", F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(),
+                                              F.lit("stock")).otherwise(F.col("reason")))
+                 .select("seq", F.col("reason").isNull().alias("accepted"), "reason"))
+    return Admission(decisions, refused, rounds)

@@ -5,11 +5,15 @@ A request is one till order: parallel product / quantity arrays, dates as
 delivery, and the selling staff member.  Requests are checked in bulk and
 get the first failing reason, in this order:
 
-    type, date, lines, quantity, product, staff   (then stock, in admission)
-
-Requests passing type, date, lines and quantity reach the insert step and
-consume an order id even if later rejected (the id sequence is not rolled
-back), so accepted orders may have gaps between their ids.
+    seq, type, date, lines, quantity, text, product, staff   (then stock, in admission)
+
+``seq`` is a request's identity and arrival order: a missing one, and every
+copy of a repeated one, is rejected, so each request gets exactly one
+decision.  ``text`` is the schema's rule for names and addresses (present
+where the order type needs them, at most 30 characters).  Requests passing
+seq, type, date, lines and quantity reach the insert step and consume an
+order id even if later rejected (the id sequence is not rolled back), so
+accepted orders may have gaps between their ids.
 """
 
 from __future__ import annotations
@@ -21,25 +25,29 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import DEFAULT_REFERENCE_DATE, parse_request_date
 from ..functions.ids import dense_index
-from ..sources.schemas import ORDER_TYPES
+from ..sources.schemas import MAX_TEXT, ORDER_TYPES
 
-REASONS = ("type", "date", "lines", "quantity", "product", "staff", "stock")
+REASONS = ("seq", "type", "date", "lines", "quantity", "text", "product", "staff", "stock")
 # Reasons that stop a request before it reaches the insert (no id used).
-PRE_INSERT_REASONS = ("type", "date", "lines", "quantity")
+PRE_INSERT_REASONS = ("seq", "type", "date", "lines", "quantity")
+# Text columns that each order type writes, none of them NULL.
+TYPE_TEXT = {"Collection": ("fname", "lname"),
+             "Delivery": ("fname", "lname", "house", "street", "city")}
 
 
 def coerce_requests(raw: DataFrame) -> DataFrame:
     """Requests typed as text (as read from a form, csv or untyped json) to
     the request schema: text is trimmed, ids and quantities go through
     ``try_cast`` so a malformed number becomes NULL and the request is
-    rejected by validation ('lines', 'quantity' or 'staff') instead of
-    failing the job.  ``products`` / ``quantities`` may be arrays of text or
-    ``;``-separated text."""
+    rejected by validation ('seq', 'lines', 'quantity' or 'staff') instead of
+    failing the job.  ``products`` / ``quantities`` may be arrays of text,
+    ``;``-separated text or the text of a JSON array (as an untyped json
+    reader gives it)."""
     def as_array(name, to):
         c = F.col(name)
-        dtype = dict(raw.dtypes)[name]
-        items = c if dtype.startswith("array") else F.split(c, ";")
-        return F.transform(items, lambda x: F.trim(x.cast("string")).try_cast(to))
+        if not dict(raw.dtypes)[name].startswith("array"):
+            c = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, ";"))
+        return F.transform(c, lambda x: F.trim(x.cast("string")).try_cast(to))
 
     text = ["order_type", "sale_date", "due_date", "fname", "lname", "house", "street", "city"]
     return raw.select(
@@ -86,15 +94,26 @@ def validate_requests(requests: DataFrame, inventory: DataFrame, staff: DataFram
     unknown_product = (lines.join(inventory.select("product_id"), "product_id", "left_anti")
                        .select("seq").distinct().withColumn("_no_product", F.lit(True)))
     known_staff = staff.select("staff_id", F.lit(True).alias("_staff_ok"))
+    repeated = (requests.groupBy("seq").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+                .select("seq", F.lit(True).alias("_repeated")))
     r = (r.join(known_staff, "staff_id", "left").join(unknown_product, "seq", "left")
+         .join(repeated, "seq", "left")
          .withColumn("_no_staff", F.col("_staff_ok").isNull()))
-    reason = (F.when(~F.coalesce(F.col("order_type").isin(*ORDER_TYPES), F.lit(False)), "type")
+    text_ok = F.lit(True)
+    for kind, columns in TYPE_TEXT.items():
+        fits = F.lit(True)
+        for c in columns:
+            fits = fits & F.col(c).isNotNull() & (F.length(c) <= MAX_TEXT)
+        text_ok = text_ok & ((F.col("order_type") != kind) | fits)
+    reason = (F.when(F.col("seq").isNull() | F.col("_repeated").isNotNull(), "seq")
+              .when(~F.coalesce(F.col("order_type").isin(*ORDER_TYPES), F.lit(False)), "type")
               .when(~date_ok, "date")
               .when(~lines_ok | ~F.coalesce(ids_ok, F.lit(False)), "lines")
               .when(~F.coalesce(qty_ok, F.lit(False)), "quantity")
+              .when(~F.coalesce(text_ok, F.lit(False)), "text")
               .when(F.coalesce(F.col("_no_product"), F.lit(False)), "product")
               .when(F.coalesce(F.col("_no_staff"), F.lit(False)), "staff"))
-    return r.withColumn("reason", reason).drop("_no_product", "_no_staff", "_staff_ok")
+    return r.withColumn("reason", reason).drop("_no_product", "_no_staff", "_staff_ok", "_repeated")
 
 
 def assign_order_ids(decided: DataFrame, start: int) -> DataFrame:

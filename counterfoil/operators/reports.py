@@ -24,12 +24,11 @@ execution, which broadcasts a side only after measuring it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import as_money, line_value, meets
 from ..functions.names import full_name
-from ..session import ensure_checkpoint_dir
 from ..tables import Tables
 
 MODES = ("strict", "compat")
@@ -40,14 +39,6 @@ LIFETIME_SALES_MIN = 50000       # staff lifetime sales at or above
 YEARLY_SALES_MIN = 30000         # staff sales in a year at or above
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Materialise a small intermediate read by more than one branch of a
-    report (R9 inside R13, the crosstab's cells): one pass over the line
-    table instead of one per reader.  Written to the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _check_mode(mode: str) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
@@ -161,37 +152,28 @@ def staff_by_top_value(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool = F
 
 def staff_product_units(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool = False) -> DataFrame:
     """R8, long form: (staff, product, units) cells of the crosstab plus the
-    staff member's ranking value.  Scales with any number of products."""
-    sellers = top_product_sellers(t, min_value, inclusive)
-    ranking = sellers.groupBy("staff_id").agg(as_money(F.sum("value_sold")).alias("total_value"))
-    return (sellers.join(ranking, "staff_id")
+    staff member's ranking value, a window sum over the aggregated cells."""
+    per_staff = Window.partitionBy("staff_id")
+    return (top_product_sellers(t, min_value, inclusive)
+            .withColumn("total_value", as_money(F.sum("value_sold").over(per_staff)))
             .select("staff_id", full_name().alias("full_name"), "product_id",
                     "units_sold", "total_value")
             .orderBy(F.desc("total_value"), "staff_id", "product_id"))
 
 
-def staff_product_crosstab(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool = False,
-                           max_columns: int = 1000) -> DataFrame:
-    """One row per seller of a top product, ranked by value; one column
-    ``p_<id>`` per top product sold by staff (ascending id), units or 0.
+def staff_product_crosstab(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool = False) -> DataFrame:
+    """One row per seller of a top product, ranked by value, with the
+    crosstab row as ``cells``: an array of (product_id, units_sold) by
+    ascending product; a product that is not there has 0 units.
 
-    The column set depends on the data, so its ids are fetched first (at
-    most ``max_columns + 1`` of them).  Past ``max_columns`` this refuses
-    instead of truncating: use :func:`staff_product_units`.
+    The schema does not depend on the data, and an array holds one staff
+    member's top products only, so any number of products fits.
     """
-    sellers = _small(top_product_sellers(t, min_value, inclusive))
-    ids = [r[0] for r in sellers.select("product_id").distinct()
-           .orderBy("product_id").limit(max_columns + 1).collect()]
-    if len(ids) > max_columns:
-        raise ValueError(f"crosstab would exceed {max_columns} product columns; "
-                         "use staff_product_units (long form)")
-    ranking = sellers.groupBy("staff_id", "fname", "lname").agg(
-        as_money(F.sum("value_sold")).alias("total_value"))
-    wide = (sellers.groupBy("staff_id").pivot("product_id", ids)
-            .agg(F.first("units_sold")))
-    cols = [F.coalesce(F.col(str(i)), F.lit(0).cast("long")).alias(f"p_{i}") for i in ids]
-    return (ranking.join(wide, "staff_id")
-            .select(full_name().alias("full_name"), "staff_id", "total_value", *cols)
+    return (top_product_sellers(t, min_value, inclusive)
+            .groupBy("staff_id", "fname", "lname")
+            .agg(as_money(F.sum("value_sold")).alias("total_value"),
+                 F.sort_array(F.collect_list(F.struct("product_id", "units_sold"))).alias("cells"))
+            .select(full_name().alias("full_name"), "staff_id", "total_value", "cells")
             .orderBy(F.desc("total_value"), "staff_id"))
 
 
@@ -210,13 +192,10 @@ def yearly_top_products(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool =
 
 
 def staff_top_products(t: Tables, min_value=TOP_PRODUCT_MIN, inclusive: bool = False,
-                       mode: str = "strict", r9: DataFrame | None = None) -> DataFrame:
+                       mode: str = "strict") -> DataFrame:
     """Distinct (yr, staff_id, product_id) where the staff member sold a
-    product of that year's R9 list: in that year (strict) or ever (compat).
-    ``r9`` may pass an already computed R9."""
-    if r9 is None:
-        r9 = yearly_top_products(t, min_value, inclusive, mode)
-    r9 = r9.select("yr", "product_id")
+    product of that year's R9 list: in that year (strict) or ever (compat)."""
+    r9 = yearly_top_products(t, min_value, inclusive, mode).select("yr", "product_id")
     candidates = t.order_products.select("order_id", "product_id").join(
         r9.select("product_id").distinct(), "product_id", "left_semi")
     if mode == "strict":
@@ -239,18 +218,39 @@ def yearly_staff_sales(t: Tables, min_total=YEARLY_SALES_MIN, inclusive: bool =
             .orderBy(F.desc("total_sales"), "staff_id", "yr"))
 
 
+def _coverage(t: Tables, product_min, product_inclusive, staff_min, staff_inclusive) -> DataFrame:
+    """Strict R12 with the year's number of top products: (staff_id, yr,
+    n_products, needed) for staff passing R11.
+
+    One aggregate of lines by (yr, staff, product) gives both the products
+    sold (R10) and the year's sales (R11), so with R9 the line table is read
+    twice and no wide decimals are computed on it.
+    """
+    sold = (t.order_products
+            .join(t.orders.select("order_id", F.year("order_placed").alias("yr")), "order_id")
+            .join(t.staff_orders, "order_id")
+            .groupBy("yr", "staff_id", "product_id").agg(F.sum("quantity").alias("units")))
+    top = (yearly_top_products(t, product_min, product_inclusive, "strict")
+           .select("yr", "product_id", F.count(F.lit(1)).over(Window.partitionBy("yr")).alias("needed")))
+    return (sold.join(_prices(t), "product_id").join(top, ["yr", "product_id"], "left")
+            .groupBy("staff_id", "yr")
+            .agg(F.sum(F.col("price") * F.col("units")).alias("total_sales"),
+                 F.count("needed").alias("n_products"), F.max("needed").alias("needed"))
+            .filter(meets("total_sales", staff_min, staff_inclusive) & (F.col("n_products") > 0)))
+
+
 def staff_yearly_coverage(t: Tables, product_min=TOP_PRODUCT_MIN, product_inclusive: bool = False,
                           staff_min=YEARLY_SALES_MIN, staff_inclusive: bool = True,
-                          mode: str = "strict", r9: DataFrame | None = None) -> DataFrame:
+                          mode: str = "strict") -> DataFrame:
     """(full_name, staff_id, yr, n_products): how many of the year's
     top products the staff member sold, for staff passing R11."""
-    counts = (staff_top_products(t, product_min, product_inclusive, mode, r9)
-              .groupBy("staff_id", "yr").agg(F.count("product_id").alias("n_products")))
-    passed = yearly_staff_sales(t, staff_min, staff_inclusive, mode).select("staff_id", "yr")
+    _check_mode(mode)
     if mode == "strict":
-        kept = counts.join(passed, ["staff_id", "yr"], "left_semi")
+        kept = _coverage(t, product_min, product_inclusive, staff_min, staff_inclusive)
     else:
-        passed = _small(passed)   # read twice: staff list and year list
+        counts = (staff_top_products(t, product_min, product_inclusive, mode)
+                  .groupBy("staff_id", "yr").agg(F.count("product_id").alias("n_products")))
+        passed = yearly_staff_sales(t, staff_min, staff_inclusive, mode)
         kept = (counts.join(passed.select("staff_id").distinct(), "staff_id", "left_semi")
                 .join(passed.select("yr").distinct(), "yr", "left_semi"))
     return (kept.join(t.staff, "staff_id")
@@ -269,15 +269,20 @@ def employees_of_the_year(t: Tables, year: int | None = None,
     so a given year is applied as a date range on the orders first.
     """
     _check_mode(mode)
-    if year is not None and mode == "strict":
-        start = F.make_date(F.lit(year), F.lit(1), F.lit(1))
-        t = t.replace(orders=t.orders.filter(
-            (F.col("order_placed") >= start) & (F.col("order_placed") < F.add_months(start, 12))))
-    r9 = _small(yearly_top_products(t, product_min, product_inclusive, mode))
-    needed = r9.groupBy("yr").agg(F.count(F.lit(1)).alias("n_products"))
-    cover = staff_yearly_coverage(t, product_min, product_inclusive, staff_min, staff_inclusive,
-                                  mode, r9)
-    winners = cover.join(needed, ["yr", "n_products"]).select("yr", "staff_id", "full_name")
-    if year is not None:
-        winners = winners.filter(F.col("yr") == year)
+    if mode == "strict":
+        if year is not None:
+            start = F.make_date(F.lit(year), F.lit(1), F.lit(1))
+            t = t.replace(orders=t.orders.filter(
+                (F.col("order_placed") >= start) & (F.col("order_placed") < F.add_months(start, 12))))
+        winners = (_coverage(t, product_min, product_inclusive, staff_min, staff_inclusive)
+                   .filter(F.col("n_products") == F.col("needed"))
+                   .join(t.staff, "staff_id")
+                   .select("yr", "staff_id", full_name().alias("full_name")))
+    else:
+        needed = (yearly_top_products(t, product_min, product_inclusive, mode)
+                  .groupBy("yr").agg(F.count(F.lit(1)).alias("n_products")))
+        cover = staff_yearly_coverage(t, product_min, product_inclusive, staff_min, staff_inclusive, mode)
+        winners = cover.join(needed, ["yr", "n_products"]).select("yr", "staff_id", "full_name")
+        if year is not None:
+            winners = winners.filter(F.col("yr") == year)
     return winners.orderBy("yr", "full_name", "staff_id")

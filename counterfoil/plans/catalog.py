@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from typing import Callable
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from ..operators import stock as S
 from ..operators.admission import admit_orders
 from ..sources.schemas import MAX_TEXT as V_MAX_TEXT
 from ..sources.schemas import TABLE_SCHEMAS
+from ..sources.publish import publish, read_version
 from ..sources.testdata import bind_requests, bind_tables
+from ..streaming.orders_stream import stream_orders
 from . import oracle as O
 from ..session import ensure_checkpoint_dir
 from .jobs import materialize_requests, place_orders
@@ -52,28 +55,23 @@ def register(name: str, sql: str | None):
 TOP_PRODUCT_MIN = 1_110_000      # R5-R8: about 1 % of products at sf0.01
 LIFETIME_MIN = 1_420_000         # R4 with customers as staff: about 10 %
 YEAR_PRODUCT_MIN = 300_000       # R9-R13 with regions as staff
-YEAR_STAFF_MIN = 30_000          # R11 (reference value)
+YEAR_STAFF_MIN = 49_600_000      # R11: about half of the (region, year) pairs at sf0.01
 
 
 # ------------------------------------------------------------------ reports
 
-@register("r2_product_revenue", O.with_binding("""
-SELECT i.product_id, i.product_desc,
-       CAST(COALESCE(i.price * p.units, 0) AS DECIMAL(38,2)) AS total_value
-FROM b_inventory i
-LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM b_lines GROUP BY product_id) p
-  ON p.product_id = i.product_id
+@register("r2_product_revenue", O.with_binding(f"""
+WITH {O.REVENUE}
+SELECT product_id, product_desc, CAST(total_value AS DECIMAL(38,2)) AS total_value
+FROM revenue JOIN b_inventory USING (product_id)
 """))
 def q_product_revenue(spark, sf_dir):
     return R.product_revenue(bind_tables(spark, sf_dir))
 
 
 @register("r1_sale_values", O.with_binding("""
-SELECT s.staff_id, o.order_placed, l.product_id, l.order_id,
-       CAST(l.quantity * i.price AS DECIMAL(38,2)) AS sale_value
-FROM b_lines l JOIN b_inventory i ON i.product_id = l.product_id
-JOIN b_orders o ON o.order_id = l.order_id
-JOIN b_staff_orders s ON s.order_id = o.order_id
+SELECT staff_id, order_placed, product_id, order_id, CAST(price * quantity AS DECIMAL(38,2)) AS sale_value
+FROM b_staff_orders JOIN b_orders USING (order_id) JOIN b_lines USING (order_id) JOIN b_inventory USING (product_id)
 """, "region"))
 def q_sale_values(spark, sf_dir):
     return R.sale_values(bind_tables(spark, sf_dir, "region"))
@@ -114,20 +112,14 @@ def q_lifetime_compat(spark, sf_dir):
                                   mode="compat")
 
 
-TOP_SQL = f"""
-  revenue AS (SELECT i.product_id, COALESCE(i.price * p.units, 0) AS total_value
-              FROM b_inventory i
-              LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM b_lines GROUP BY product_id) p
-                ON p.product_id = i.product_id),
+TOP_SQL = f"""{O.REVENUE},
   top AS (SELECT product_id, total_value FROM revenue WHERE total_value > {TOP_PRODUCT_MIN}),
-  sellers AS (SELECT so.staff_id, st.fname, st.lname, l.product_id,
-                     CAST(SUM(l.quantity) AS BIGINT) AS units_sold,
-                     CAST(SUM(l.quantity * i.price) AS DECIMAL(38,2)) AS value_sold
-              FROM b_lines l JOIN b_staff_orders so ON so.order_id = l.order_id
-              JOIN b_inventory i ON i.product_id = l.product_id
-              JOIN b_staff st ON st.staff_id = so.staff_id
-              JOIN top x ON x.product_id = i.product_id
-              GROUP BY so.staff_id, st.fname, st.lname, l.product_id)"""
+  top_units AS (SELECT staff_id, product_id, CAST(SUM(quantity) AS BIGINT) AS units_sold
+                FROM b_lines JOIN b_staff_orders USING (order_id)
+                WHERE product_id IN (SELECT product_id FROM top) GROUP BY ALL),
+  sellers AS (SELECT staff_id, fname, lname, product_id, units_sold,
+                     CAST(price * units_sold AS DECIMAL(38,2)) AS value_sold
+              FROM top_units JOIN b_inventory USING (product_id) JOIN b_staff USING (staff_id))"""
 
 
 @register("r5_top_products", O.with_binding(f"""
@@ -165,20 +157,16 @@ def q_units_long(spark, sf_dir):
     return R.staff_product_units(bind_tables(spark, sf_dir), TOP_PRODUCT_MIN)
 
 
-# DuckDB's dynamic PIVOT must wrap a self-contained query (its column
-# discovery does not see outer CTEs).
-@register("r8_staff_product_crosstab", f"""
-SELECT * FROM (PIVOT ({O.with_binding(f'''
-WITH {TOP_SQL},
-  ranking AS (SELECT staff_id, fname || ' ' || lname AS full_name,
-                     CAST(SUM(value_sold) AS DECIMAL(38,2)) AS total_value
-              FROM sellers GROUP BY staff_id, fname, lname)
-SELECT r.staff_id, r.full_name, r.total_value, 'p_' || CAST(s.product_id AS VARCHAR) AS col, s.units_sold
-FROM ranking r JOIN sellers s ON s.staff_id = r.staff_id''')})
-      ON col USING CAST(COALESCE(SUM(units_sold), 0) AS BIGINT) GROUP BY staff_id, full_name, total_value)
-""")
+@register("r8_staff_product_crosstab", O.with_binding(f"""
+WITH {TOP_SQL}
+SELECT staff_id, fname || ' ' || lname AS full_name, CAST(SUM(value_sold) AS DECIMAL(38,2)) AS total_value,
+       string_agg(product_id || ':' || units_sold, ' ' ORDER BY product_id) AS cells
+FROM sellers GROUP BY staff_id, fname, lname
+"""))
 def q_crosstab(spark, sf_dir):
-    return R.staff_product_crosstab(bind_tables(spark, sf_dir), TOP_PRODUCT_MIN)
+    wide = R.staff_product_crosstab(bind_tables(spark, sf_dir), TOP_PRODUCT_MIN)
+    return wide.withColumn("cells", F.array_join(F.transform(
+        "cells", lambda c: F.concat_ws(":", c["product_id"].cast("string"), c["units_sold"].cast("string"))), " "))
 
 
 def _yearly_sql(mode):
@@ -244,25 +232,30 @@ JOIN need ON need.yr = r12.yr AND need.n_products = r12.n_products""", "region")
                                        staff_min=YEAR_STAFF_MIN, mode=_m)
 
 
-@register("r14_report_lines", O.with_binding("""
-SELECT printf('%-30s%-1s%-30s%-1s%-30s', CAST(i.product_id AS VARCHAR) || ',', ' ',
-              i.product_desc || ',', ' ',
-              '£' || CAST(CAST(trunc(COALESCE(i.price * p.units, 0)) AS BIGINT) AS VARCHAR)) AS line
-FROM b_inventory i
-LEFT JOIN (SELECT product_id, SUM(quantity) AS units FROM b_lines GROUP BY product_id) p
-  ON p.product_id = i.product_id
+@register("r14_report_lines", O.with_binding(f"""
+WITH {O.REVENUE}
+SELECT printf('%-30s%-1s%-30s%-1s%-30s', product_id || ',', ' ', product_desc || ',', ' ',
+              '£' || CAST(trunc(total_value) AS BIGINT)) AS line
+FROM revenue JOIN b_inventory USING (product_id)
 """))
 def q_report_lines(spark, sf_dir):
     return D.report_lines(R.product_revenue(bind_tables(spark, sf_dir)))
 
 
+@register("r14_report_lines_staff", f"""
+SELECT printf('%-30s%-1s%-30s', full_name || ',', ' ', '£' || CAST(trunc(lifetime_sales) AS BIGINT)) AS line
+FROM ({_lifetime_sql("strict", "customer")})
+""")
+def q_report_lines_staff(spark, sf_dir):
+    return D.report_lines(R.staff_lifetime_sales(bind_tables(spark, sf_dir, "customer"), LIFETIME_MIN))
+
+
 # ------------------------------------------------------------------ expiry
 
 EXPIRY_AS_OF = _dt.date(1998, 1, 1)     # about a third of the order dates precede it
 EXPIRED_SQL = f"""
-  uncollected AS (SELECT o.order_id, c.collection_date
-                  FROM b_orders o JOIN b_collections c ON c.order_id = o.order_id
-                  WHERE o.completed = 0),
+  uncollected AS (SELECT order_id, collection_date FROM b_collections
+                  WHERE order_id IN (SELECT order_id FROM b_orders WHERE completed = 0)),
   expired AS (SELECT DISTINCT order_id FROM uncollected
               WHERE collection_date + 8 <= DATE '{EXPIRY_AS_OF}'),
   removed AS (SELECT order_id FROM expired
@@ -331,6 +324,22 @@ def q_cancelled(spark, sf_dir):
     return E.expire_collections(bind_tables(spark, sf_dir), EXPIRY_AS_OF).cancelled
 
 
+@register("e6_blocked_orders", O.with_binding(
+    f"WITH {EXPIRED_SQL}\nSELECT order_id FROM expired WHERE order_id IN (SELECT order_id FROM b_deliveries)"))
+def q_blocked(spark, sf_dir):
+    return E.expire_collections(bind_tables(spark, sf_dir), EXPIRY_AS_OF).blocked
+
+
+LEAVING_BELOW = 5   # E5: staff with a smaller id are removed
+
+
+@register("e5_cascade_from_staff", O.with_binding(f"""
+SELECT * FROM b_staff_orders WHERE staff_id IN (SELECT staff_id FROM b_staff WHERE staff_id >= {LEAVING_BELOW})"""))
+def q_cascade_staff(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    return E.remove_staff(t, t.staff.filter(F.col("staff_id") < LEAVING_BELOW)).staff_orders
+
+
 # ------------------------------------------------------------------ stock
 
 @register("d1_reduce_stock", O.with_binding("""
@@ -450,7 +459,7 @@ def q_explode(spark, sf_dir):
 
 @register("c10_parse_request_date", O.with_binding("""
 SELECT o.order_id AS seq, o.order_placed AS sale_day, COALESCE(c.collection_date, d.delivery_date) AS due_day
-FROM b_orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l.l_orderkey = o.order_id
+FROM b_orders o
 LEFT JOIN b_collections c ON c.order_id = o.order_id
 LEFT JOIN b_deliveries d ON d.order_id = o.order_id"""))
 def q_parse_dates(spark, sf_dir):
@@ -463,8 +472,8 @@ ID_START = 1_000_000
 
 
 @register("c2_assign_order_ids", O.with_binding(f"""
-SELECT o.order_id AS seq, {ID_START} - 1 + row_number() OVER (ORDER BY o.order_id) AS order_id
-FROM b_orders o JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l.l_orderkey = o.order_id"""))
+SELECT order_id AS seq, CASE WHEN has_lines THEN {ID_START} - 1 + SUM(has_lines::INT) OVER (ORDER BY order_id) END::BIGINT AS order_id
+FROM (SELECT order_id, order_id IN (SELECT order_id FROM b_lines) AS has_lines FROM b_orders)"""))
 def q_assign_ids(spark, sf_dir):
     t = bind_tables(spark, sf_dir)
     v = I.validate_requests(bind_requests(spark, sf_dir), t.inventory, t.staff)
@@ -509,7 +518,7 @@ def q_build_lines(spark, sf_dir):
 
 
 @register("c6_build_staff_orders", O.with_binding(f"""WITH {REPLAY_SQL}
-SELECT s.staff_id, ids.order_id FROM ids JOIN b_staff_orders s ON s.order_id = ids.seq""", "region"))
+SELECT s.staff_id, ids.order_id FROM ids JOIN b_sold_by s ON s.order_id = ids.seq""", "region"))
 def q_build_links(spark, sf_dir):
     return _replay(spark, sf_dir, "region").staff_orders
 
@@ -522,33 +531,145 @@ def q_build_collections(spark, sf_dir):
 
 @register("c8_build_deliveries", O.with_binding(f"""WITH {REPLAY_SQL}
 SELECT ids.order_id, d.fname, d.lname, d.house, d.street, d.city, d.delivery_date
-FROM ids JOIN b_deliveries d ON d.order_id = ids.seq"""))
+FROM ids JOIN b_deliveries d ON d.order_id = ids.seq
+WHERE ids.seq NOT IN (SELECT order_id FROM b_collections)"""))
 def q_build_deliveries(spark, sf_dir):
     return _replay(spark, sf_dir).deliveries
 
 
-# Admission with the binding's stock is iterative: no SQL twin; checked
-# against a sequential fold in tests/test_admission.py.
-@register("c3_admit_orders", None)
+# Beside the replayed orders, copies of some of them with one thing wrong, so
+# that every reason to reject a request is met.  ``kind`` is the source's
+# order id modulo FLAW_EVERY.
+FLAW_EVERY, FLAW_ID = 101, 1_000_000_000
+FLAWS = ("type", "date", "lines", "quantity", "product", "staff", "again", "no seq", "text")
+
+
+def _flawed_requests(spark, sf_dir):
+    reqs = bind_requests(spark, sf_dir)
+    kind = F.col("seq") % FLAW_EVERY
+    is_ = {name: kind == i for i, name in enumerate(FLAWS)}
+    copies = reqs.filter(kind < len(FLAWS)).select(
+        F.when(is_["again"], F.col("seq")).when(~is_["no seq"], F.col("seq") + FLAW_ID).alias("seq"),
+        F.when(is_["type"], "Post").otherwise(F.col("order_type")).alias("order_type"),
+        F.when(is_["product"], F.transform("products", lambda p: p + 5 * FLAW_ID))
+         .when(is_["lines"], F.slice("products", 2, 1000)).otherwise(F.col("products")).alias("products"),
+        F.when(is_["quantity"], F.transform("quantities", lambda q: F.lit(0)))
+         .otherwise(F.col("quantities")).alias("quantities"),
+        F.when(is_["date"], "32-Jan-20").otherwise(F.col("sale_date")).alias("sale_date"), "due_date",
+        F.when(is_["text"], F.repeat(F.lit("x"), F.lit(31))).otherwise(F.col("fname")).alias("fname"),
+        "lname", "house", "street", "city",
+        F.when(is_["staff"], -1).otherwise(F.col("staff_id")).alias("staff_id"))
+    return reqs.unionByName(copies)
+
+
+# The sequential meaning as a fold over the orders in arrival order: the
+# accumulator carries the stock of every product and the verdicts so far.
+_FLAWED_SQL = f"""
+            UNION ALL
+            SELECT CASE flaw WHEN 'again' THEN src WHEN 'no seq' THEN NULL ELSE src + {FLAW_ID} END, src, order_type, flaw
+            FROM (SELECT order_id AS src, order_type, list_extract({list(FLAWS)}, (order_id % {FLAW_EVERY} + 1)::INT) AS flaw
+                  FROM b_orders WHERE order_id % {FLAW_EVERY} < {len(FLAWS)})"""
+
+
+def _fold_sql(flawed: str) -> str:
+    return f"""
+  asked AS (SELECT order_id AS seq, order_id AS src, order_type, 'fine' AS flaw FROM b_orders{flawed}),
+  checked AS (SELECT seq, src, CASE
+                WHEN seq IS NULL OR COUNT(*) OVER (PARTITION BY seq) > 1 THEN 'seq'
+                WHEN flaw IN ('type', 'date') THEN flaw
+                WHEN flaw = 'lines' OR src NOT IN (SELECT order_id FROM b_lines) THEN 'lines'
+                WHEN flaw = 'quantity' THEN flaw
+                WHEN flaw = 'text' AND order_type <> 'InStore' THEN flaw
+                WHEN flaw IN ('product', 'staff') THEN flaw END AS reason
+              FROM asked),
+  shelf AS (SELECT product_id, stock, row_number() OVER (ORDER BY product_id) AS place
+            FROM b_inventory WHERE product_id IN (SELECT product_id FROM b_lines)),
+  wants AS (SELECT seq, list(place) AS places, list(q) AS amounts
+            FROM (SELECT c.seq, s.place, CAST(SUM(l.quantity) AS BIGINT) AS q
+                  FROM checked c JOIN b_lines l ON l.order_id = c.src JOIN shelf s ON s.product_id = l.product_id
+                  WHERE c.reason IS NULL GROUP BY c.seq, s.place) GROUP BY seq),
+  folded AS (
+    SELECT list_reduce(
+      list_concat([(SELECT struct_pack(stock := list(stock ORDER BY place), places := []::BIGINT[], amounts := []::BIGINT[],
+                                       accepted := []::BOOLEAN[]) FROM shelf)],
+                  list(struct_pack(stock := []::BIGINT[], places := places, amounts := amounts, accepted := []::BOOLEAN[])
+                       ORDER BY seq)),
+      lambda acc, x: CASE
+        WHEN list_bool_and(list_transform(x.places, lambda p, i: coalesce(acc.stock[p] >= x.amounts[i], true)))
+        THEN struct_pack(stock := list_transform(acc.stock, lambda s, p: s - coalesce(x.amounts[list_position(x.places, p)], 0)),
+                         places := []::BIGINT[], amounts := []::BIGINT[], accepted := list_append(acc.accepted, true))
+        ELSE struct_pack(stock := acc.stock, places := []::BIGINT[], amounts := []::BIGINT[],
+                         accepted := list_append(acc.accepted, false)) END) AS f
+    FROM wants),
+  verdict AS (SELECT unnest((SELECT list(seq ORDER BY seq) FROM wants)) AS seq, unnest(f.accepted) AS fits FROM folded),
+  decided AS (SELECT c.seq, c.src, CASE WHEN c.reason IS NULL AND NOT v.fits THEN 'stock' ELSE c.reason END AS reason
+              FROM checked c LEFT JOIN verdict v ON v.seq = c.seq),
+  numbered AS (SELECT *, CASE WHEN coalesce(reason NOT IN ('seq', 'type', 'date', 'lines', 'quantity'), true)
+                         THEN {ID_START} - 1 + COUNT(*) FILTER (WHERE coalesce(reason NOT IN ('seq', 'type', 'date', 'lines', 'quantity'), true))
+                              OVER (ORDER BY seq) END AS order_id
+               FROM decided)"""
+
+
+FOLD_SQL = _fold_sql(_FLAWED_SQL)
+
+
+@register("c3_admit_orders", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT seq, reason IS NULL AS accepted, reason FROM decided"""))
 def q_admit(spark, sf_dir):
     t = bind_tables(spark, sf_dir)
-    reqs = materialize_requests(bind_requests(spark, sf_dir))
+    reqs = materialize_requests(_flawed_requests(spark, sf_dir))
     v = I.validate_requests(reqs, t.inventory, t.staff)
     return admit_orders(v, I.explode_order_lines(reqs), t.inventory).decisions
 
 
-@register("c9_place_orders", None)
+def _placed(spark, sf_dir):
+    return place_orders(_no_orders(spark, bind_tables(spark, sf_dir)), _flawed_requests(spark, sf_dir), id_start=ID_START)
+
+
+@register("c9_place_orders", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT seq, reason IS NULL AS accepted, reason, order_id FROM numbered"""))
 def q_place(spark, sf_dir):
-    t = _no_orders(spark, bind_tables(spark, sf_dir))
-    return place_orders(t, bind_requests(spark, sf_dir), id_start=ID_START).decisions
+    return _placed(spark, sf_dir).decisions
+
+
+@register("c9_order_lines_after", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT n.order_id, l.product_id, l.quantity FROM numbered n JOIN b_lines l ON l.order_id = n.src WHERE n.reason IS NULL"""))
+def q_place_lines(spark, sf_dir):
+    return _placed(spark, sf_dir).tables.order_products
+
+
+@register("c9_stock_after", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT i.product_id, coalesce(left_.stock, CASE WHEN s.product_id IS NULL THEN i.stock END) AS stock
+FROM b_inventory i LEFT JOIN shelf s USING (product_id)
+LEFT JOIN (SELECT unnest(f.stock) AS stock, generate_subscripts(f.stock, 1) AS place FROM folded) left_ USING (place)"""))
+def q_place_stock(spark, sf_dir):
+    return _placed(spark, sf_dir).tables.inventory.select("product_id", "stock")
+
+
+@register("c11_stream_orders", O.with_binding(f"""WITH {_fold_sql("")}
+SELECT n.order_id, l.product_id, l.quantity FROM numbered n JOIN b_lines l ON l.order_id = n.src WHERE n.reason IS NULL"""))
+def q_stream(spark, sf_dir):
+    """The replayed requests arrive in three parts; the stream is started
+    again for each and goes on from its checkpoint."""
+    base = f"{ensure_checkpoint_dir(spark)}/c11-{uuid.uuid4().hex}"
+    reqs = materialize_requests(bind_requests(spark, sf_dir))
+    publish(_no_orders(spark, bind_tables(spark, sf_dir)), f"{base}/ledger")
+    cuts = reqs.approxQuantile("seq", [1 / 3, 2 / 3], 0.01)
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (F.col("seq") > c).cast("int")
+    for i in range(len(cuts) + 1):
+        reqs.filter(part == i).write.mode("append").parquet(f"{base}/requests")
+        stream = stream_orders(spark, f"{base}/requests", f"{base}/ledger", f"{base}/checkpoint", fmt="parquet",
+                               id_start=ID_START if i == 0 else None)
+        stream.awaitTermination()
+    return read_version(spark, f"{base}/ledger").order_products
 
 
 # ------------------------------------------------------------------ presentation
 # The operators compute money exactly as DECIMAL(38,2).  Registered queries
-# present it as DOUBLE, converted once from the exact result on both sides,
-# so a comparison reads the same values whether it goes through Row
-# objects, DB-API tuples or pandas (where DuckDB turns DECIMAL into float64
-# but Spark yields Decimal objects).  No sum is ever taken over doubles.
+# present it as whole pence (BIGINT, ``<name>_pence``), which reads the same
+# through Row objects, DB-API tuples and pandas.
 MONEY_COLUMNS = {
     "r1_sale_values": ("sale_value",),
     "r2_product_revenue": ("total_value",),
@@ -574,10 +695,12 @@ def _present(name: str, cols: tuple[str, ...]) -> None:
     q = REGISTRY[name]
 
     def build(spark, sf_dir, _b=q.build):
-        return _b(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in cols})
+        df = _b(spark, sf_dir)
+        return df.select(*[(F.col(c) * 100).cast("bigint").alias(f"{c}_pence") if c in cols else F.col(c)
+                           for c in df.columns])
 
-    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
-    sql = f"SELECT * REPLACE ({casts}) FROM (\n{q.sql}\n) AS presented" if q.sql else None
+    pence = ", ".join(f"CAST({c} * 100 AS BIGINT) AS {c}_pence" for c in cols)
+    sql = f"SELECT * EXCLUDE ({', '.join(cols)}), {pence} FROM (\n{q.sql}\n) AS presented" if q.sql else None
     REGISTRY[name] = Query(build, sql)
 
 

@@ -20,7 +20,7 @@ from ..operators import intake as I
 from ..operators.admission import admit_orders
 from ..operators.stock import reduce_stock, stock_levels
 from ..session import ensure_checkpoint_dir
-from ..sources.publish import commit_note, latest_version, publish
+from ..sources.publish import CANCELLED, commit_note, latest_version, publish_changes
 from ..tables import Tables
 
 ORDER_KINDS = {1: "InStore", 2: "Collection", 3: "Delivery"}
@@ -29,6 +29,7 @@ ORDER_KINDS = {1: "InStore", 2: "Collection", 3: "Delivery"}
 @dataclass(frozen=True)
 class Placement:
     tables: Tables          # tables with the accepted orders applied
+    new_rows: dict[str, DataFrame]  # what the batch adds to the five order tables
     decisions: DataFrame    # seq, accepted, reason, order_id (NULL if no id used)
     rounds: int
     next_id: int            # next free order id (ids are not reused after a rejection)
@@ -62,56 +63,61 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
     validated = I.validate_requests(requests, t.inventory, t.staff, reference_date)
     lines = I.explode_order_lines(requests)
     adm = admit_orders(validated, lines, t.inventory)
-    decided = validated.drop("reason").join(adm.decisions, "seq")
+    # ``refused`` has a seq once and valid requests only, so each request stays one row
+    reason = F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(), "stock").otherwise(F.col("reason"))
+    decided = (validated.join(adm.refused.withColumn("_stock", F.lit(True)), "seq", "left")
+               .withColumn("reason", reason).drop("_stock")
+               .withColumn("accepted", F.col("reason").isNull()))
     start = id_start if id_start is not None else next_order_id(t)
     numbered = I.assign_order_ids(decided, start)
     top = numbered.agg(F.max("order_id")).first()[0]
     accepted = numbered.filter(F.col("accepted"))
     new_lines = I.build_order_products(accepted, lines)
-    tables = t.replace(
-        inventory=reduce_stock(t.inventory, new_lines),
-        orders=t.orders.unionByName(I.build_orders(accepted)),
-        order_products=t.order_products.unionByName(new_lines),
-        staff_orders=t.staff_orders.unionByName(I.build_staff_orders(accepted)),
-        collections=t.collections.unionByName(I.build_collections(accepted)),
-        deliveries=t.deliveries.unionByName(I.build_deliveries(accepted)))
+    new_rows = {"orders": I.build_orders(accepted), "order_products": new_lines,
+                "staff_orders": I.build_staff_orders(accepted),
+                "collections": I.build_collections(accepted), "deliveries": I.build_deliveries(accepted)}
+    tables = t.replace(inventory=reduce_stock(t.inventory, new_lines),
+                       **{n: getattr(t, n).unionByName(df) for n, df in new_rows.items()})
     decisions = numbered.select("seq", "accepted", "reason", "order_id")
     stock_after = stock_levels(tables.inventory, lines.join(accepted.select("seq"), "seq", "left_semi"))
-    return Placement(tables, decisions, adm.rounds, start if top is None else top + 1, stock_after)
+    return Placement(tables, new_rows, decisions, adm.rounds, start if top is None else top + 1, stock_after)
 
 
 def sequence_position(spark, root: str, t: Tables) -> int:
-    """Next order id: the position recorded by the last published job, never
-    below max(order_id) + 1.  Ids used by rejected or cancelled orders are
-    not handed out again (the source's sequence is not rolled back)."""
-    recorded = None
+    """Next order id: the position recorded by the last published job.  Ids
+    used by rejected or cancelled orders are not handed out again (the
+    source's sequence is not rolled back).  Only a ledger whose last version
+    has no position (its first snapshot) is scanned for it."""
     latest = latest_version(spark, root)
-    if latest:
-        recorded = commit_note(spark, root, latest).get("next_order_id")
-    return max(recorded or 0, next_order_id(t))
+    recorded = commit_note(spark, root, latest).get("next_order_id") if latest else None
+    return recorded or next_order_id(t)
 
 
 def run_placement(t: Tables, requests: DataFrame, root: str, job_id: str | None = None,
                   **kwargs) -> tuple[int, Placement]:
-    """C9 + S14: place a batch and publish the resulting tables."""
+    """C9 + S12-S14: place a batch and publish its new rows and the new stock."""
     spark = t.orders.sparkSession
+    version = latest_version(spark, root) + 1
     if kwargs.get("id_start") is None:
         kwargs["id_start"] = sequence_position(spark, root, t)
     placed = place_orders(t, requests, **kwargs)
-    version = publish(placed.tables, root, {"job": "placement", "rounds": placed.rounds,
-                                            "next_order_id": placed.next_id}, job_id)
-    return version, placed
+    note = {"job": "placement", "rounds": placed.rounds, "next_order_id": placed.next_id}
+    done = publish_changes(spark, root, {**placed.new_rows, "inventory": placed.tables.inventory}, note, job_id,
+                           version=version)
+    return done, placed
 
 
 def run_expiry(t: Tables, as_of, root: str, days: int = E.EXPIRY_DAYS,
                job_id: str | None = None) -> tuple[int, E.ExpiryResult]:
-    """E6 + S14: one expiry run published as a new version.  The removed
-    set feeds five outputs, so it is written to the checkpoint folder
-    once instead of being recomputed for each."""
+    """E6 + S14: one expiry run, published as the ids it cancelled and the
+    new stock.  The removed set feeds both, so it is written to the
+    checkpoint folder once."""
     spark = t.orders.sparkSession
     ensure_checkpoint_dir(spark)
+    version = latest_version(spark, root) + 1
     position = sequence_position(spark, root, t)        # carried forward
     result = E.expire_collections(t, as_of, days, materialize=lambda df: df.checkpoint(eager=True))
-    version = publish(result.tables, root, {"job": "expiry", "as_of": str(as_of),
-                                            "next_order_id": position}, job_id)
-    return version, result
+    note = {"job": "expiry", "as_of": str(as_of), "next_order_id": position}
+    done = publish_changes(spark, root, {CANCELLED: result.cancelled, "inventory": result.tables.inventory}, note,
+                           job_id, version=version)
+    return done, result

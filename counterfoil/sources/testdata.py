@@ -16,6 +16,13 @@ derived):
   deliveries add house = customer key, street = segment, city = nation name
 * staff: one of nation (default), region or customer; staff_orders links an
   order to its customer's nation / region / the customer itself
+
+Added, so that every rule of the operators meets rows that show it:
+
+* stock is NULL (untracked) for parts divisible by 97
+* parts divisible by 101 have a never sold "spare" product beside them
+* orders divisible by 7 have a second staff row, the next staff member
+* Collection orders divisible by 11 have a delivery row as well
 """
 
 from __future__ import annotations
@@ -35,6 +42,9 @@ PRIORITY_TYPES = {"1": "InStore", "2": "InStore", "3": "Collection",
                   "4": "Collection", "5": "Delivery"}
 STOCK_PER_SIZE = 20
 DUE_SPREAD_DAYS = 14
+UNTRACKED_EVERY, SPARE_EVERY, HELPED_EVERY, ALSO_DELIVERED_EVERY = 97, 101, 7, 11
+SPARE_ID = 1_000_000_000
+N_NATIONS, N_REGIONS = 25, 5
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +74,14 @@ def bind_tables(spark: SparkSession, sf_dir: str, staff_by: str = "nation") -> T
     nation = _read(spark, sf_dir, "nation")
     region = _read(spark, sf_dir, "region")
 
+    stock = F.col("p_size").cast("long") * STOCK_PER_SIZE
+    key, price = F.col("p_partkey").cast("long"), F.col("p_retailprice").cast(PRICE).alias("price")
     inventory = part.select(
-        F.col("p_partkey").cast("long").alias("product_id"),
-        F.col("p_name").alias("product_desc"),
-        F.col("p_retailprice").cast(PRICE).alias("price"),
-        (F.col("p_size").cast("long") * STOCK_PER_SIZE).alias("stock"))
+        key.alias("product_id"), F.col("p_name").alias("product_desc"), price,
+        F.when(key % UNTRACKED_EVERY != 0, stock).alias("stock")
+    ).unionByName(part.filter(key % SPARE_EVERY == 0).select(
+        (key + SPARE_ID).alias("product_id"), F.concat(F.lit("spare "), "p_name").alias("product_desc"),
+        price, stock.alias("stock")))
 
     typed = src_orders.select(
         F.col("o_orderkey").cast("long").alias("order_id"),
@@ -98,7 +111,9 @@ def bind_tables(spark: SparkSession, sf_dir: str, staff_by: str = "nation") -> T
     collections = (typed.filter(F.col("order_type") == "Collection")
                    .join(cust, "cust_id")
                    .select("order_id", "fname", "lname", due.alias("collection_date")))
-    deliveries = (typed.filter(F.col("order_type") == "Delivery")
+    delivered = (F.col("order_type") == "Delivery") | (
+        (F.col("order_type") == "Collection") & (F.col("order_id") % ALSO_DELIVERED_EVERY == 0))
+    deliveries = (typed.filter(delivered)
                   .join(cust, "cust_id")
                   .join(nation.select(F.col("n_nationkey").cast("long").alias("nation_id"),
                                       F.col("n_name").alias("city")), "nation_id")
@@ -131,12 +146,19 @@ def _bind_staff(staff_by, typed, cust, nation, region):
     else:
         staff = cust.select(F.col("cust_id").alias("staff_id"), "fname", "lname")
         staff_orders = links.select(F.col("cust_id").alias("staff_id"), "order_id")
-    return staff, staff_orders
+    following = F.col("staff_id") + 1
+    count = {"nation": N_NATIONS, "region": N_REGIONS}.get(staff_by)
+    helpers = staff_orders.filter(F.col("order_id") % HELPED_EVERY == 0).select(
+        (following % count if count else following).alias("staff_id"), "order_id")
+    if not count:
+        helpers = helpers.join(staff.select("staff_id"), "staff_id", "left_semi")
+    return staff, staff_orders.unionByName(helpers)
 
 
 def bind_requests(spark: SparkSession, sf_dir: str, staff_by: str = "nation") -> DataFrame:
-    """Order requests replaying every source order that has lines
-    (seq = order key), with the same derived fields as ``bind_tables``.
+    """Order requests replaying every source order (seq = order key; empty
+    arrays for an order without lines), with the same derived fields as
+    ``bind_tables``.
 
     One pass: orders joined to their customer and nation (left joins, so an
     order without a customer keeps NULL name and staff), plus the order's
@@ -169,7 +191,7 @@ def bind_requests(spark: SparkSession, sf_dir: str, staff_by: str = "nation") ->
                  F.col("l_quantity").cast("int").alias("q"), F.col("l_suppkey"),
                  F.col("l_shipdate")))).alias("ls")))
     req = (typed.join(cust, "cust_id", "left").join(nat, "nation_id", "left")
-           .join(lines, "order_id"))
+           .join(lines, "order_id", "left"))
 
     has_cust = F.col("c_fname").isNotNull()
     has_city = has_cust & F.col("n_city").isNotNull()
@@ -183,8 +205,8 @@ def bind_requests(spark: SparkSession, sf_dir: str, staff_by: str = "nation") ->
     return req.select(
         F.col("order_id").alias("seq"),
         "order_type",
-        F.col("ls.p").alias("products"),
-        F.col("ls.q").alias("quantities"),
+        F.coalesce(F.col("ls.p"), F.array().cast("array<bigint>")).alias("products"),
+        F.coalesce(F.col("ls.q"), F.array().cast("array<int>")).alias("quantities"),
         F.date_format("order_placed", fmt).alias("sale_date"),
         F.when(named, F.date_format(_due_date(F.col("order_placed"), F.col("order_id")), fmt))
          .alias("due_date"),

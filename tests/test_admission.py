@@ -2,6 +2,7 @@ import random
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import types as T
 
 from counterfoil.functions.prefix import exclusive_prefix_sums
 from counterfoil.operators import intake as I
@@ -82,10 +83,34 @@ def test_kind_filter(spark):
     assert [r["seq"] for r in placed.decisions.collect()] == [2]
 
 
-@pytest.mark.parametrize("seed,split", [(1, False), (2, False), (3, True), (4, True)])
-def test_admission_equals_sequential_fold(spark, seed, split, monkeypatch):
-    if split:   # force the skew paths: two-level running sums, per-order aggregate
-        monkeypatch.setattr("counterfoil.operators.admission.SINGLE_WINDOW_MAX_LINES", 0)
+def test_missing_and_repeated_seq_are_rejected(spark):
+    t = _tables(spark, [(1, "One", D("1.00"), 100)])
+    reqs = spark.createDataFrame([request(1, [(1, 3)], 1), request(1, [(1, 4)], 1), request(None, [(1, 1)], 1),
+                                  request(None, [(1, 1)], 1), request(2, [(1, 5)], 1)],
+                                 T.StructType([T.StructField(f.name, f.dataType) for f in REQUESTS.fields]))
+    placed = place_orders(t, reqs, id_start=1)
+    got = sorted(map(tuple, placed.decisions.collect()), key=str)
+    assert got == sorted([(1, False, "seq", None), (1, False, "seq", None), (None, False, "seq", None),
+                          (None, False, "seq", None), (2, True, None, 1)], key=str)
+    assert [r["stock"] for r in placed.tables.inventory.collect()] == [95]
+    assert placed.tables.order_products.count() == 1
+
+
+@pytest.mark.parametrize("kind,field,value", [
+    ("Delivery", "fname", None), ("Delivery", "city", None), ("Delivery", "lname", "x" * 31),
+    ("Collection", "lname", None), ("Collection", "fname", "x" * 31)])
+def test_names_and_addresses_follow_the_schema(spark, kind, field, value):
+    text = dict(fname="A", lname="B", house="1", street="S", city="C")
+    t = _tables(spark, [(1, "One", D("1.00"), 100)])
+    reqs = spark.createDataFrame([
+        request(1, [(1, 1)], 1, kind=kind, due="20-Nov-20", **{**text, field: value}),
+        request(2, [(1, 1)], 1, kind=kind, due="20-Nov-20", **text)], REQUESTS)
+    placed = place_orders(t, reqs, id_start=1)
+    assert {r["seq"]: r["reason"] for r in placed.decisions.collect()} == {1: "text", 2: None}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_admission_equals_sequential_fold(spark, seed):
     rnd = random.Random(seed)
     products = list(range(1, 9))
     stock = {p: rnd.choice([None, rnd.randint(0, 40)]) for p in products}
@@ -165,6 +190,8 @@ def test_coerce_text_requests(spark):
         ("2", "InStore", "1;x", "1;1", "17-Nov-20", None, None, None, None, None, None, "1"),
         ("3", "InStore", "1", "two", "17-Nov-20", None, None, None, None, None, None, "1"),
         ("4", "InStore", "1", "1", "17-Nov-20", None, None, None, None, None, None, "one"),
+        ("5", "InStore", "[1, 2]", ' ["1", 1]', "17-Nov-20", None, None, None, None, None, None, "1"),
+        ("five", "InStore", "1", "1", "17-Nov-20", None, None, None, None, None, None, "1"),
     ], ", ".join(f"{n} string" for n in
                  "seq order_type products quantities sale_date due_date fname lname house street city staff_id".split()))
     reqs = I.coerce_requests(raw)
@@ -173,9 +200,9 @@ def test_coerce_text_requests(spark):
     t = _tables(spark)
     placed = place_orders(t, reqs, id_start=1)
     got = {r["seq"]: r["reason"] for r in placed.decisions.collect()}
-    assert got == {1: None, 2: "lines", 3: "quantity", 4: "staff"}
+    assert got == {1: None, 2: "lines", 3: "quantity", 4: "staff", 5: None, None: "seq"}
     after = sorted((r["pos"], r["product_id"], r["stock"]) for r in placed.stock_after.collect())
-    assert after == [(0, 1, 7), (1, 2, 3)]
+    assert after == [(0, 1, 6), (0, 1, 6), (1, 2, 2), (1, 2, 2)]
 
 
 def test_dense_index_is_consecutive_across_partitions(spark):

@@ -1,7 +1,10 @@
+import os
 from decimal import Decimal as D
 
+import pytest
+
 from counterfoil.plans.jobs import run_expiry, run_placement
-from counterfoil.sources.publish import committed_versions, publish, read_version
+from counterfoil.sources.publish import commit_note, committed_versions, publish, publish_changes, read_version
 from counterfoil.sources.schemas import REQUESTS
 from counterfoil.streaming.orders_stream import place_batch
 from counterfoil.tables import Tables
@@ -16,8 +19,8 @@ def test_replayed_batch_id_publishes_once(spark, scratch):
     root = f"{scratch}/ledger"
     publish(_shop(spark), root)
     batch = spark.createDataFrame([request(1, [(1, 4)], 1)], REQUESTS)
-    v1 = place_batch(spark, batch, 0, root)
-    v2 = place_batch(spark, batch, 0, root)      # the same micro-batch re-run after a failure
+    v1 = place_batch(spark, batch, 0, root, "s")
+    v2 = place_batch(spark, batch, 0, root, "s")      # the same micro-batch re-run after a failure
     assert v1 == v2 == 2 and committed_versions(spark, root) == [1, 2]
     stock = {r["product_id"]: r["stock"] for r in read_version(spark, root).inventory.collect()}
     assert stock == {1: 6}
@@ -49,3 +52,56 @@ def test_expiry_returns_stock_to_later_orders(spark, scratch):
     # ids 1 (cancelled) and 2 (rejected) are not handed out again
     assert [r["order_id"] for r in final.orders.collect()] == [3]
     assert committed_versions(spark, root) == [1, 2, 3, 4, 5]
+
+
+def _files(root):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names}
+
+
+def test_placement_writes_only_new_rows_and_stock(spark, scratch):
+    root = f"{scratch}/ledger"
+    publish(_shop(spark), root)
+    batch = spark.createDataFrame([request(1, [(1, 4)], 1)], REQUESTS)
+    run_placement(read_version(spark, root), batch, root)
+    before = _files(root)
+    more = spark.createDataFrame([request(2, [(1, 1)], 1), request(3, [(1, 9)], 1)], REQUESTS)
+    run_placement(read_version(spark, root), more, root)
+    after = _files(root)
+    assert before.items() <= after.items()      # nothing published is written again
+    note = commit_note(spark, root, 3)
+    assert note["next_order_id"] == 4 and "staff" not in note["tables"]
+    assert spark.read.parquet(f"{root}/attempts/{note['attempt']}/orders").count() == 1
+    t = read_version(spark, root)
+    assert sorted(r["order_id"] for r in t.orders.collect()) == [1, 2]
+    assert [r["stock"] for r in t.inventory.collect()] == [5]
+    assert [r["stock"] for r in read_version(spark, root, 2).inventory.collect()] == [6]
+
+
+def test_half_written_commits_are_invisible(spark, scratch):
+    root = f"{scratch}/ledger"
+    publish(_shop(spark), root)
+    os.makedirs(f"{root}/attempts/dead/orders/_temporary")
+    with open(f"{root}/commits/.half", "w") as f:
+        f.write('{"attempt": "dea')
+    assert committed_versions(spark, root) == [1] and read_version(spark, root).inventory.count() == 1
+
+
+def test_second_writer_of_a_version_fails(spark, scratch):
+    root = f"{scratch}/ledger"
+    publish(_shop(spark), root)
+    batch = spark.createDataFrame([request(1, [(1, 4)], 1)], REQUESTS)
+    run_placement(read_version(spark, root), batch, root)
+    kept = _files(root)
+    with pytest.raises(Exception, match="already committed"):
+        publish_changes(spark, root, {"inventory": _shop(spark).inventory}, version=2)
+    assert kept.items() <= _files(root).items() and committed_versions(spark, root) == [1, 2]
+    assert [r["stock"] for r in read_version(spark, root).inventory.collect()] == [6]
+
+
+def test_snapshot_compacts(spark, scratch):
+    root = f"{scratch}/ledger"
+    publish(_shop(spark), root)
+    run_placement(read_version(spark, root), spark.createDataFrame([request(1, [(1, 4)], 1)], REQUESTS), root)
+    publish(read_version(spark, root), root, {"next_order_id": 2})
+    t = read_version(spark, root)
+    assert t.orders.count() == 1 and [r["stock"] for r in t.inventory.collect()] == [6]

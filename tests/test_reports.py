@@ -47,19 +47,40 @@ def test_crosstab_and_ranking(spark):
     assert rows(R.staff_by_top_value(t), "staff_id", "total_value") == [
         (2, D("52545.00")), (1, D("50050.00"))]
     wide = R.staff_product_crosstab(t)
-    assert wide.columns == ["full_name", "staff_id", "total_value", "p_1", "p_2"]
-    assert rows(wide, "full_name", "p_1", "p_2") == [("Bo Ray", 300, 90), ("Ada Li", 250, 100)]
+    assert wide.columns == ["full_name", "staff_id", "total_value", "cells"]
+    assert [(r["full_name"], [tuple(c) for c in r["cells"]]) for r in wide.collect()] == [
+        ("Bo Ray", [(1, 300), (2, 90)]), ("Ada Li", [(1, 250), (2, 100)])]
     long = rows(R.staff_product_units(t), "staff_id", "product_id", "units_sold")
     assert long == [(2, 1, 300), (2, 2, 90), (1, 1, 250), (1, 2, 100)]
-    with pytest.raises(ValueError):
-        R.staff_product_crosstab(t, max_columns=1)
 
 
-def test_crosstab_fills_zero(spark):
+def test_crosstab_leaves_out_unsold_products(spark):
     # staff 3 sells only product 2 in G2
     wide = R.staff_product_crosstab(g2(spark))
-    got = {r["staff_id"]: (r["p_1"], r["p_2"]) for r in wide.collect()}
-    assert got[3] == (0, 140)
+    got = {r["staff_id"]: [tuple(c) for c in r["cells"]] for r in wide.collect()}
+    assert got[3] == [(2, 140)]
+
+
+def test_crosstab_on_testdata(spark):
+    """Non-empty at sf0.001 with a lower threshold, and equal to the long form."""
+    from counterfoil.sources.testdata import bind_tables
+    t = bind_tables(spark, "/root/testdata/sf0.001")
+    wide = R.staff_product_crosstab(t, 900_000).collect()
+    long = R.staff_product_units(t, 900_000).collect()
+    assert wide and len(long) > 100
+    assert [(r["staff_id"], r["total_value"], c["product_id"], c["units_sold"]) for r in wide for c in r["cells"]] == [
+        (r["staff_id"], r["total_value"], r["product_id"], r["units_sold"]) for r in long]
+
+
+def test_builders_and_views_start_no_job(spark):
+    from counterfoil.plans.views import register_views
+    t = g1(spark)
+    spark.sparkContext.setJobGroup("lazy", "builders")
+    register_views(t, prefix="lazy_")
+    register_views(t, mode="compat", prefix="lazy_c_")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)
 
 
 def test_yearly_top_products(spark):
