@@ -60,67 +60,30 @@ def primary_key_violations(df: DataFrame, table: str, key) -> DataFrame:
                   .otherwise(F.concat(F.lit("duplicate key x"), F.col("n").cast("string"))))
 
 
-def foreign_key_violations(child: DataFrame, table: str, col: str,
-                           parent: DataFrame, parent_table: str, parent_col: str) -> DataFrame:
-    """V2: child rows whose reference has no parent row."""
-    missing = child.join(parent.select(F.col(parent_col).alias(col)), col, "left_anti")
-    return _rows(missing, "V2", table, [col],
-                 F.lit(f"{col} not in {parent_table}.{parent_col}"))
-
-
-def order_rule_violations(orders: DataFrame) -> DataFrame:
-    """V3 order type, V4 completion flag."""
-    v3 = _rows(orders.filter(~F.col("order_type").isin(*ORDER_TYPES) | F.col("order_type").isNull()),
-               "V3", "orders", ["order_id"],
-               F.concat(F.lit("order_type "), F.coalesce(F.col("order_type"), F.lit("NULL"))))
-    v4 = _rows(orders.filter(~F.col("completed").isin(*COMPLETED_VALUES) | F.col("completed").isNull()),
-               "V4", "orders", ["order_id"],
-               F.concat(F.lit("completed "), F.coalesce(F.col("completed").cast("string"), F.lit("NULL"))))
-    return v3.unionByName(v4)
-
-
-def not_null_violations(df: DataFrame, table: str, key) -> DataFrame:
-    """V5: NULL in a NOT NULL column (one row per column and row)."""
-    parts = []
-    for f in TABLE_SCHEMAS[table].fields:
-        if not f.nullable:
-            parts.append(_rows(df.filter(F.col(f.name).isNull()), "V5", table, key,
-                               F.lit(f"{f.name} is null")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def quantity_violations(lines: DataFrame) -> DataFrame:
-    """V6: line quantity must be positive."""
-    return _rows(lines.filter(F.col("quantity") <= 0), "V6", "order_products",
-                 ["order_id", "product_id"],
-                 F.concat(F.lit("quantity "), F.col("quantity").cast("string")))
-
-
-def due_date_violations(t: Tables) -> DataFrame:
-    """V7: a collection or delivery date before the sale date."""
-    placed = t.orders.select("order_id", "order_placed")
-    c = (t.collections.join(placed, "order_id").filter(F.col("collection_date") < F.col("order_placed")))
-    d = (t.deliveries.join(placed, "order_id").filter(F.col("delivery_date") < F.col("order_placed")))
-    return (_rows(c, "V7", "collections", ["order_id"], F.lit("collection_date before order_placed"))
-            .unionByName(_rows(d, "V7", "deliveries", ["order_id"], F.lit("delivery_date before order_placed"))))
-
-
-def length_violations(df: DataFrame, table: str, key, cols) -> DataFrame:
-    """V8: text longer than VARCHAR(30)."""
-    parts = [_rows(df.filter(F.length(c) > MAX_TEXT), "V8", table, key,
-                   F.concat(F.lit(f"{c} length "), F.length(c).cast("string")))
-             for c in cols]
-    return reduce(DataFrame.unionByName, parts)
+ROW_KEYS = {"order_products": ["order_id", "product_id"], "deliveries": ["order_id"],
+            "collections": ["order_id"], "staff_orders": ["staff_id", "order_id"], **PRIMARY_KEYS}
 
 
-def price_violations(inventory: DataFrame) -> DataFrame:
-    """V8: price outside NUMERIC(8,2)."""
-    return _rows(inventory.filter(F.abs("price") >= MAX_PRICE_EXCLUSIVE), "V8", "inventory",
-                 ["product_id"], F.lit("price out of range"))
+# V7: the due date of each child of orders that has one.
+DUE_DATES = {"collections": "collection_date", "deliveries": "delivery_date"}
 
 
-ROW_KEYS = {"order_products": ["order_id", "product_id"], "deliveries": ["order_id"],
-            "collections": ["order_id"], "staff_orders": ["staff_id", "order_id"], **PRIMARY_KEYS}
+def _with_parents(tables: dict[str, DataFrame], table: str) -> tuple[DataFrame, list[tuple[str, Column, Column, list[str]]]]:
+    """The table left-joined once to each parent it references, and the V2
+    and V7 checks on the joined row."""
+    df, checks = tables[table], []
+    for child, col, parent, pcol in FOREIGN_KEYS:
+        if child != table:
+            continue
+        # a parent key counts once, whatever V1 finds wrong with it
+        keys = tables[parent].filter(F.col(pcol).isNotNull()).groupBy(F.col(pcol).alias(f"_{pcol}"))
+        due = DUE_DATES.get(table) if parent == "orders" else None
+        found = keys.agg(F.max("order_placed").alias("_placed")) if due else keys.agg(F.lit(True).alias(f"_has_{pcol}"))
+        df = df.join(found, F.col(col) == F.col(f"_{pcol}"), "left")
+        checks.append(("V2", F.col(f"_{pcol}").isNull(), F.lit(f"{col} not in {parent}.{pcol}"), [col]))
+        if due:
+            checks.append(("V7", F.col(due) < F.col("_placed"), F.lit(f"{due} before order_placed"), [col]))
+    return df, checks
 
 
 def _row_checks(table: str) -> list[tuple[str, Column, Column]]:
@@ -144,35 +107,33 @@ def _row_checks(table: str) -> list[tuple[str, Column, Column]]:
     return checks
 
 
-def row_rule_violations(df: DataFrame, table: str) -> DataFrame:
-    """V3-V6, V8 of one table in a single scan: each row carries the array
-    of its failing checks, which is exploded (a valid row emits nothing)."""
+def row_violations(tables: dict[str, DataFrame], table: str) -> DataFrame:
+    """V2-V8 of one table in a single pass: each row, joined to its parents,
+    carries the array of its failing checks, which is exploded (a valid row
+    emits nothing)."""
+    df, checks = _with_parents(tables, table)
+    checks = checks + [(rule, cond, detail, ROW_KEYS[table]) for rule, cond, detail in _row_checks(table)]
     failing = F.filter(
-        F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
-                  for rule, cond, detail in _row_checks(table)]),
+        F.array(*[F.when(cond, F.struct(F.lit(rule).alias("rule"), _key(key).alias("row_key"), detail.alias("detail")))
+                  for rule, cond, detail, key in checks]),
         lambda v: v.isNotNull())
-    return (df.select(_key(ROW_KEYS[table]).alias("row_key"), F.explode(failing).alias("v"))
-            .select(F.col("v.rule").alias("rule"), F.lit(table).alias("table_name"),
-                    "row_key", F.col("v.detail").alias("detail")))
+    return (df.select(F.explode(failing).alias("v"))
+            .select(F.col("v.rule").alias("rule"), F.lit(table).alias("table_name"), "v.row_key", "v.detail"))
 
 
 def validate_tables(t: Tables) -> DataFrame:
-    """Every V1-V8 violation of the seven tables: one scan per table for
-    the row-level rules, one aggregate per primary key, one anti join per
-    reference and one join per due-date rule."""
+    """Every V1-V8 violation of the seven tables: one pass per table (with a
+    join to each parent) and one aggregate per primary key."""
     tables = dict(t.items())
     parts = [primary_key_violations(tables[n], n, k) for n, k in PRIMARY_KEYS.items()]
-    parts += [foreign_key_violations(tables[c], c, col, tables[p], p, pc)
-              for c, col, p, pc in FOREIGN_KEYS]
-    parts += [row_rule_violations(tables[n], n) for n in TABLE_SCHEMAS]
-    parts.append(due_date_violations(t))
+    parts += [row_violations(tables, n) for n in TABLE_SCHEMAS]
     return reduce(DataFrame.unionByName, parts)
 
 
 def split_valid(df: DataFrame, violations: DataFrame, table: str, key) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` (table ``table``) without / with a violation on ``key``."""
-    bad = violations.filter(F.col("table_name") == table).select("row_key").distinct()
+    """Rows of ``df`` (table ``table``) without / with a violation on ``key``.
+    Both read ``violations``: pass a stored one (``checkpoint``)."""
+    bad = violations.filter(F.col("table_name") == table).select(F.col("row_key").alias("_row_key")).distinct()
     keyed = df.withColumn("_row_key", _key(key))
-    valid = keyed.join(bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti").drop("_row_key")
-    rejected = keyed.join(bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_semi").drop("_row_key")
-    return valid, rejected
+    return (keyed.join(bad, "_row_key", "left_anti").drop("_row_key"),
+            keyed.join(bad, "_row_key", "left_semi").drop("_row_key"))

@@ -403,11 +403,65 @@ def q_fulfilment(spark, sf_dir):
 
 # ------------------------------------------------------------------ integrity
 
+# The bound tables with rows that break each rule, by rules on their ids.
+SPOIL_EVERY, SPOIL_ID = 211, 10_000_000_000
+SPOILED_SQL = f"""
+  s_inventory AS (SELECT product_id, CASE product_id % {SPOIL_EVERY} WHEN 1 THEN NULL WHEN 2 THEN repeat('x', 31) ELSE product_desc END AS product_desc,
+                         CASE WHEN product_id % {SPOIL_EVERY} = 3 THEN 1000000 ELSE price END AS price, stock
+                  FROM (FROM b_inventory UNION ALL FROM b_inventory WHERE product_id % {SPOIL_EVERY} = 4)),
+  s_orders AS (SELECT order_id, CASE order_id % {SPOIL_EVERY} WHEN 1 THEN 'Post' WHEN 2 THEN NULL ELSE order_type END AS order_type,
+                      CASE WHEN order_id % {SPOIL_EVERY} = 3 THEN 2 ELSE completed END AS completed, order_placed
+               FROM (FROM b_orders UNION ALL FROM b_orders WHERE order_id % {SPOIL_EVERY} = 0)),
+  s_lines AS (SELECT CASE WHEN order_id % {SPOIL_EVERY} = 5 THEN order_id + {SPOIL_ID} ELSE order_id END AS order_id,
+                     CASE WHEN order_id % {SPOIL_EVERY} = 6 THEN -7 ELSE product_id END AS product_id,
+                     CASE WHEN order_id % {SPOIL_EVERY} = 4 THEN 0 ELSE quantity END AS quantity FROM b_lines),
+  s_collections AS (SELECT order_id, fname, CASE WHEN order_id % {SPOIL_EVERY} = 8 THEN repeat('x', 31) ELSE lname END AS lname,
+                           CASE WHEN order_id % {SPOIL_EVERY} = 7 THEN collection_date - 400 ELSE collection_date END AS collection_date
+                    FROM b_collections),
+  s_deliveries AS (SELECT CASE WHEN order_id % {SPOIL_EVERY} = 11 THEN order_id + {SPOIL_ID} ELSE order_id END AS order_id, fname, lname,
+                          house, street, CASE WHEN order_id % {SPOIL_EVERY} = 10 THEN NULL ELSE city END AS city,
+                          CASE WHEN order_id % {SPOIL_EVERY} = 9 THEN delivery_date - 400 ELSE delivery_date END AS delivery_date
+                   FROM b_deliveries),
+  s_staff AS (SELECT staff_id, CASE WHEN staff_id = 3 THEN NULL ELSE fname END AS fname, lname
+              FROM (FROM b_staff UNION ALL FROM b_staff WHERE staff_id = 4)),
+  s_staff_orders AS (SELECT CASE WHEN order_id % {SPOIL_EVERY} = 12 THEN staff_id + {SPOIL_ID} ELSE staff_id END AS staff_id, order_id
+                     FROM b_staff_orders)"""
+
+
+def _spoiled(t):
+    def when(key, k, bad, column):
+        return F.when(F.col(key) % SPOIL_EVERY == k, bad).otherwise(F.col(column))
+
+    def twice(df, cond):
+        return df.unionByName(df.filter(cond))
+    long, order = F.repeat(F.lit("x"), F.lit(31)), "order_id"
+    away = F.col(order) + SPOIL_ID
+    desc = F.when(F.col("product_id") % SPOIL_EVERY == 1, F.lit(None)).otherwise(when("product_id", 2, long, "product_desc"))
+    kind = F.when(F.col(order) % SPOIL_EVERY == 1, "Post").otherwise(when(order, 2, F.lit(None), "order_type"))
+    return t.replace(
+        inventory=twice(t.inventory, F.col("product_id") % SPOIL_EVERY == 4).withColumns({
+            "product_desc": desc, "price": when("product_id", 3, F.lit(1000000).cast("decimal(9,2)"), "price")}),
+        orders=twice(t.orders, F.col(order) % SPOIL_EVERY == 0).withColumns({
+            "order_type": kind, "completed": when(order, 3, 2, "completed")}),
+        order_products=t.order_products.withColumns({
+            "product_id": when(order, 6, -7, "product_id"), "quantity": when(order, 4, 0, "quantity"),
+            order: when(order, 5, away, order)}),
+        collections=t.collections.withColumns({
+            "lname": when(order, 8, long, "lname"),
+            "collection_date": when(order, 7, F.date_sub("collection_date", 400), "collection_date")}),
+        deliveries=t.deliveries.withColumns({
+            "city": when(order, 10, F.lit(None), "city"), order: when(order, 11, away, order),
+            "delivery_date": when(order, 9, F.date_sub("delivery_date", 400), "delivery_date")}),
+        staff=twice(t.staff, F.col("staff_id") == 4).withColumn(
+            "fname", F.when(F.col("staff_id") != 3, F.col("fname"))),
+        staff_orders=t.staff_orders.withColumn("staff_id", when(order, 12, F.col("staff_id") + SPOIL_ID, "staff_id")))
+
+
 def _integrity_sql() -> str:
-    """Every V1-V8 rule as SQL over the bound tables, one SELECT per rule."""
-    names = {"inventory": "b_inventory", "orders": "b_orders", "order_products": "b_lines",
-             "deliveries": "b_deliveries", "collections": "b_collections", "staff": "b_staff",
-             "staff_orders": "b_staff_orders"}
+    """Every V1-V8 rule as SQL over the spoiled tables, one SELECT per rule."""
+    names = {"inventory": "s_inventory", "orders": "s_orders", "order_products": "s_lines",
+             "deliveries": "s_deliveries", "collections": "s_collections", "staff": "s_staff",
+             "staff_orders": "s_staff_orders"}
     keys = {"order_products": ["order_id", "product_id"], "deliveries": ["order_id"],
             "collections": ["order_id"], "staff_orders": ["staff_id", "order_id"],
             **V.PRIMARY_KEYS}
@@ -424,30 +478,30 @@ def _integrity_sql() -> str:
         parts.append(f"SELECT 'V2', '{child}', {key([col])} FROM {names[child]} "
                      f"WHERE {col} IS NULL OR {col} NOT IN (SELECT {pcol} FROM {names[parent]} "
                      f"WHERE {pcol} IS NOT NULL)")
-    parts.append("SELECT 'V3', 'orders', " + key(["order_id"]) + " FROM b_orders WHERE order_type IS NULL "
+    parts.append("SELECT 'V3', 'orders', " + key(["order_id"]) + " FROM s_orders WHERE order_type IS NULL "
                  "OR order_type NOT IN ('InStore', 'Collection', 'Delivery')")
-    parts.append("SELECT 'V4', 'orders', " + key(["order_id"]) + " FROM b_orders WHERE completed IS NULL "
+    parts.append("SELECT 'V4', 'orders', " + key(["order_id"]) + " FROM s_orders WHERE completed IS NULL "
                  "OR completed NOT IN (0, 1)")
     for t, schema in TABLE_SCHEMAS.items():
         for f in schema.fields:
             if not f.nullable:
                 parts.append(f"SELECT 'V5', '{t}', {key(keys[t])} FROM {names[t]} WHERE {f.name} IS NULL")
     parts.append("SELECT 'V6', 'order_products', " + key(["order_id", "product_id"]) +
-                 " FROM b_lines WHERE quantity <= 0")
+                 " FROM s_lines WHERE quantity <= 0")
     for t, col in (("collections", "collection_date"), ("deliveries", "delivery_date")):
         parts.append(f"SELECT 'V7', '{t}', {key(['order_id'], 'x.')} FROM {names[t]} x "
-                     f"JOIN b_orders o ON o.order_id = x.order_id WHERE x.{col} < o.order_placed")
+                     f"JOIN (SELECT order_id, MAX(order_placed) AS order_placed FROM s_orders GROUP BY order_id) o ON o.order_id = x.order_id WHERE x.{col} < o.order_placed")
     for t, cols in V.TEXT_COLUMNS.items():
         for c in cols:
             parts.append(f"SELECT 'V8', '{t}', {key(keys[t])} FROM {names[t]} WHERE length({c}) > {V_MAX_TEXT}")
-    parts.append(f"SELECT 'V8', 'inventory', {key(['product_id'])} FROM b_inventory "
+    parts.append(f"SELECT 'V8', 'inventory', {key(['product_id'])} FROM s_inventory "
                  f"WHERE abs(price) >= {V.MAX_PRICE_EXCLUSIVE}")
-    return O.with_binding("\nUNION ALL ".join(parts))
+    return O.with_binding(f"WITH {SPOILED_SQL}\n" + "\nUNION ALL ".join(parts))
 
 
 @register("v_integrity_violations", _integrity_sql())
 def q_integrity(spark, sf_dir):
-    return V.validate_tables(bind_tables(spark, sf_dir)).select("rule", "table_name", "row_key")
+    return V.validate_tables(_spoiled(bind_tables(spark, sf_dir))).select("rule", "table_name", "row_key")
 
 
 # ------------------------------------------------------------------ intake

@@ -57,3 +57,14 @@ def test_registered_outputs_hold_no_decimal_columns(spark):
             continue
         df = build(spark, SF)
         assert not [f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)], name
+
+
+def test_every_integrity_rule_is_met(spark):
+    rules = {r["rule"] for r in entry.queries()["v_integrity_violations"](spark, SF).select("rule").distinct().collect()}
+    assert rules == {f"V{i}" for i in range(1, 9)}
+
+
+def test_every_rejection_reason_is_met(spark):
+    from counterfoil.operators.intake import REASONS
+    rows = entry.queries()["c3_admit_orders"](spark, SF).select("reason").distinct().collect()
+    assert {r["reason"] for r in rows} == {None, *REASONS}
