@@ -14,6 +14,7 @@ import os
 import re
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -22,8 +23,10 @@ from counterfoil.operators import intake as I            # noqa: E402
 from counterfoil.operators import reports as R           # noqa: E402
 from counterfoil.operators.admission import admit_orders  # noqa: E402
 from counterfoil.plans import catalog as C               # noqa: E402
-from counterfoil.plans.jobs import materialize_requests  # noqa: E402
+from counterfoil.operators import quality as V           # noqa: E402
+from counterfoil.plans.jobs import materialize_requests, run_placement  # noqa: E402
 from counterfoil.session import ensure_checkpoint_dir, get_session  # noqa: E402
+from counterfoil.sources.publish import publish, read_version  # noqa: E402
 from counterfoil.sources.testdata import bind_requests, bind_tables  # noqa: E402
 
 
@@ -66,13 +69,34 @@ def main():
         run(adm.decisions)
         return adm.rounds
 
+    def staff_product_units():
+        run(R.staff_product_units(bind_tables(spark, sf_dir), C.TOP_PRODUCT_MIN))
+
+    def validate():
+        run(V.validate_tables(bind_tables(spark, sf_dir)))
+
+    # A first batch of half the requests onto an empty ledger, then the other
+    # half onto the published one: the second must not pay for the first.
+    ledger = {}
+
+    def place(part):
+        root = f"{ensure_checkpoint_dir(spark)}/bench-{uuid.uuid4().hex}" if part == 0 else ledger["root"]
+        if part == 0:
+            ledger["root"] = root
+            publish(C._no_orders(spark, bind_tables(spark, sf_dir)), root)
+        run_placement(read_version(spark, root), bind_requests(spark, sf_dir).filter(f"seq % 2 = {part}"), root)
+
     queries = {
         "r2_product_revenue": product_revenue,
         "r4_staff_lifetime_sales": staff_lifetime_sales,
         "r8_staff_product_crosstab": staff_product_crosstab,
+        "r8_staff_product_units": staff_product_units,
+        "v_validate_tables": validate,
         "r13_employees_of_the_year": employees_of_the_year,
         "e6_expire_collections": expire_collections,
         "c3_admit_orders": admit,
+        "c9_place_first_batch": lambda: place(0),
+        "c9_place_second_batch": lambda: place(1),
     }
     only = os.environ.get("BENCH_ONLY")
     if only:
