@@ -18,6 +18,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 SQL = {
+    "op1_secret_scans": secret_scan.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op6_url_filters": url_filter.OP6_SQL,
 }

@@ -142,3 +142,41 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
                     F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
                     _written(F.concat("base", "added")).alias("spans"), "n_live", "n_example")
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN_SQL = ("(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+               + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
+_KINDS_SQL = ((0, _ASSIGN_SQL, 2, 6), (1, "AKIA[A-Z0-9]+", 0, 20), (2, "[0-9a-f]+", 0, 24), (3, _WORD + "+", 0, 20))
+_FOUND_SQL = " UNION ALL ".join(
+    f"SELECT rid, {kind} AS kind, {least} AS least, regexp_extract_all(t, '{rx}', 0) AS m, "
+    f"regexp_extract_all(t, '{rx}', {group}) AS v, string_split_regex(t, '{rx}') AS g FROM d"
+    for kind, rx, group, least in _KINDS_SQL)
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS owner,
+                  coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1)) AS repo FROM documents),
+found AS ({_FOUND_SQL}),
+lens AS (SELECT rid, kind, least, v, list_transform(m, lambda x: length(x)) AS ml, list_transform(g, lambda x: length(x)) AS gl
+         FROM found WHERE len(m) > 0),
+placed AS (SELECT rid, kind, least, unnest(v) AS value, unnest(ml) AS n, unnest(gl[1:len(ml)]) AS gap,
+                  unnest(range(len(ml))) AS i FROM lens),
+spans AS (SELECT rid, kind, least, value, n,
+                 SUM(n + gap) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM placed),
+kept AS (SELECT rid, kind, value, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM spans
+         WHERE length(value) >= least AND (kind <> 3 OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))),
+finds AS (SELECT * FROM kept WHERE kind < 3 UNION ALL
+          SELECT * FROM kept b WHERE kind = 3 AND NOT EXISTS (
+            SELECT 1 FROM kept a WHERE a.rid = b.rid AND a.kind < 3 AND a.s < b.e AND b.s < a.e)),
+held AS (SELECT value, count(DISTINCT owner) >= 3 AND count(DISTINCT repo) >= 3 AS example
+         FROM finds JOIN d USING (rid) GROUP BY value),
+written AS (SELECT rid, kind, s, example, list_extract({list(KINDS)}, kind + 1) || ':' || s || ':' || e AS span
+            FROM finds JOIN held USING (value))
+SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+       count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3 OR NOT example), '') AS spans,
+       count(*) FILTER (WHERE NOT example) AS n_live, count(*) FILTER (WHERE example) AS n_example
+FROM d LEFT JOIN written USING (rid) GROUP BY rid, doc_id"""
