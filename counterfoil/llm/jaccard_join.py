@@ -11,7 +11,7 @@ reaches ``num / den``.  The join finds every link's component.
    that are not near copies, so frequent words, lines and passages make no
    candidates, and the candidates grow with the links.
 3. Classes that share a block with another are partitioned into groups of
-   similar documents: by their minimum shingle hash, in chunks of bounded
+   similar documents: by their most widely held block, in chunks of bounded
    size.  A group stores the union of its members' shingles.
 4. Token-group matrix: block -> groups.  Groups that share a block meet; a
    query of one is checked against the other's union first, and the group is
@@ -29,8 +29,10 @@ own cut into k + 1 + e blocks, where k is the largest possible difference
 more than e empty blocks is cut again by other hashes (three cuts, then one
 block for all such sets).
 
-Copies inside a task are dropped before the shuffle; nothing but sums, one
-Bloom filter of bounded size and loop counts reaches the driver.
+Copies inside a task are dropped before the shuffle.  Sets are not stored:
+a task makes them from the text where they are needed, and only those of
+classes with a shared block are shuffled.  Nothing but counts and Bloom
+filters of bounded size reaches the driver.
 
 Defined results: a null or empty text, or one without words, has size 0,
 links with nothing and is its own component; a text of fewer words than a
@@ -49,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, pick, salted_lookup, table
-from .textnum import Block, map_blocks, mix64
+from .textnum import Block, blocks, map_blocks, mix64
 from .url_filter import Level
 
 CUTS = 3
@@ -138,60 +140,101 @@ def _class(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def scan(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, h1, h2 (class), label, keys of each document; ``keys`` is
-    empty where the task has met the class before.  ``docs``: doc_id, text."""
+def scan(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, h1, h2 (class) of each document.  ``docs``: doc_id, text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = text_sets(part.column("text"), width)
+        classes = [_class(t) for t in sets]
+        return pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()),
+             pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64())],
+            names=["doc_id", "n", "h1", "h2"])
+    return map_blocks(docs, run, f"doc_id {kind}, n bigint, h1 bigint, h2 bigint")
+
+
+def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Block keys by bucket of their hash, many to a row: keys, and for each
+    run of them that one class owns its h1 and length.  A class that a task
+    has met before is left out.  ``docs``: text."""
     def run(batches):
-        from .textnum import blocks
         bands, met = Bands(num, den), set()
+        keys, owners, held = [], [], 0
         for batch in batches:
             for part in blocks(batch):
-                rows = {"n": [], "h1": [], "h2": [], "label": [], "keys": []}
                 for t in text_sets(part.column("text"), width):
                     c = _class(t)
-                    again = c in met or not len(t)
+                    if c in met or not len(t):
+                        continue
                     if len(met) > 1_000_000:
                         met.clear()
                     met.add(c)
-                    rows["n"].append(len(t))
-                    rows["h1"].append(c[0])
-                    rows["h2"].append(c[1])
-                    rows["label"].append(int(mix64(t ^ _SALT[1]).min().astype(np.int64)) if len(t) else 0)
-                    rows["keys"].append(None if again else block_keys(t, bands).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id")] + [pa.array(rows[k], pa.int64()) for k in ("n", "h1", "h2", "label")]
-                    + [pa.array(rows["keys"], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "h1", "h2", "label", "keys"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, h1 bigint, h2 bigint, label bigint, keys array<bigint>")
-
-
-def shared_blocks(scanned: DataFrame) -> DataFrame:
-    """(key, h1) of every block key that two classes or more have, once each."""
-    rows = scanned.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "h1")
-    ordered = rows.repartition("key").sortWithinPartitions("key", "h1")
-
+                    found = block_keys(t, bands)
+                    if len(found):
+                        keys.append(found)
+                        owners.append(c[0])
+                        held += len(found)
+                if held > 1 << 20:
+                    yield flush(keys, owners)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield flush(keys, owners)
+
+    def flush(keys, owners):
+        flat, owner = np.concatenate(keys), np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        bucket = ((flat >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        flat, owner, bucket = flat[order], owner[order], bucket[order]
+        rows = {"bucket": [], "keys": [], "owners": [], "runs": []}
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(edges, edges[1:]):
+            o = owner[a:b]
+            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            rows["bucket"].append(int(bucket[a]))
+            rows["keys"].append(flat[a:b].tobytes())
+            rows["owners"].append(o[first].tobytes())
+            rows["runs"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary())
+                                           for k, v in rows.items()})
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, runs binary")
+
+
+def shared_blocks(rows: DataFrame, buckets: int) -> DataFrame:
+    """(key, h1, holders) of every block key that two classes or more have:
+    a row a class, and how many have it.  A task holds one bucket at a time."""
     def run(batches):
-        kept = None  # the last key's rows so far
+        now, keys, owners = None, [], []
         for batch in batches:
-            key, h1 = batch.column("key").to_numpy(), batch.column("h1").to_numpy()
-            if kept is not None:
-                key, h1 = np.concatenate([kept[0], key]), np.concatenate([kept[1], h1])
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])])
-            key, h1 = key[new], h1[new]
-            last = np.searchsorted(key, key[-1])
-            kept = (key[last:], h1[last:])
-            yield from out(key[:last], h1[:last])
-        if kept is not None:
-            yield from out(*kept)
-
-    def out(key, h1):
-        if len(key):
-            same = key[1:] == key[:-1]
-            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if several.any():
-                yield pa.RecordBatch.from_pydict({"key": key[several], "h1": h1[several]})
-    return ordered.mapInArrow(run, "key bigint, h1 bigint")
+            for bucket, k, o, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "owners", "runs"))):
+                if bucket != now:
+                    yield from out(keys, owners)
+                    now, keys, owners = bucket, [], []
+                keys.append(np.frombuffer(k, np.uint64))
+                owners.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(r, np.uint32)))
+        yield from out(keys, owners)
+
+    def out(keys, owners):
+        if not keys:
+            return
+        key, h1 = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        key, h1 = key[order], h1[order]
+        same = key[1:] == key[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, h1 = key[several], h1[several]
+        order = np.lexsort((h1, key))
+        key, h1 = key[order], h1[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])])[:len(key)]
+        key, h1 = key[new], h1[new]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+        holders = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+        several = holders > 1
+        if several.any():
+            yield pa.RecordBatch.from_pydict({"key": key[several].astype(np.int64), "h1": h1[several],
+                                              "holders": holders[several].astype(np.int64)})
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        run, "key bigint, h1 bigint, holders bigint")
 
 
 def _overlaps(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -283,20 +326,19 @@ def _blobs(members: DataFrame, *by: str) -> DataFrame:
     return members.groupBy(*by).agg(F.collect_list(F.struct("m", "star", "tokens")).alias("docs"))
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text: str = "text",
-                 doc_id: str = "doc_id", salts: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id, and class (h1, h2) of every document."""
-    d = pick(docs, doc_id=doc_id, text=text)
-    scanned = cut(scan(d, width, num, den))
-    shared = cut(shared_blocks(scanned))
-    classes = scanned.where("n > 0").groupBy("h1", "h2", "n", "label").agg(F.min("doc_id").alias("doc_id"))
-    central = shared.groupBy("h1").agg(F.count(F.lit(1)).alias("central"))
-    found = cut(classes.join(central, "h1"))
+def _key_filter(keys: DataFrame) -> Level:
+    """A Bloom filter of ``keys`` (key) of at most ``FILTER_BITS`` bits."""
+    found = Level(0, 1, 0.02)
+    found.m = min(FILTER_BITS, max(64, 9 * keys.count()))
+    return found.build(keys)
 
-    # the sets of these classes alone, from their texts
-    wanted = Level(0, 1, 0.02)
-    wanted.m = min(FILTER_BITS, max(64, 9 * found.count()))
-    wanted.build(found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")))
+
+def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``members`` (h1, h2, doc_id of a document of the class ...) plus
+    tokens, made again from the texts that a filter of doc_ids lets through."""
+    def name(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    wanted = _key_filter(members.select(name("doc_id").alias("key")))
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
         got = text_sets(part.column("text"), width)
@@ -304,41 +346,57 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         return pa.RecordBatch.from_pydict({
             "h1": pa.array([k[0] for k in keys], pa.int64()), "h2": pa.array([k[1] for k in keys], pa.int64()),
             "tokens": pa.array([t.tobytes() for t in got], pa.binary())})
-    again = map_blocks(d.where(wanted.holds(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).select("text"),
-                       sets, "h1 bigint, h2 bigint, tokens binary")
-    members = cut(again.join(found, ["h1", "h2"]).dropDuplicates(["h1", "h2"])).withColumn(
-        "m", F.monotonically_increasing_id())
+    again = map_blocks(docs.where(wanted.holds(name("doc_id"))).select("text"), sets,
+                       "h1 bigint, h2 bigint, tokens binary")
+    return members.join(again.dropDuplicates(["h1", "h2"]), ["h1", "h2"])
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text: str = "text",
+                 doc_id: str = "doc_id", salts: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id, and class (h1, h2) of every document."""
+    d = pick(docs, doc_id=doc_id, text=text)
+    buckets = max(16, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scanned = cut(scan(d, width))
+    shared = cut(shared_blocks(block_rows(d, width, num, den, buckets), buckets))
+    classes = scanned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
+    # a class's label is its most widely held block: a family has few of these
+    near = shared.groupBy("h1").agg(F.sum("holders").alias("central"),
+                                    F.max_by("key", F.struct("holders", "key")).alias("label"))
+    found = cut(classes.join(near, "h1")).withColumn("m", F.monotonically_increasing_id())
 
     # groups: chunks of a label, by hash
-    labels = members.groupBy("label").agg(
+    labels = found.groupBy("label").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks"),
         F.max_by("m", F.struct("central", "m")).alias("leader"))
-    members = cut(salted_lookup(members, labels, "label", "m", salts).withColumn(
-        "chunk", F.pmod(F.xxhash64("m"), F.col("chunks"))))
+    members = cut(salted_lookup(found, labels, "label", "m", salts).withColumn(
+        "chunk", F.pmod(F.xxhash64("m"), F.col("chunks"))).withColumn("star", F.lit(-1).cast("bigint")))
 
     # the chunks of a split label against its most central class
-    unstarred = members.withColumn("star", F.lit(-1).cast("bigint"))
-    split = unstarred.where("chunks > 1")
+    split = _with_sets(d, members.where("chunks > 1"), width)
     leaders = _blobs(split.where("m = leader"), "label").withColumnRenamed("docs", "right")
     chunks = _blobs(split, "label", "chunk").withColumnRenamed("docs", "left").withColumn(
         "part", F.xxhash64("label", "chunk"))
-    rays = cut(verify(salted_lookup(chunks, leaders, "label", "part", salts), num, den))
+    rays = cut(verify(salted_lookup(chunks, leaders, "label", "part", salts).where("right IS NOT NULL"), num, den))
     starred = rays.select(F.col("a").alias("m"), F.col("b").alias("_star")).distinct()
     members = cut(members.join(starred, "m", "left").withColumn("star", F.coalesce(
         "_star", F.when((F.col("m") == F.col("leader")) & (F.col("chunks") > 1), F.col("m")), F.lit(-1)))
-        .withColumn("g", F.xxhash64("label", "star", "chunk")))
+        .drop("_star").withColumn("g", F.xxhash64("label", "star", "chunk")))
 
     # matrix: block -> groups; groups that share a block and are not one star
     matrix = (shared.join(members.select("h1", "g", "star", "n"), "h1")
               .groupBy("key", "g", "star").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     x, y = matrix.alias("x"), matrix.alias("y")
-    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g"))
+    meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g"))
                   & ((F.col("x.star") != F.col("y.star")) | (F.col("x.star") < 0))
                   & (F.col("x.lo") * num <= F.col("y.hi") * den) & (F.col("y.lo") * num <= F.col("x.hi") * den))
-    pairs = near.select(F.col("x.g").alias("g"), F.col("y.g").alias("other")).distinct()
-    blobs = cut(_blobs(members, "g"))
-    open_left = pairs.join(blobs.withColumnRenamed("docs", "left"), "g")
-    across = open_left.join(blobs.select(F.col("g").alias("other"), F.col("docs").alias("right")), "other")
+    pairs = cut(meet.select(F.col("x.g").alias("g"), F.col("y.g").alias("other")).distinct())
+
+    # the opened groups with their sets, a row a group
+    blobs = cut(_blobs(_with_sets(d, members, width), "g"))
+    involved = _key_filter(pairs.select(F.explode(F.array("g", "other")).alias("key")).distinct())
+    opened = blobs.where(involved.holds(F.col("g")))
+    across = (pairs.join(opened.withColumnRenamed("docs", "left"), "g")
+              .join(opened.select(F.col("g").alias("other"), F.col("docs").alias("right")), "other"))
     kind = blobs.schema["docs"].dataType
     within = blobs.where((F.size("docs") > 1) & (F.col("docs")[0]["star"] < 0)).select(
         F.col("docs").alias("left"), F.lit(None).cast(kind).alias("right"))
@@ -351,11 +409,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     merged = salted_lookup(joined, least, "root", "m", salts).select("h1", "h2", F.col("component_id").alias("_far"))
     own = classes.select("h1", "h2", F.col("doc_id").alias("_own"))
     by_class = own.join(merged, ["h1", "h2"], "left").select(
-        F.xxhash64("h1", "h2").alias("k"), "h1", "h2", F.coalesce("_far", "_own").alias("component_id"))
-    rows = scanned.drop("keys", "label").withColumn("k", F.xxhash64("h1", "h2")).withColumn(
-        "_row", F.monotonically_increasing_id())
-    out = salted_lookup(rows, by_class.select("k", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component_id"),
-                        "k", "_row", salts)
+        F.xxhash64("h1", "h2").alias("k"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"),
+        F.coalesce("_far", "_own").alias("component_id"))
+    rows = scanned.withColumn("k", F.xxhash64("h1", "h2")).withColumn("_row", F.monotonically_increasing_id())
+    out = salted_lookup(rows, by_class, "k", "_row", salts)
     return out.where("n = 0 OR (h1 = _h1 AND h2 = _h2)").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
