@@ -8,9 +8,10 @@ pages, every occurrence.
 Plan: distinct lines of each page are counted as (host, 64-bit line hash)
 with map-side sums, so a hot host or line arrives as one partial count a
 task.  A host has at most (mean lines a page / max_ratio) boilerplate lines,
-which bounds the list that is joined back by host; adaptive execution
-broadcasts it when it measured it to be small and splits a hot host
-otherwise.  No line table is joined back.
+which bounds the list that is joined back by host.  The lists are stored
+first, so the planner knows their size: it broadcasts them under the session's
+threshold, and no text moves; beyond it, adaptive execution splits a hot
+host.  No line table is joined back.
 
 Defined results: a null text stays null and counts as a page without lines;
 an empty text has no lines; lines of spaces only are never dropped;
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, stored, table
 
 MAX_RATIO = 0.05
 MIN_PAGES = 3
@@ -48,7 +49,7 @@ def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
     """The ``keep`` columns, text without boilerplate lines, n_lines, n_dropped."""
     names = {f"_k{i}": c for i, c in enumerate(keep)}
     d = pick(docs, host=host, text="text", **names)
-    lists = boilerplate(d, max_ratio, min_pages).withColumnRenamed("host", "_host")
+    lists = stored(boilerplate(d, max_ratio, min_pages).withColumnRenamed("host", "_host"))
     joined = d.join(lists, F.col("host").eqNullSafe(F.col("_host")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(
