@@ -11,9 +11,10 @@ reaches ``num / den``.  The join finds every link's component.
    that are not near copies, so frequent words, lines and passages make no
    candidates, and the candidates grow with the links.
 3. Classes that share a block with another are partitioned into groups of
-   similar documents: by their most widely held block, in chunks of bounded
+   similar documents: by a widely held block of theirs, in chunks of bounded
    size.  A group stores the union of its members' shingles.
-4. Token-group matrix: block -> groups.  Groups that share a block meet; a
+4. Token-group matrix: block -> groups.  Groups that share as many blocks as
+   a link needs meet; a
    query of one is checked against the other's union first, and the group is
    opened (exact intersections with every member) only where the bound on the
    overlap qualifies.
@@ -93,9 +94,11 @@ class Bands:
         return self.cuts[j]
 
 
-def block_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """The block keys of a sorted set of shingle hashes."""
-    out, j = [], bands.band(len(tokens))
+def block_keys(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """The block keys of a sorted set of shingle hashes, and for each how many
+    blocks of its cut a linked set shares at least: all but the largest
+    difference and the empty ones."""
+    out, needs, j = [], [], bands.band(len(tokens))
     for instance in (j - 1, j):
         blocks, spare = bands.cut(instance)
         if not blocks:
@@ -103,15 +106,18 @@ def block_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         for seed in range(CUTS + 1):
             if seed == CUTS:
                 out.append(mix64(np.array([instance], np.uint64) ^ _SALT[4]))
+                needs.append(np.ones(1, np.uint16))
                 break
             t = tokens if seed == 0 else np.sort(mix64(tokens ^ _SALT[seed]))
             part = ((t >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             place = part[at] + np.uint64((instance * CUTS + seed) << 32)
             out.append(mix64(np.add.reduceat(mix64(t ^ _SALT[3]), at) ^ mix64(place)))
+            need = 1 + spare - (blocks - len(at)) if seed == 0 else 1
+            needs.append(np.full(len(at), min(max(1, need), 65535), np.uint16))
             if blocks - len(at) <= spare:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(needs)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
 
 
 def text_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -156,11 +162,11 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
 
 def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
     """Block keys by bucket of their hash, many to a row: keys, and for each
-    run of them that one class owns its h1 and length.  A class that a task
+    run of them that one class owns its h1 and length, and each key's need.  A class that a task
     has met before is left out.  ``docs``: text."""
     def run(batches):
         bands, met = Bands(num, den), set()
-        keys, owners, held = [], [], 0
+        keys, needs, owners, held = [], [], [], 0
         for batch in batches:
             for part in blocks(batch):
                 for t in text_sets(part.column("text"), width):
@@ -170,71 +176,77 @@ def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) ->
                     if len(met) > 1_000_000:
                         met.clear()
                     met.add(c)
-                    found = block_keys(t, bands)
+                    found, need = block_keys(t, bands)
                     if len(found):
                         keys.append(found)
+                        needs.append(need)
                         owners.append(c[0])
                         held += len(found)
                 if held > 1 << 20:
-                    yield flush(keys, owners)
-                    keys, owners, held = [], [], 0
+                    yield flush(keys, needs, owners)
+                    keys, needs, owners, held = [], [], [], 0
         if held:
-            yield flush(keys, owners)
+            yield flush(keys, needs, owners)
 
-    def flush(keys, owners):
+    def flush(keys, needs, owners):
+        need = np.concatenate(needs)
         flat, owner = np.concatenate(keys), np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
         bucket = ((flat >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        flat, owner, bucket = flat[order], owner[order], bucket[order]
-        rows = {"bucket": [], "keys": [], "owners": [], "runs": []}
+        flat, owner, bucket, need = flat[order], owner[order], bucket[order], need[order]
+        rows = {"bucket": [], "keys": [], "owners": [], "runs": [], "needs": []}
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
             o = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
             rows["bucket"].append(int(bucket[a]))
             rows["keys"].append(flat[a:b].tobytes())
+            rows["needs"].append(need[a:b].tobytes())
             rows["owners"].append(o[first].tobytes())
             rows["runs"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary())
                                            for k, v in rows.items()})
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, runs binary")
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, runs binary, needs binary")
 
 
 def shared_blocks(rows: DataFrame, buckets: int) -> DataFrame:
-    """(key, h1, holders) of every block key that two classes or more have:
-    a row a class, and how many have it.  A task holds one bucket at a time."""
+    """(key, h1, holders, need) of every block key that two classes or more
+    have: a row a class, and how many have it.  A task holds one bucket at a time."""
     def run(batches):
-        now, keys, owners = None, [], []
+        now, keys, owners, needs = None, [], [], []
         for batch in batches:
-            for bucket, k, o, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "owners", "runs"))):
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "keys", "owners", "runs", "needs"))
+            for bucket, k, o, r, least in zip(*columns):
                 if bucket != now:
-                    yield from out(keys, owners)
-                    now, keys, owners = bucket, [], []
+                    yield from out(keys, owners, needs)
+                    now, keys, owners, needs = bucket, [], [], []
+                needs.append(np.frombuffer(least, np.uint16))
                 keys.append(np.frombuffer(k, np.uint64))
                 owners.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(r, np.uint32)))
-        yield from out(keys, owners)
+        yield from out(keys, owners, needs)
 
-    def out(keys, owners):
+    def out(keys, owners, needs):
         if not keys:
             return
-        key, h1 = np.concatenate(keys), np.concatenate(owners)
+        key, h1, need = np.concatenate(keys), np.concatenate(owners), np.concatenate(needs)
         order = np.argsort(key, kind="stable")
-        key, h1 = key[order], h1[order]
+        key, h1, need = key[order], h1[order], need[order]
         same = key[1:] == key[:-1]
         several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, h1 = key[several], h1[several]
+        key, h1, need = key[several], h1[several], need[several]
         order = np.lexsort((h1, key))
-        key, h1 = key[order], h1[order]
+        key, h1, need = key[order], h1[order], need[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (h1[1:] != h1[:-1])])[:len(key)]
-        key, h1 = key[new], h1[new]
+        key, h1, need = key[new], h1[new], need[new]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
         holders = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
         several = holders > 1
         if several.any():
             yield pa.RecordBatch.from_pydict({"key": key[several].astype(np.int64), "h1": h1[several],
-                                              "holders": holders[several].astype(np.int64)})
+                                              "holders": holders[several].astype(np.int64),
+                                              "need": need[several].astype(np.int64)})
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        run, "key bigint, h1 bigint, holders bigint")
+        run, "key bigint, h1 bigint, holders bigint, need bigint")
 
 
 def _overlaps(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -359,9 +371,15 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     scanned = cut(scan(d, width))
     shared = cut(shared_blocks(block_rows(d, width, num, den, buckets), buckets))
     classes = scanned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
-    # a class's label is its most widely held block: a family has few of these
-    near = shared.groupBy("h1").agg(F.sum("holders").alias("central"),
-                                    F.max_by("key", F.struct("holders", "key")).alias("label"))
+    # a class's first label is its most widely held block; a block's is the
+    # most widely held first label among its holders, so that a class without
+    # its family's top block comes to the same label as the others
+    held = F.struct("holders", "key")
+    first = shared.groupBy("h1").agg(F.sum("holders").alias("central"), F.max(held).alias("top"))
+    canon = (shared.join(first.select("h1", "top"), "h1").groupBy("key")
+             .agg(F.max("top")["key"].alias("label")))
+    near = (first.select("h1", "central", F.col("top.key").alias("key")).join(canon, "key")
+            .select("h1", "central", "label"))
     found = cut(classes.join(near, "h1")).withColumn("m", F.monotonically_increasing_id())
 
     # groups: chunks of a label, by hash
@@ -384,12 +402,22 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
 
     # matrix: block -> groups; groups that share a block and are not one star
     matrix = (shared.join(members.select("h1", "g", "star", "n"), "h1")
-              .groupBy("key", "g", "star").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+              .groupBy("key", "g", "star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                               F.min("need").alias("need")))
     x, y = matrix.alias("x"), matrix.alias("y")
     meet = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.g") < F.col("y.g"))
                   & ((F.col("x.star") != F.col("y.star")) | (F.col("x.star") < 0))
                   & (F.col("x.lo") * num <= F.col("y.hi") * den) & (F.col("y.lo") * num <= F.col("x.hi") * den))
-    pairs = cut(meet.select(F.col("x.g").alias("g"), F.col("y.g").alias("other")).distinct())
+    size = members.groupBy("g").agg(F.sum("n").alias("size"))
+    # bound: a link needs so many equal blocks, and these are all the groups share
+    two = (meet.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
+           .agg(F.count(F.lit(1)).alias("_n"), F.min(F.least("x.need", "y.need")).alias("_need"))
+           .where("_n >= _need"))
+    two = (two.join(size.select(F.col("g").alias("a"), F.col("size").alias("_a")), "a")
+           .join(size.select(F.col("g").alias("b"), F.col("size").alias("_b")), "b"))
+    less = F.col("_a") <= F.col("_b")  # the smaller group is carried to the larger one
+    pairs = cut(two.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("g"),
+                           F.when(less, F.col("b")).otherwise(F.col("a")).alias("other")))
 
     # the opened groups with their sets, a row a group
     blobs = cut(_blobs(_with_sets(d, members, width), "g"))
