@@ -45,8 +45,9 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: a site's boilerplate lines go, every document stays."""
-    d = line_dedup.dedup_lines(docs, keep=("doc_id", "lang", "source"))
+    """Line dedup: a site's boilerplate lines go, every document stays.  Copies
+    of a text count once and no text goes whole, so the next stage finds them."""
+    d = line_dedup.dedup_lines(docs, keep=("doc_id", "lang", "source"), distinct_texts=True)
     return d.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
 
 

@@ -18,6 +18,13 @@ an empty text has no lines; lines of spaces only are never dropped;
 a null host is a host of its own; a page whose lines all go has the empty
 text; repeated rows count as pages of their own; an empty table gives an
 empty result.
+
+op2 counts rows as pages, as its SQL says, so the copies of a page are
+evidence of boilerplate and a page that is copied often enough loses its
+lines.  With ``distinct_texts`` (the pipeline, whose next stage drops copies)
+the rows of a host with equal texts (by 64-bit hash) count as one page, for
+the lines and the host's total, and a page whose lines would all go keeps its
+text.
 """
 
 from __future__ import annotations
@@ -31,11 +38,17 @@ MAX_RATIO = 0.05
 MIN_PAGES = 3
 
 
-def boilerplate(docs: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float, min_pages: int, distinct_texts: bool = False) -> DataFrame:
     """host, drop (array of line hashes) of every host that has boilerplate.
     ``docs``: host, text."""
-    seen = docs.where("text IS NOT NULL").select("host", F.explode(F.array_distinct(F.transform(
-        F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))).alias("line"))
+    lines = F.array_distinct(F.transform(
+        F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
+    held = docs.where("text IS NOT NULL")
+    if distinct_texts:  # line hashes move, not texts; copies collapse map-side
+        page = F.xxhash64("text").alias("page")
+        held = held.select("host", page, lines.alias("lines")).groupBy("host", "page").agg(F.first("lines").alias("lines"))
+        docs, lines = docs.select("host", page, F.col("text").isNull().alias("none")).distinct(), F.col("lines")
+    seen = held.select("host", F.explode(lines).alias("line"))
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     pages = docs.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     c, p = counts.alias("c"), pages.alias("p")
@@ -45,16 +58,20 @@ def boilerplate(docs: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO,
-                min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ("doc_id",),
+                distinct_texts: bool = False) -> DataFrame:
     """The ``keep`` columns, text without boilerplate lines, n_lines, n_dropped."""
     names = {f"_k{i}": c for i, c in enumerate(keep)}
     d = pick(docs, host=host, text="text", **names)
-    lists = stored(boilerplate(d, max_ratio, min_pages).withColumnRenamed("host", "_host"))
+    lists = stored(boilerplate(d, max_ratio, min_pages, distinct_texts).withColumnRenamed("host", "_host"))
     joined = d.join(lists, F.col("host").eqNullSafe(F.col("_host")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(
         lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), F.xxhash64(x))))
     out = joined.select(*names, "text", "drop", kept.alias("_kept"))
+    if distinct_texts:
+        left = F.exists("_kept", lambda x: F.trim(x) != "")
+        out = out.withColumn("_kept", F.when(left, F.col("_kept")).otherwise(lines))
     n = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(lines)).cast("bigint")
     return out.select(
         *[F.col(k).alias(c) for k, c in names.items()],

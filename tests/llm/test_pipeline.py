@@ -88,6 +88,22 @@ def test_stages_match_brute_force(spark):
     assert Counter(tuple(r)[:5] for r in packed) == pieces(rows)
 
 
+def test_copies_keep_one_text(spark):
+    """Copies of a text are no boilerplate: one of them stays, whole; a site's line goes."""
+    copied, near = "a first line of some words\nand a second line of it", "one line of words that many pages repeat"
+    texts = [copied] * 4 + [near] * 3 + [near + "\n"] * 2 + [near + "\n\n"] + ["", None]
+    texts += [f"Site line.\nown words of page number {i}" for i in range(8)]
+    rows = [(i, t, "en", "s1", 0) for i, t in enumerate(texts)] + [(90, copied, "en", "s2", 0)]
+    named = dict(corpus_pipeline.STAGES)
+    lines = named["line_dedup"](spark, frame(spark, rows), "")
+    got = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert all(got[i] == copied for i in (0, 1, 2, 3, 90))
+    assert all(got[i] == texts[i] for i in range(4, 12))
+    assert all(got[i] == texts[i].split("\n")[1] for i in range(12, 20))
+    left = Counter(r["text"] for r in named["near_duplicates"](spark, lines, "").collect())
+    assert left[copied] == 1 and sum(n for t, n in left.items() if (t or "").strip() == near) == 1
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES[:-1]:
