@@ -176,6 +176,34 @@ def test_language_id_evidence_decides_without_text(spark):
     assert got[900]["language"] == got[901]["language"] == "de"
 
 
+def test_language_id_learns_every_declared_language(spark):
+    """Languages at the end of the table, rare ones, more than 64 of them, and one with many copies of a text."""
+    rnd = random.Random(3)
+
+    def rows(lang, at, n, copies=0):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyz", 8)
+        texts = [" ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(30)) for _ in range(n)]
+        return [(at + i, t, lang, "s", 1) for i, t in enumerate(texts + texts[:1] * copies)]
+    table = [r for i in range(70) for r in rows(f"l{i:02d}", 1000 * i, 40 if i < 60 else 12, 300 if i == 0 else 0)]
+    first = spark.createDataFrame(table, DOCS)
+    got = language_id.identify(first.coalesce(1), train_rows=400).collect()
+    want = {r[0]: r[2] for r in table}
+    assert {r["language"] for r in got} == set(want.values())
+    assert sum(r["language"] == want[r["doc_id"]] for r in got) >= 0.97 * len(table)
+
+
+def test_language_id_sample_does_not_depend_on_order(spark):
+    rows = [r[:5] for r in lang_rows(900)]
+    last = [(5000 + i, f"zq{i} zqx qzz zzq{i}", "zz", "s", 1) for i in range(300)]
+    kept = []
+    for table in (rows + last, (last + rows)[::-1]):
+        docs = pick(spark.createDataFrame(table, DOCS).repartition(5), text="text", declared="lang")
+        names, logs = language_id.learn(docs, 300)
+        assert names == ["de", "en", "fr", "zz"]
+        kept.append((Counter(map(tuple, language_id.sample(docs, 300).collect())), logs.tobytes()))
+    assert kept[0] == kept[1] and set(Counter(k[0] for k in kept[0][0]).values()) == {100}
+
+
 def test_language_id_odd_rows(spark):
     rows = [r[:5] for r in lang_rows(100)] + [(500 + i, *r[1:]) for i, r in enumerate(corpus())]
     got = language_id.identify(frame(spark, rows), accepted=("en", "fr", "de")).collect()
