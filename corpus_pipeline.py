@@ -68,11 +68,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: every span found is replaced by a mark."""
+    """Secret scans: every span found is replaced by a mark; bare tokens that do not look live stay."""
     d = _rows(docs)
-    found = secret_scan.scan_secrets(d.withColumn("doc_id", F.col("row_id")))
+    found = secret_scan.scan_secrets(d.withColumn("doc_id", F.col("row_id")), must_look=True)
     spans = stored(found.withColumn("spans", F.concat("base", "added")).where("size(spans) > 0").select(
-        F.col("doc_id").alias("_rid"), F.transform("spans", lambda s: s.dropFields("hash")).alias("spans"))
+        F.col("doc_id").alias("_rid"), F.transform("spans", lambda s: s.dropFields("hash", "looks")).alias("spans"))
         .dropDuplicates(["_rid"]))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("spans")))
     return (d.join(spans, _same_row(), "left").withColumn("text", text)

@@ -31,7 +31,9 @@ HEX = r"[0-9a-f]{24,}"
 _WORD = "[A-Za-z0-9+/_=-]"
 BARE = rf"(?<!{_WORD})(?={_WORD}*[0-9])(?={_WORD}*[A-Za-z]){_WORD}{{20,}}+"
 KINDS = ("assign", "access", "hex", "bare")
-SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:string>>"
+SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:string,looks:boolean>>"
+#: Changes of character class inside a run (the capital of a word is none).
+_CHANGE = "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])"
 
 
 def _prefix_sums(lens: Column) -> Column:
@@ -55,9 +57,19 @@ def _prefix_sums(lens: Column) -> Column:
     return let(lens, sums)
 
 
+def looks_live(value: Column, bare: bool) -> Column:
+    """Whether a value looks like a key and not like a placeholder (nor, if ``bare``, a path or slug)."""
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 5)
+    if not bare:
+        return mixed
+    return mixed & F.exists(F.split(value, "[^A-Za-z0-9]+"), lambda run: (F.length(run) >= 8) & let(
+        F.regexp_count(run, F.lit(_CHANGE)), lambda n: (n >= 2) & (n * 5 >= F.length(run))))
+
+
 def find_spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as (start, kind, end, hash of the
-    group's value), in code points; values shorter than ``least`` are dropped.
+    group's value, whether it looks live), in code points; values shorter than
+    ``least`` are dropped.
 
     The text between matches gives the places: a match starts where the texts
     and matches before it end.
@@ -70,7 +82,8 @@ def find_spans(text: Column, pattern: str, kind: int, group: int, least: int) ->
             return let(values, lambda v: F.filter(
                 F.transform(ends, lambda e, i: F.struct(
                     (e - F.length(m[i])).alias("start"), F.lit(kind).alias("kind"), e.alias("end"),
-                    F.when(F.length(v[i]) >= least, F.sha2(v[i], 256)).alias("hash"))),
+                    F.when(F.length(v[i]) >= least, F.sha2(v[i], 256)).alias("hash"),
+                    looks_live(v[i], kind == 3).alias("looks"))),
                 lambda s: s["hash"].isNotNull()))
         lens = let(F.split(text, pattern, -1), lambda gaps: F.transform(
             m, lambda x, i: (F.length(gaps[i]) + F.length(x)).cast("bigint")))
@@ -86,12 +99,14 @@ def _written(spans: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"),
-                 example_owners: int = 3, example_repos: int = 3, salts: int = 32) -> DataFrame:
-    """One row a document: uid, doc_id, base (spans: start, kind, end, hash),
-    added (live bare spans), n_live, n_example.
+                 example_owners: int = 3, example_repos: int = 3, salts: int = 32,
+                 must_look: bool = False) -> DataFrame:
+    """One row a document: uid, doc_id, base (spans: start, kind, end, hash,
+    looks), added (live bare spans), n_live, n_example.
 
     A value held by at least ``example_owners`` owners and ``example_repos``
-    repositories is an example; others are live if they look it.
+    repositories is an example; others are live, with ``must_look`` only those
+    that look it.
     """
     names = {f"_r{i}": c for i, c in enumerate(repo)}
     d = pick(docs, doc_id="doc_id", text="text", owner=owner, **names)
@@ -112,10 +127,12 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] =
     per_owner = per_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     held = per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
     example = (F.col("n_owners") >= example_owners) & (F.col("n_repos") >= example_repos)
-    judged = salted_lookup(finds, held, "hash", "uid", salts).withColumn("live", ~example)
+    judged = salted_lookup(finds, held, "hash", "uid", salts).withColumn("example", example)
+    live = ~F.col("example") & F.col("s.looks") if must_look else ~F.col("example")
+    judged = judged.withColumn("live", live)
     per_doc = judged.groupBy("uid").agg(
         F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("added"),
-        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
+        F.count_if("live").alias("n_live"), F.count_if("example").alias("n_example"))
     none = F.array().cast(SPAN)
     return found.drop("bare").join(per_doc, "uid", "left").select(
         "uid", "doc_id", "base", F.coalesce("added", none).alias("added"),

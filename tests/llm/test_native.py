@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from counterfoil.llm import line_dedup, secret_scan, url_filter
 
 from .texts import DOCS, corpus, frame
@@ -46,6 +47,33 @@ def test_ownership_separates_examples_from_live(spark):
     assert got[101]["n_example"] == 1 and len(got[101]["base"]) == 1
 
 
+def test_live_values_must_look_live(spark):
+    """Paths, slugs and placeholders are not live; keys in the same places are."""
+    clean = ["see https://site.com/2024/05/12/some-article-title now", "state-of-the-art-2020-model",
+             "covid19-cases-in-the-whole-world b2b-marketing-in-the-2020s h264-x265-mp3-mp4-to-avi-files",
+             "Some-Article-Title-2020-Model", "zzzzzzzzzzzzzzzzzzzzzzz1", "z1z1z1z1z1z1z1z1z1z1z1z1", "token=aaaaaaaa",
+             "password: changeme"]
+    keys = ["Zx9Yw8Vu7Ts6Rq5Po4Nm3", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzAMPLEKEY", "sk_test_4eC39HqLyjWDarjtT1zdp7dc",
+            "550E8400-e29b-41d4-a716-446655440000", "site.com/reset/9F8a7b6c5d4e3f2a1b0c", "token=hunter2hunter"]
+    rows = [(i, t, "en", f"s{i}", 1) for i, t in enumerate(clean + keys)]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(frame(spark, rows), must_look=True).collect()}
+    assert [(got[i]["n_live"], got[i]["added"]) for i in range(len(clean))] == [(0, [])] * len(clean)
+    assert [got[len(clean) + i]["n_live"] for i in range(len(keys))] == [1] * len(keys)
+    by_sql = {r["doc_id"]: r["n_live"] for r in secret_scan.scan_secrets(frame(spark, rows)).collect()}
+    assert by_sql[0] == by_sql[1] == by_sql[4] == by_sql[6] == 1  # op1 counts owners only
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, frame(spark, rows), "").collect()}
+    assert [out[i] for i in (0, 1, 2, 3, 4, 5)] == clean[:6] and all("[SECRET]" in out[len(clean) + i] for i in range(len(keys)))
+
+
+def test_repositories_decide_where_they_are_not_within_owners(spark):
+    value = "Zx9Yw8Vu7Ts6Rq5Po4Nm3"
+    rows = [(i, f"see {value} ok", "en", f"s{i}", 1) for i in range(4)]
+    alone = secret_scan.scan_secrets(frame(spark, rows), example_repos=5).collect()
+    assert all(r["n_live"] == 1 and len(r["added"]) == 1 for r in alone)
+    held = secret_scan.scan_secrets(frame(spark, rows), example_repos=4).collect()
+    assert all(r["n_example"] == 1 and not r["added"] for r in held)
+
+
 def test_redaction_joins_overlaps(spark):
     rows = [(1, 'x token = "0123456789abcdef0123456789abcdef" y', "en", "s", 1), (2, "clean", "en", "s", 1)]
     d = frame(spark, rows, extra=False)
