@@ -9,18 +9,26 @@ The distribution of lengths alone cannot tell a one-sentence advert from a
 one-sentence paragraph, so lines inside elements that name themselves as
 something else (nav, aside, footer, form, class="ad" ...) weigh nothing and
 are never text, and where the page marks its article the distribution is
-taken over the article's lines with a surge threshold of one character.
+taken over the article's lines with a surge threshold of one character, unless
+the lines outside hold more text by the distribution than the article does
+(teaser cards marked as articles).  A form or a class hint names something
+else only while it holds little: where its unlinked text reaches the surge and
+is more than half of the page's, it is a wrapper and its lines count, unless an
+article stands outside of it.
 Every other line between a surge and its dive is kept whole.
 
 Defined results: a null, empty or text-free page gives the empty text; markup
-that is never closed ends with its enclosing element; repeated rows give
-repeated results; an empty table an empty result.
+that is never closed ends with its enclosing element, a head at the body or
+the first element or text that cannot be in it, a title at the next tag; only
+a comment, script or style runs to the page's end, as in HTML; repeated rows
+give repeated results; an empty table an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,85 +37,125 @@ from .common import pick, table
 from .textnum import map_blocks
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
-#: Comments, elements whose content is no text, and tags.
+#: Comments and tags.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|iframe|svg|math|object|head|title)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Elements whose content is no markup, and elements whose content is no text.
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "iframe", "title")}
+_NO_TEXT = frozenset("noscript template select svg math object textarea iframe".split())
+_IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript template head html".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter "
                     "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ASIDE = frozenset("nav aside footer header form menu dialog button figure".split())
+_ASIDE = frozenset("nav aside footer header menu dialog button figure".split())
 _ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|"
     r"side-?bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|comments?|disqus|"
     r"respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|"
     r"popup|modal|overlay|widget|toolbar|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Class names that tell of a page's state, not of what the element is.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:with|has|have|is|no|not|without|hide|show)[_-]\S+", re.I)
 _ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)(?:$|[\s_-])", re.I)
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "article")
+    __slots__ = ("parts", "linked", "article", "soft")
 
-    def __init__(self, article: bool):
+    def __init__(self, article: bool, soft: tuple[int, ...]):
         self.parts: list[str] = []
         self.linked = 0
         self.article = article
+        self.soft = soft  # the forms and hinted elements around it
 
 
-def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
-    if name in ("body", "html", "article", "main"):
-        return False
-    if name in _ASIDE and not (name in ("header", "figure") and in_article):
-        return True
-    hints = " ".join(v.strip("\"'") for _, v in _ATTR.findall(attrs))
-    return bool(hints and _HINT.search(hints) and not _ARTICLE_HINT.search(hints))
+def _kind(name: str, attrs: str, in_article: bool) -> str:
+    """What an element is: "aside", "soft" (aside while it holds little), "article" or ""."""
+    if name in ("article", "main"):
+        return "article"
+    if name in ("body", "html"):
+        return ""
+    if name in _NO_TEXT or name == "head" or name in _ASIDE and not (name in ("header", "figure") and in_article):
+        return "aside"
+    hints = " ".join(_STATE.sub("", v.strip("\"'")) for _, v in _ATTR.findall(attrs))
+    return "soft" if name == "form" or hints and _HINT.search(hints) and not _ARTICLE_HINT.search(hints) else ""
 
 
 def page_lines(page: str) -> list[_Line]:
     """The page's blocks in order, without those inside asides."""
-    lines = [_Line(False)]
+    lines = [_Line(False, ())]
     stack: list[tuple[str, str]] = []  # open block elements: name, what they are
-    asides = articles = links = 0
+    open_names: Counter[str] = Counter()
+    soft: tuple[int, ...] = ()
+    asides = articles = links = softs = 0
     at = 0
+    unclosed: set[str] = set()  # raw elements without an end tag further on
+
+    def pop() -> str:
+        nonlocal asides, articles, soft
+        name, kind = stack.pop()
+        open_names[name] -= 1
+        asides -= kind == "aside"
+        articles -= kind == "article"
+        if kind == "soft":
+            soft = soft[:-1]
+        return name
 
     def text(raw: str) -> None:
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop()
         if asides or not raw:
             return
+        if lines[-1].article != (articles > 0) or lines[-1].soft != soft:
+            lines.append(_Line(articles > 0, soft))
         lines[-1].parts.append(raw)
         if links:
             lines[-1].linked += len(raw.strip())
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(page[at:m.start()])
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
+        if not m[1] and open_names["head"]:  # the end tag of a head may be left out
+            if name == "body" or stack[-1][0] == "head" and name not in _IN_HEAD:
+                while pop() != "head":
+                    pass
+        if not m[1] and name in _RAW:
+            end = None if name in unclosed else _RAW[name].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(name)
+            if name in ("script", "style"):
+                at = len(page)
+                break
+            if name == "title":
+                at = page.find("<", at) if page.find("<", at) >= 0 else len(page)
+                continue
         if name == "a":
-            links = 0 if m[2] else 1
+            links = 0 if m[1] else 1
             continue
-        aside = not m[2] and name not in _VOID and _is_aside(name, m[4], articles > 0)
-        if name in _INLINE and not aside and not (m[2] and any(n == name for n, _ in stack)):
+        kind = "" if m[1] or name in _VOID else _kind(name, m[3], articles > 0)
+        if name in _INLINE and not kind and not (m[1] and open_names[name]):
             continue
-        if m[2]:
-            if any(n == name for n, _ in stack):
-                while stack:  # elements left open inside end here
-                    n, kind = stack.pop()
-                    asides -= kind == "aside"
-                    articles -= kind == "article"
-                    if n == name:
-                        break
-        elif name not in _VOID and not m[4].endswith("/"):
-            kind = "aside" if aside else "article" if name in ("article", "main") else ""
+        if m[1]:
+            if open_names[name]:
+                while pop() != name:  # elements left open inside end here
+                    pass
+        elif name not in _VOID and not m[3].endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1] == (name, ""):
-                stack.pop()  # the end tag may be left out
+                pop()  # the end tag may be left out
             stack.append((name, kind))
+            open_names[name] += 1
             asides += kind == "aside"
             articles += kind == "article"
-        if lines[-1].parts or lines[-1].article != (articles > 0):
-            lines.append(_Line(articles > 0))
+            if kind == "soft":
+                softs += 1
+                soft = (*soft, softs)
+        if lines[-1].parts or lines[-1].article != (articles > 0) or lines[-1].soft != soft:
+            lines.append(_Line(articles > 0, soft))
         links = 0
     text(page[at:])
     return lines
@@ -130,14 +178,30 @@ def spans_of_text(weights: list[int], surge: int, window: int) -> list[tuple[int
     return out
 
 
+def _without_asides(lines: list[tuple[_Line, str]], surge: int) -> list[tuple[_Line, str]]:
+    """The lines outside forms and hinted elements, and those inside the ones
+    that hold most of the page's text."""
+    total, held = Counter(), {}  # unlinked text by "is it the article's", and that of each element
+    for x, t in lines:
+        n = max(0, len(t) - x.linked)
+        total[x.article] += n
+        for i in x.soft:
+            held.setdefault(i, Counter())[x.article] += n
+    wrappers = {i for i, n in held.items()
+                if n.total() >= surge and 2 * n.total() > total.total() and n[True] == total[True]}
+    return [(x, t) for x, t in lines if wrappers.issuperset(x.soft)]
+
+
 def main_text(page: str | None, surge: int = 86, window: int = 3) -> str:
     lines = [(x, " ".join(html.unescape("".join(x.parts)).split())) for x in page_lines(page or "")]
-    lines = [(x, t) for x, t in lines if t]
+    lines = _without_asides([(x, t) for x, t in lines if t], surge)
+    weights = [max(0, len(t) - x.linked) for x, t in lines]
     if any(x.article for x, _ in lines):
-        lines, surge = [(x, t) for x, t in lines if x.article], 1
-        weights = [len(t) for _, t in lines]
-    else:
-        weights = [max(0, len(t) - x.linked) for x, t in lines]
+        rest = [w for w, (x, _) in zip(weights, lines) if not x.article]
+        outside = sum(sum(rest[a:b]) for a, b in spans_of_text(rest, surge, window))
+        if outside <= sum(w for w, (x, _) in zip(weights, lines) if x.article):
+            lines, surge = [(x, t) for x, t in lines if x.article], 1
+            weights = [len(t) for _, t in lines]
     ranges = spans_of_text(weights, surge, window)
     if not ranges and any(weights):  # a short page: its only text
         ranges = spans_of_text(weights, 1, window)

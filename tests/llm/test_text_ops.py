@@ -112,6 +112,34 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+MAIN = ("word and another of the main text. " * 8).strip()
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<html><head><title>T</title><meta><body><article><p>{MAIN}</article>", MAIN),
+    (f"<html><head><title>T</title><link><article><p>{MAIN}</article>", MAIN),
+    (f"<html><head><title>T<meta><body><article><p>{MAIN}</article>", MAIN),
+    ("<head><title>T</title>plain text", "plain text"),
+    (f"<div><select><option>a<option>b</div><svg><path d='x'/></svg><p>{MAIN}", MAIN),
+    (f"<div><object><svg><path></div><div><template>t</div><p>{MAIN}", MAIN),
+    (f"<form><div class=ad>Buy</div><nav>Home</nav><p>{MAIN}</form>", MAIN),
+    (f"<form><article><p>{MAIN}</article></form>", MAIN),
+    (f"<form><article><p>Be.</article><div class=comments><p>{MAIN}</div></form>", "Be."),
+    (f"<form><p>{MAIN[:69]}</p></form><p>{MAIN}", MAIN),
+    *[(f"<div class='{c}'><p>{MAIN}</div><div class='sidebar'>Other</div>", MAIN)
+      for c in ("content with-sidebar", "has-sidebar", "no-comments", "page sidebar-right")],
+    (f"<article><p>{MAIN}</article><div class=comments><p>{MAIN} {MAIN}</div>", MAIN),
+    (f"<article>Card one</article><article><a href=x>Card</a></article><div>Top</div><nav>x</nav><div><p>{MAIN}</div>",
+     f"Top\n{MAIN}")])
+def test_main_text_of_loose_markup(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_unclosed_elements_take_linear_time():
+    page = "".join(f"<{n}>" * 20_000 for n in ("object", "select", "svg", "textarea", "iframe"))
+    assert html_text.main_text(page + "x") == ""
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE % f"<article>{BODY}</article>", "x"), (None, None, None, "y"),
             (2, "v", "<article>" + "<p>long text</p>" * 20_000 + "</article>", "z")]
