@@ -232,6 +232,18 @@ def test_language_id_sample_does_not_depend_on_order(spark):
     assert kept[0] == kept[1] and set(Counter(k[0] for k in kept[0][0]).values()) == {100}
 
 
+def test_language_id_suffix_and_site_decide(spark):
+    """Texts without a trigram go to their address suffix's language, or to their site's."""
+    rows = [(*r[:3], f"h{r[0] % 5}.{r[5]}.net", f"https://h.{r[5]}/p?x=1") for r in lang_rows(300)]
+    rows += [(900, "a", None, None, "http://x.fr/p"), (901, "a", None, None, "http://x.EN:80"),
+             (902, "a", None, "new.fr.net", None), (903, "a", None, "new-fr", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string")
+    with_url = {r["doc_id"]: r["language"] for r in language_id.identify(docs, address="url").collect()}
+    assert [with_url[i] for i in (900, 901, 902)] == ["fr", "en", "fr"] and with_url[903] != "fr"
+    without = {r["doc_id"]: r["language"] for r in language_id.identify(docs).collect()}
+    assert without[900] == without[901] and without[902] == "fr"
+
+
 def test_language_id_odd_rows(spark):
     rows = [r[:5] for r in lang_rows(100)] + [(500 + i, *r[1:]) for i, r in enumerate(corpus())]
     got = language_id.identify(frame(spark, rows), accepted=("en", "fr", "de")).collect()
