@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (byte_bpe, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, topk_search,
+from . import (byte_bpe, hard_negatives, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, topk_search,
                url_filter)
 
 QUERIES = {
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 SQL = {
     "op1_secret_scans": secret_scan.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op6_url_filters": url_filter.OP6_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
