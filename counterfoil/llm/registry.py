@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (byte_bpe, hard_negatives, html_text, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, topk_search,
-               url_filter)
+from . import (byte_bpe, hard_negatives, html_text, jaccard_join, language_id, line_dedup, packing, prefix_trie, quality_rules,
+               secret_scan, topk_search, url_filter)
 
 QUERIES = {
     "op1_secret_scans": secret_scan.op1_secret_scans,
@@ -16,11 +16,13 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op12_conversation_trie": prefix_trie.op12_conversation_trie,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 SQL = {
     "op1_secret_scans": secret_scan.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op6_url_filters": url_filter.OP6_SQL,
+    "op12_conversation_trie": prefix_trie.OP12_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
