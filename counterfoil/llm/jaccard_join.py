@@ -30,7 +30,10 @@ own cut into k + 1 + e blocks, where k is the largest possible difference
 more than e empty blocks is cut again by other hashes (three cuts, then one
 block for all such sets).
 
-Copies inside a task are dropped before the shuffle.  Sets are not stored:
+Copies inside a task are dropped before the shuffle.  A bucket of block keys
+holds about ``BUCKET_KEYS`` of them, by count.  Joins whose key may be hot (a
+class, label or component) are plain ones that adaptive execution splits by
+measured size, so no table is copied for the sake of a few keys.  Sets are not stored:
 a task makes them from the text where they are needed, and only those of
 classes with a shared block are shuffled.  Nothing but counts and Bloom
 filters of bounded size reaches the driver.
@@ -51,12 +54,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick, salted_lookup, table
+from .common import cut, pick, table
 from .textnum import Block, blocks, map_blocks, mix64
 from .url_filter import Level
 
 CUTS = 3
 GROUP_DOCS, GROUP_TOKENS = 64, 1 << 18
+BUCKET_KEYS = 1 << 20
 FILTER_BITS = 1 << 26
 _SALT = [np.uint64(x) for x in (0x0123456789ABCDEF, 0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B, 0x510E527FADE682D1,
                                 0x9B05688C2B3E6C1F)]
@@ -162,8 +166,8 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
 
 def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
     """Block keys by bucket of their hash, many to a row: keys, and for each
-    run of them that one class owns its h1 and length, and each key's need.  A class that a task
-    has met before is left out.  ``docs``: text."""
+    run of them of one class and need these and the length.  A class that a
+    task has met before is left out.  ``docs``: text."""
     def run(batches):
         bands, met = Bands(num, den), set()
         keys, needs, owners, held = [], [], [], 0
@@ -197,11 +201,11 @@ def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) ->
         rows = {"bucket": [], "keys": [], "owners": [], "runs": [], "needs": []}
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
-            o = owner[a:b]
-            first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+            o, least = owner[a:b], need[a:b]
+            first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (least[1:] != least[:-1])]))
             rows["bucket"].append(int(bucket[a]))
             rows["keys"].append(flat[a:b].tobytes())
-            rows["needs"].append(need[a:b].tobytes())
+            rows["needs"].append(least[first].tobytes())
             rows["owners"].append(o[first].tobytes())
             rows["runs"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary())
@@ -220,9 +224,10 @@ def shared_blocks(rows: DataFrame, buckets: int) -> DataFrame:
                 if bucket != now:
                     yield from out(keys, owners, needs)
                     now, keys, owners, needs = bucket, [], [], []
-                needs.append(np.frombuffer(least, np.uint16))
+                many = np.frombuffer(r, np.uint32)
+                needs.append(np.repeat(np.frombuffer(least, np.uint16), many))
                 keys.append(np.frombuffer(k, np.uint64))
-                owners.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(r, np.uint32)))
+                owners.append(np.repeat(np.frombuffer(o, np.int64), many))
         yield from out(keys, owners, needs)
 
     def out(keys, owners, needs):
@@ -318,16 +323,16 @@ def _forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return [x for x, _ in out], [y for _, y in out]
 
 
-def components(links: DataFrame, salts: int = 32) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(m, root) of every node of ``links`` (a, b): the least node it reaches."""
     both = cut(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "m"))
     while True:
-        seen = salted_lookup(both, labels.withColumnRenamed("m", "b"), "b", "a", salts)
+        seen = both.join(labels.withColumnRenamed("m", "b"), "b")
         near = seen.groupBy(F.col("a").alias("m")).agg(F.min("root").alias("near"))
         step = labels.join(near, "m").select("m", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("m").alias("root"), F.col("root").alias("next"))
-        moved = cut(salted_lookup(step, jump, "root", "m", salts)
+        moved = cut(step.join(jump, "root", "left")
                     .select("m", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
         if not moved.where("root <> old").limit(1).count():
             return moved.select("m", "root")
@@ -364,11 +369,14 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text: str = "text",
-                 doc_id: str = "doc_id", salts: int = 32) -> DataFrame:
+                 doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, and class (h1, h2) of every document."""
     d = pick(docs, doc_id=doc_id, text=text)
-    buckets = max(16, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scanned = cut(scan(d, width))
+    # a set has about so many blocks as shingles may differ, in each of two cuts
+    sizes = scanned.agg(F.sum("n"), F.count(F.lit(1))).first()
+    keys = (sizes[0] or 0) * 4 * (den - num) / (den + num) + 8 * sizes[1]
+    buckets = max(1, math.ceil(keys / BUCKET_KEYS))
     shared = cut(shared_blocks(block_rows(d, width, num, den, buckets), buckets))
     classes = scanned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
     # a class's first label is its most widely held block; a block's is the
@@ -386,15 +394,14 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     labels = found.groupBy("label").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("chunks"),
         F.max_by("m", F.struct("central", "m")).alias("leader"))
-    members = cut(salted_lookup(found, labels, "label", "m", salts).withColumn(
+    members = cut(found.join(labels, "label").withColumn(
         "chunk", F.pmod(F.xxhash64("m"), F.col("chunks"))).withColumn("star", F.lit(-1).cast("bigint")))
 
     # the chunks of a split label against its most central class
     split = _with_sets(d, members.where("chunks > 1"), width)
     leaders = _blobs(split.where("m = leader"), "label").withColumnRenamed("docs", "right")
-    chunks = _blobs(split, "label", "chunk").withColumnRenamed("docs", "left").withColumn(
-        "part", F.xxhash64("label", "chunk"))
-    rays = cut(verify(salted_lookup(chunks, leaders, "label", "part", salts).where("right IS NOT NULL"), num, den))
+    chunks = _blobs(split, "label", "chunk").withColumnRenamed("docs", "left")
+    rays = cut(verify(chunks.join(leaders, "label"), num, den))
     starred = rays.select(F.col("a").alias("m"), F.col("b").alias("_star")).distinct()
     members = cut(members.join(starred, "m", "left").withColumn("star", F.coalesce(
         "_star", F.when((F.col("m") == F.col("leader")) & (F.col("chunks") > 1), F.col("m")), F.lit(-1)))
@@ -430,18 +437,16 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         F.col("docs").alias("left"), F.lit(None).cast(kind).alias("right"))
     links = rays.unionAll(verify(within.unionAll(across.select("left", "right")), num, den))
 
-    roots = components(links, salts)
+    roots = components(links)
     joined = members.select("m", "h1", "h2", "doc_id").join(roots, "m", "left").withColumn(
         "root", F.coalesce("root", "m"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    merged = salted_lookup(joined, least, "root", "m", salts).select("h1", "h2", F.col("component_id").alias("_far"))
+    merged = joined.join(least, "root").select("h1", "h2", F.col("component_id").alias("_far"))
     own = classes.select("h1", "h2", F.col("doc_id").alias("_own"))
     by_class = own.join(merged, ["h1", "h2"], "left").select(
-        F.xxhash64("h1", "h2").alias("k"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"),
-        F.coalesce("_far", "_own").alias("component_id"))
-    rows = scanned.withColumn("k", F.xxhash64("h1", "h2")).withColumn("_row", F.monotonically_increasing_id())
-    out = salted_lookup(rows, by_class, "k", "_row", salts)
-    return out.where("n = 0 OR (h1 = _h1 AND h2 = _h2)").select(
+        "h1", "h2", F.coalesce("_far", "_own").alias("component_id"))
+    out = scanned.join(by_class, ["h1", "h2"], "left")
+    return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
 

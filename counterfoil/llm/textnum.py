@@ -18,6 +18,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes to a polynomial: strings as short as this differ by less than 2^64 divides.
+PIECE = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
@@ -84,14 +86,27 @@ class Block:
         return sums[self.at[1:]] - sums[self.at[:-1]]
 
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (polynomial, then mixed)."""
+        """A 64-bit hash of each word's bytes: a polynomial of every ``PIECE``
+        bytes (whole strings of so few bytes have no equal sums by their form),
+        mixed; a longer word adds up its pieces, each mixed with its place."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         n = len(self.bytes) + 1
         terms = (self.bytes.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n)[:-1]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        h = (sums[self.ends] - sums[self.starts]) * _power("down", _BASE_INVERSE, n)[self.starts]
-        return mix64(h + (self.ends - self.starts).astype(np.uint64))
+        down = _power("down", _BASE_INVERSE, n)
+        size = self.ends - self.starts
+        h = (sums[np.minimum(self.ends, self.starts + PIECE)] - sums[self.starts]) * down[self.starts]
+        long = np.flatnonzero(size > PIECE)
+        if len(long):
+            pieces = -(-size[long] // PIECE)
+            first = np.cumsum(pieces) - pieces
+            place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+            start = np.repeat(self.starts[long], pieces) + place * PIECE
+            end = np.minimum(start + PIECE, np.repeat(self.ends[long], pieces))
+            part = mix64((sums[end] - sums[start]) * down[start])
+            h[long] = np.add.reduceat(mix64(part ^ mix64(place.astype(np.uint64))), first)
+        return mix64(h + size.astype(np.uint64))
 
     def shingles(self, width: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word's index, hash) of every run of ``width`` words of one text."""

@@ -230,3 +230,29 @@ def test_scores_beyond_doubles_are_exact():
     lists = _lists([[big, 1], [big, 0], [big, 2]], [0, 0, 0])
     rows, score = lists.search(np.array([big, 1]), [(np.ones(3, bool), 3, None, None)])
     assert rows.tolist() == [2, 0, 1] and score[2] == big * big + 2
+
+
+# -- word hash ----------------------------------------------------------------------------------------
+
+def thue_morse(bits):
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_of_equal_polynomials_differ():
+    import pyarrow as pa
+    from counterfoil.llm.textnum import Block
+    for bits in (4, 5, 6, 10, 11, 13):
+        one, other = thue_morse(bits)
+        h = Block(pa.array([one, other, one + " " + other])).word_hashes()
+        assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+
+
+def test_long_words_of_equal_polynomials_do_not_link(spark):
+    from counterfoil.llm.jaccard_join import jaccard_join
+    one, other = thue_morse(11)
+    rows = [(1, one + " same same", "en", "s", 0), (2, other + " same same", "en", "s", 0), (3, one + " same same", "en", "s", 0)]
+    got = {r.doc_id: r.component_id for r in jaccard_join(frame(spark, rows), 3, 90, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
