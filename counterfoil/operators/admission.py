@@ -44,6 +44,7 @@ from ..functions.prefix import block_width_for, exclusive_prefix_sums
 from ..session import ensure_checkpoint_dir
 
 ACCEPTED, REJECTED, OPEN = "A", "R", "O"
+FOLD_ROUNDS = 16             # rejected orders of so many rounds become one table
 
 @dataclass(frozen=True)
 class Admission:
@@ -89,6 +90,10 @@ def _round(state: DataFrame, width: int) -> DataFrame:
                          open_after.alias("open_after"))
 
 
+def fold_rejected(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame) -> Admission:
     """Decide every request.
 
@@ -108,6 +113,10 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame) -
     hopeless = demand.filter(F.col("qty") > F.col("stock")).select("seq").distinct()
     rejected = [hopeless]
     contenders = demand.join(hopeless, "seq", "left_anti")
+    # without these orders, some products are not contested any more
+    still = (contenders.groupBy("product_id").agg(F.sum("qty").alias("_total"), F.first("stock").alias("_stock"))
+             .filter(F.col("_total") > F.col("_stock")).select("product_id"))
+    contenders = contenders.join(still, "product_id", "left_semi")
     order = dense_index(contenders.select("seq").distinct(), "seq", "at")
     state = contenders.join(order, "seq").withColumn("st", F.lit(OPEN)).checkpoint(eager=True)
     open_lines, last = state.agg(F.count(F.lit(1)), F.max("at")).first()
@@ -119,6 +128,8 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame) -
             seen, F.count_if(F.col("st") == OPEN).alias("open")).checkpoint(eager=True)
         rounds += 1
         rejected.append(judged.filter(F.col("st") == REJECTED).select("seq"))
+        if len(rejected) > FOLD_ROUNDS:
+            rejected = [fold_rejected(rejected).checkpoint(eager=True)]
         state = judged.filter((F.col("st") == OPEN) |
                               ((F.col("st") == ACCEPTED) & (F.col("open_after") > 0))).drop("open_after")
         left = seen.get["open"]
@@ -126,7 +137,7 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame) -
             raise RuntimeError("admission round made no progress")  # impossible by construction
         open_lines = left
 
-    refused = reduce(DataFrame.unionByName, rejected).distinct()
+    refused = fold_rejected(rejected)
     decisions = (verdicts.join(refused.withColumn("_stock", F.lit(True)), "seq", "left")
                  .withColumn("reason", F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(),
                                               F.lit("stock")).otherwise(F.col("reason")))

@@ -25,6 +25,7 @@ from ..operators import quality as V
 from ..operators import reports as R
 from ..operators import stock as S
 from ..operators.admission import admit_orders
+from ..operators.timeline import ExpiryRun, admit_timeline
 from ..sources.schemas import MAX_TEXT as V_MAX_TEXT
 from ..sources.schemas import TABLE_SCHEMAS
 from ..sources.publish import publish, read_version
@@ -628,7 +629,7 @@ _FLAWED_SQL = f"""
                   FROM b_orders WHERE order_id % {FLAW_EVERY} < {len(FLAWS)})"""
 
 
-def _fold_sql(flawed: str) -> str:
+def _wants_sql(flawed: str) -> str:
     return f"""
   asked AS (SELECT order_id AS seq, order_id AS src, order_type, 'fine' AS flaw FROM b_orders{flawed}),
   checked AS (SELECT seq, src, CASE
@@ -644,7 +645,11 @@ def _fold_sql(flawed: str) -> str:
   wants AS (SELECT seq, list(place) AS places, list(q) AS amounts
             FROM (SELECT c.seq, s.place, CAST(SUM(l.quantity) AS BIGINT) AS q
                   FROM checked c JOIN b_lines l ON l.order_id = c.src JOIN shelf s ON s.product_id = l.product_id
-                  WHERE c.reason IS NULL GROUP BY c.seq, s.place) GROUP BY seq),
+                  WHERE c.reason IS NULL GROUP BY c.seq, s.place) GROUP BY seq)"""
+
+
+def _fold_sql(flawed: str) -> str:
+    return f"""{_wants_sql(flawed)},
   folded AS (
     SELECT list_reduce(
       list_concat([(SELECT struct_pack(stock := list(stock ORDER BY place), places := []::BIGINT[], amounts := []::BIGINT[],
@@ -679,6 +684,72 @@ def q_admit(spark, sf_dir):
     return admit_orders(v, I.explode_order_lines(reqs), t.inventory).decisions
 
 
+# Expiry runs between the requests: after so many order ids, with a cut-off date.
+RUNS = [ExpiryRun(2500 * (i + 1), _dt.date(1996, 1, 1) + _dt.timedelta(300 * i)) for i in range(24)]
+TIMELINE_SQL = f"""{_wants_sql(_FLAWED_SQL)},
+  runs AS (SELECT * FROM (VALUES {", ".join(f"({i}, {r.after_seq}, DATE '{r.as_of}')" for i, r in enumerate(RUNS))}) v(run, after_seq, as_of)),
+  queued AS (SELECT seq, places, amounts, row_number() OVER (ORDER BY seq) AS idx FROM wants),
+  returns AS (SELECT c.seq, min(r.run) AS run
+              FROM checked c JOIN b_orders o ON o.order_id = c.src AND o.order_type = 'Collection' AND o.completed = 0
+              JOIN b_collections k ON k.order_id = c.src
+              JOIN runs r ON r.after_seq >= c.seq AND r.as_of >= k.collection_date + 8
+              WHERE c.reason IS NULL GROUP BY c.seq),
+  backs AS (SELECT run, list(struct_pack(idx := idx, place := place, amount := amount)) AS back
+            FROM (SELECT t.run, q.idx, unnest(q.places) AS place, unnest(q.amounts) AS amount FROM queued q JOIN returns t USING (seq))
+            GROUP BY run),
+  nothing AS (SELECT []::STRUCT(idx BIGINT, place BIGINT, amount BIGINT)[] AS back),
+  events AS (SELECT seq AS place_in_time, 0 AS kind, places, amounts, nothing.back FROM queued, nothing
+             UNION ALL SELECT after_seq, 1 + run, []::BIGINT[], []::BIGINT[], coalesce(b.back, nothing.back)
+             FROM runs LEFT JOIN backs b USING (run), nothing),
+  folded AS (
+    SELECT list_reduce(
+      list_concat([(SELECT struct_pack(stock := list(stock ORDER BY place), places := []::BIGINT[], amounts := []::BIGINT[],
+                                       accepted := []::BOOLEAN[], kind := 0,
+                                       back := []::STRUCT(idx BIGINT, place BIGINT, amount BIGINT)[]) FROM shelf)],
+                  list(struct_pack(stock := []::BIGINT[], places := places, amounts := amounts, accepted := []::BOOLEAN[],
+                                   kind := kind, back := back) ORDER BY place_in_time, kind)),
+      lambda acc, x: CASE
+        WHEN x.kind > 0
+        THEN struct_pack(stock := list_transform(acc.stock, lambda s, p: s + coalesce(list_sum(list_transform(
+                                    list_filter(x.back, lambda b: b.place = p AND acc.accepted[b.idx]), lambda b: b.amount))::BIGINT, 0)),
+                         places := []::BIGINT[], amounts := []::BIGINT[], accepted := acc.accepted, kind := 0, back := acc.back)
+        WHEN list_bool_and(list_transform(x.places, lambda p, i: coalesce(acc.stock[p] >= x.amounts[i], true)))
+        THEN struct_pack(stock := list_transform(acc.stock, lambda s, p: s - coalesce(x.amounts[list_position(x.places, p)], 0)),
+                         places := []::BIGINT[], amounts := []::BIGINT[], accepted := list_append(acc.accepted, true),
+                         kind := 0, back := acc.back)
+        ELSE struct_pack(stock := acc.stock, places := []::BIGINT[], amounts := []::BIGINT[],
+                         accepted := list_append(acc.accepted, false), kind := 0, back := acc.back) END) AS f
+    FROM events),
+  verdict AS (SELECT unnest((SELECT list(seq ORDER BY seq) FROM wants)) AS seq, unnest(f.accepted) AS fits FROM folded)"""
+
+
+def _timeline(spark, sf_dir):
+    t = bind_tables(spark, sf_dir)
+    reqs = materialize_requests(_flawed_requests(spark, sf_dir))
+    v = I.validate_requests(reqs, t.inventory, t.staff)
+    # copies of an order with something wrong were not collected either
+    done = t.orders.filter((F.col("order_type") == "Collection") & (F.col("completed") == 1)).select("order_id")
+    collected = done.select(F.col("order_id").alias("seq")).unionByName(done.select((F.col("order_id") + FLAW_ID).alias("seq")))
+    return admit_timeline(v, I.explode_order_lines(reqs), t.inventory, RUNS, collected)
+
+
+@register("c3_timeline_admission", O.with_binding(f"""WITH {TIMELINE_SQL},
+decided AS (SELECT c.seq, CASE WHEN c.reason IS NULL AND NOT v.fits THEN 'stock' ELSE c.reason END AS reason
+            FROM checked c LEFT JOIN verdict v ON v.seq = c.seq)
+SELECT d.seq, d.reason IS NULL AS accepted, d.reason, CASE WHEN d.reason IS NULL THEN r.as_of END AS cancelled_on
+FROM decided d LEFT JOIN returns t ON t.seq = d.seq LEFT JOIN runs r ON r.run = t.run"""))
+def q_timeline(spark, sf_dir):
+    return _timeline(spark, sf_dir).decisions
+
+
+@register("c3_timeline_stock", O.with_binding(f"""WITH {TIMELINE_SQL}
+SELECT i.product_id, coalesce(left_.stock, CASE WHEN s.product_id IS NULL THEN i.stock END) AS stock
+FROM b_inventory i LEFT JOIN shelf s USING (product_id)
+LEFT JOIN (SELECT unnest(f.stock) AS stock, generate_subscripts(f.stock, 1) AS place FROM folded) left_ USING (place)"""))
+def q_timeline_stock(spark, sf_dir):
+    return _timeline(spark, sf_dir).inventory.select("product_id", "stock")
+
+
 def _placed(spark, sf_dir):
     return place_orders(_no_orders(spark, bind_tables(spark, sf_dir)), _flawed_requests(spark, sf_dir), id_start=ID_START)
 
