@@ -9,7 +9,8 @@ get the first failing reason, in this order:
 
 ``seq`` is a request's identity and arrival order: a missing one, and every
 copy of a repeated one, is rejected, so each request gets exactly one
-decision.  ``text`` is the schema's rule for names and addresses (present
+decision.  A request flagged ``again`` (a column that the order stream adds)
+repeats a ``seq`` that was decided earlier, and is rejected alike.  ``text`` is the schema's rule for names and addresses (present
 where the order type needs them, at most 30 characters).  Requests passing
 seq, type, date, lines and quantity reach the insert step and consume an
 order id even if later rejected (the id sequence is not rolled back), so
@@ -105,7 +106,8 @@ def validate_requests(requests: DataFrame, inventory: DataFrame, staff: DataFram
         for c in columns:
             fits = fits & F.col(c).isNotNull() & (F.length(c) <= MAX_TEXT)
         text_ok = text_ok & ((F.col("order_type") != kind) | fits)
-    reason = (F.when(F.col("seq").isNull() | F.col("_repeated").isNotNull(), "seq")
+    again = F.coalesce(F.col("again"), F.lit(False)) if "again" in requests.columns else F.lit(False)
+    reason = (F.when(F.col("seq").isNull() | F.col("_repeated").isNotNull() | again, "seq")
               .when(~F.coalesce(F.col("order_type").isin(*ORDER_TYPES), F.lit(False)), "type")
               .when(~date_ok, "date")
               .when(~lines_ok | ~F.coalesce(ids_ok, F.lit(False)), "lines")

@@ -3,7 +3,10 @@ in one all-or-nothing publish.
 
 Interleaving rule: expiry returns stock that later orders may use, so
 placement batches and expiry runs are applied in time order, each reading
-the version the previous one published.
+the version the previous one published.  A job publishes the version after
+the one its tables were read at; if another job has published meanwhile, it
+fails with FileExistsError and nothing of it is seen, so stock is never sold
+twice.  The caller reads the new version and runs it again.
 """
 
 from __future__ import annotations
@@ -83,27 +86,37 @@ def place_orders(t: Tables, requests: DataFrame, kind: str | int | None = None,
     return Placement(tables, new_rows, decisions, adm.rounds, start if top is None else top + 1, stock_after)
 
 
+def _next_version(spark, root: str, t: Tables) -> int:
+    """The version after the one ``t`` was read at (tables of another origin: after the newest)."""
+    return (latest_version(spark, root) if t.version is None else t.version) + 1
+
+
 def sequence_position(spark, root: str, t: Tables) -> int:
     """Next order id: the position recorded by the last published job.  Ids
     used by rejected or cancelled orders are not handed out again (the
     source's sequence is not rolled back).  Only a ledger whose last version
     has no position (its first snapshot) is scanned for it."""
-    latest = latest_version(spark, root)
-    recorded = commit_note(spark, root, latest).get("next_order_id") if latest else None
+    read = latest_version(spark, root) if t.version is None else t.version
+    recorded = commit_note(spark, root, read).get("next_order_id") if read else None
     return recorded or next_order_id(t)
 
 
 def run_placement(t: Tables, requests: DataFrame, root: str, job_id: str | None = None,
+                  batch: tuple[str, int] | None = None, decisions_path: str | None = None,
                   **kwargs) -> tuple[int, Placement]:
-    """C9 + S12-S14: place a batch and publish its new rows and the new stock."""
+    """C9 + S12-S14: place a batch and publish its new rows and the new stock.
+    ``decisions_path``: folder for every request's decision, written before
+    the version is committed (a job run again writes the same folder again)."""
     spark = t.orders.sparkSession
-    version = latest_version(spark, root) + 1
+    version = _next_version(spark, root, t)
     if kwargs.get("id_start") is None:
         kwargs["id_start"] = sequence_position(spark, root, t)
     placed = place_orders(t, requests, **kwargs)
     note = {"job": "placement", "rounds": placed.rounds, "next_order_id": placed.next_id}
+    if decisions_path:
+        placed.decisions.write.mode("overwrite").parquet(decisions_path)
     done = publish_changes(spark, root, {**placed.new_rows, "inventory": placed.tables.inventory}, note, job_id,
-                           version=version)
+                           version=version, batch=batch)
     return done, placed
 
 
@@ -114,7 +127,7 @@ def run_expiry(t: Tables, as_of, root: str, days: int = E.EXPIRY_DAYS,
     checkpoint folder once."""
     spark = t.orders.sparkSession
     ensure_checkpoint_dir(spark)
-    version = latest_version(spark, root) + 1
+    version = _next_version(spark, root, t)
     position = sequence_position(spark, root, t)        # carried forward
     result = E.expire_collections(t, as_of, days, materialize=lambda df: df.checkpoint(eager=True))
     note = {"job": "expiry", "as_of": str(as_of), "next_order_id": position}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +18,13 @@ class Tables:
     collections: DataFrame
     staff: DataFrame
     staff_orders: DataFrame
+    version: int | None = None      # published version these tables were read at
 
     def replace(self, **changes: DataFrame) -> "Tables":
         return replace(self, **changes)
 
     def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, getattr(self, name)) for name in TABLE_SCHEMAS]
 
     def register_views(self, prefix: str = "") -> None:
         """Expose every table as a temp view for SQL users."""

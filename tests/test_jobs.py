@@ -105,3 +105,53 @@ def test_snapshot_compacts(spark, scratch):
     publish(read_version(spark, root), root, {"next_order_id": 2})
     t = read_version(spark, root)
     assert t.orders.count() == 1 and [r["stock"] for r in t.inventory.collect()] == [6]
+
+
+def test_second_placement_from_a_stale_read_fails(spark, scratch):
+    """Two placements of 6 of a stock of 10, given the same tables: the second commits nothing."""
+    root = f"{scratch}/ledger"
+    publish(_shop(spark), root)
+    t = read_version(spark, root)
+    assert t.version == 1
+    run_placement(t, spark.createDataFrame([request(1, [(1, 6)], 1)], REQUESTS), root)
+    with pytest.raises(FileExistsError, match="already committed"):
+        run_placement(t, spark.createDataFrame([request(2, [(1, 6)], 1)], REQUESTS), root)
+    with pytest.raises(FileExistsError, match="already committed"):
+        run_expiry(t, "2030-01-01", root)
+    now = read_version(spark, root)
+    assert committed_versions(spark, root) == [1, 2] and now.version == 2
+    assert [r["quantity"] for r in now.order_products.collect()] == [6]
+    assert [r["stock"] for r in now.inventory.collect()] == [4]
+    _, refused = run_placement(now, spark.createDataFrame([request(2, [(1, 6)], 1)], REQUESTS), root)
+    assert [r["reason"] for r in refused.decisions.collect()] == ["stock"]
+
+
+def test_batch_is_placed_again_when_the_ledger_moved_on(spark, scratch, monkeypatch):
+    from counterfoil.streaming import orders_stream
+    root = f"{scratch}/ledger"
+    publish(_shop(spark), root)
+
+    def read_then_lose(spark, root):
+        t = read_version(spark, root)
+        if t.version == 1:
+            run_placement(t, spark.createDataFrame([request(9, [(1, 7)], 1)], REQUESTS), root)
+        return t
+    monkeypatch.setattr(orders_stream, "read_version", read_then_lose)
+    batch = spark.createDataFrame([request(1, [(1, 6)], 1), request(2, [(1, 3)], 1)], REQUESTS)
+    assert place_batch(spark, batch, 0, root, "s", f"{scratch}/decisions") == 3
+    got = {r["seq"]: r["reason"] for r in spark.read.parquet(f"{scratch}/decisions").collect()}
+    assert got == {1: "stock", 2: None}
+    assert [r["stock"] for r in read_version(spark, root).inventory.collect()] == [0]
+
+
+def test_newest_marker_knows_every_stream(spark, scratch):
+    from counterfoil.sources.publish import last_batch
+    root = f"{scratch}/ledger"
+    publish(_shop(spark), root)
+    one = spark.createDataFrame([request(1, [(1, 1)], 1)], REQUESTS)
+    place_batch(spark, one, 0, root, "a")
+    place_batch(spark, one, 4, root, "b")
+    publish(read_version(spark, root), root, {"next_order_id": 3})       # a snapshot carries them on
+    assert (last_batch(spark, root, "a"), last_batch(spark, root, "b")) == ((0, 2), (4, 3))
+    assert last_batch(spark, root, "c") is None
+    assert place_batch(spark, one, 4, root, "b") == 3 and committed_versions(spark, root) == [1, 2, 3, 4]
