@@ -8,7 +8,9 @@ and one aggregate per key; they run as one union of independent scans.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,3 +139,69 @@ def split_valid(df: DataFrame, violations: DataFrame, table: str, key) -> tuple[
     keyed = df.withColumn("_row_key", _key(key))
     return (keyed.join(bad, "_row_key", "left_anti").drop("_row_key"),
             keyed.join(bad, "_row_key", "left_semi").drop("_row_key"))
+
+
+# -- valid tables: rejects that cascade -------------------------------------------------------------
+CASCADE = "cascade"          # reason of a row whose parent is there, but rejected
+
+
+@dataclass(frozen=True)
+class Cleaned:
+    tables: Tables           # rows without any violation, all of whose parents are such rows
+    rejects: DataFrame       # table_name, row_key, reasons (sorted, without repeats): a row for each rejected row
+
+
+def parents_first() -> list[str]:
+    """The tables in an order in which every parent comes before its children."""
+    graph = TopologicalSorter({name: set() for name in TABLE_SCHEMAS})
+    for child, _, parent, _ in FOREIGN_KEYS:
+        graph.add(child, parent)
+    return list(graph.static_order())
+
+
+def _judged(df: DataFrame, table: str, judged: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with ``_reasons``: the rules that each row breaks by itself
+    (V3-V8), by its key (V1) or by its parents (V2, V7, cascade)."""
+    checks = [(rule, cond) for rule, cond, _ in _row_checks(table)]
+    key = PRIMARY_KEYS.get(table)
+    if key:
+        repeated = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+        repeated = repeated.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.lit(True).alias("_repeated"))
+        df = df.join(repeated, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in key]), "left")
+        checks.append(("V1", F.col("_repeated").isNotNull() | reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])))
+    for i, (child, col, parent, pcol) in enumerate(FOREIGN_KEYS):
+        if child != table:
+            continue
+        due = DUE_DATES.get(table) if parent == "orders" else None
+        # the keys that the parent table has, and whether one is valid; all rows of a repeated key are rejected
+        keys = (judged[parent].filter(F.col(pcol).isNotNull()).groupBy(F.col(pcol).alias(f"_p{i}"))
+                .agg(F.max(F.size("_reasons") == 0).alias(f"_valid{i}"),
+                     *([F.max("order_placed").alias("_placed")] if due else [])))
+        df = df.join(keys, F.col(col) == F.col(f"_p{i}"), "left")
+        checks += [("V2", F.col(f"_p{i}").isNull()), (CASCADE, ~F.col(f"_valid{i}"))]
+        if due:
+            checks.append(("V7", F.col(due) < F.col("_placed")))
+    failing = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in checks]))
+    return df.select(*TABLE_SCHEMAS[table].fieldNames(), F.sort_array(F.array_distinct(failing)).alias("_reasons"))
+
+
+def clean_tables(t: Tables, materialize=None) -> Cleaned:
+    """Valid tables and rejects, rejections running down the foreign keys.
+
+    A row is rejected when it breaks a rule or when the row it references is
+    rejected.  The keys form no cycle, so taking the tables parents first
+    reaches the fixpoint in one pass a table: its rows meet, per parent, the
+    keys with one flag (a map-side aggregate, so a hot parent is a row), and
+    nothing is judged twice.  ``materialize`` (e.g. ``lambda df:
+    df.checkpoint()``) is applied to each judged table, which feeds the valid
+    rows, the rejects and the children.
+    """
+    keep = materialize or (lambda df: df)
+    judged: dict[str, DataFrame] = {}
+    for name in parents_first():
+        judged[name] = keep(_judged(getattr(t, name), name, judged))
+    valid = {name: df.filter(F.size("_reasons") == 0).drop("_reasons") for name, df in judged.items()}
+    rejects = [df.filter(F.size("_reasons") > 0).select(
+        F.lit(name).alias("table_name"), _key(ROW_KEYS[name]).alias("row_key"), F.col("_reasons").alias("reasons"))
+        for name, df in judged.items()]
+    return Cleaned(Tables(**valid), reduce(DataFrame.unionByName, rejects))

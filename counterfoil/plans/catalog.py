@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_request_date
 from ..operators import display as D
 from ..operators import expiry as E
+from ..operators import incremental as N
 from ..operators import intake as I
 from ..operators import quality as V
 from ..operators import reports as R
@@ -28,12 +29,14 @@ from ..operators.admission import admit_orders
 from ..operators.timeline import ExpiryRun, admit_timeline
 from ..sources.schemas import MAX_TEXT as V_MAX_TEXT
 from ..sources.schemas import TABLE_SCHEMAS
+from ..sources.files import read_requests_checked, read_tables
 from ..sources.publish import publish, read_version
 from ..sources.testdata import bind_requests, bind_tables
 from ..streaming.orders_stream import stream_orders
 from . import oracle as O
 from ..session import ensure_checkpoint_dir
 from .jobs import materialize_requests, place_orders
+from .views import register_views
 
 
 @dataclass(frozen=True)
@@ -233,6 +236,60 @@ JOIN need ON need.yr = r12.yr AND need.n_products = r12.n_products""", "region")
                                        staff_min=YEAR_STAFF_MIN, mode=_m)
 
 
+# The ledger in three batches: orders by order id modulo 3; the last batch
+# also cancels what has expired by then.
+def _by_deltas(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    keep = lambda df: df.checkpoint(eager=True)
+    t = bind_tables(spark, sf_dir, "region")
+    state = N.ledger_aggregates(_no_orders(spark, t))
+    limits = dict(product_min=YEAR_PRODUCT_MIN, staff_min=YEAR_STAFF_MIN)
+    won = N.winners(state, t.inventory, **limits)
+    cancelled = E.expire_collections(t, EXPIRY_AS_OF, materialize=keep).cancelled
+    for i in range(3):
+        new = {n: getattr(t, n).filter(F.col("order_id") % 3 == i) for n in ("orders", "order_products", "staff_orders")}
+        last = i == 2
+        change = N.delta(new, t if last else None, cancelled if last else None)
+        change = N.Aggregates(*[keep(df) for _, df in change.items()])
+        state = N.merged(state, change, keep)
+        won = keep(N.updated_winners(won, state, N.changed_years(change), t.inventory, **limits))
+    return t, state, won
+
+
+def _without_cancelled(sql: str) -> str:
+    """``sql`` over the tables without the cancelled orders."""
+    names = {"b_orders": "x_orders", "b_lines": "x_lines", "b_staff_orders": "x_staff_orders"}
+    for b, x in names.items():
+        sql = sql.replace(b, x)
+    left = ", ".join(f"{x} AS (SELECT * FROM {b} WHERE order_id NOT IN (SELECT order_id FROM removed))" for b, x in names.items())
+    return O.with_binding(f"WITH {EXPIRED_SQL}, {left}, {sql}", "region")
+
+
+def _register_deltas():
+    """R2, R9, R11 and R13 from aggregates kept under appended and cancelled orders."""
+    @register("r2_revenue_by_deltas", _without_cancelled(f"""{O.REVENUE}
+SELECT product_id, product_desc, CAST(total_value AS DECIMAL(38,2)) AS total_value FROM revenue JOIN b_inventory USING (product_id)"""))
+    def q_r2(spark, sf_dir):
+        t, state, _ = _by_deltas(spark, sf_dir)
+        return N.product_revenue(state, t.inventory)
+
+    @register("r9_yearly_top_by_deltas", _without_cancelled(f"{_yearly_sql('strict')}\nSELECT * FROM r9"))
+    def q_r9(spark, sf_dir):
+        t, state, _ = _by_deltas(spark, sf_dir)
+        return N.yearly_top_products(state, t.inventory, YEAR_PRODUCT_MIN)
+
+    @register("r11_yearly_sales_by_deltas", _without_cancelled(f"{_yearly_sql('strict')}\nSELECT * FROM r11"))
+    def q_r11(spark, sf_dir):
+        t, state, _ = _by_deltas(spark, sf_dir)
+        return N.yearly_staff_sales(state, t.inventory, YEAR_STAFF_MIN)
+
+    @register("r13_employees_by_deltas", _without_cancelled(f"""{_yearly_sql('strict')}
+SELECT r12.yr, r12.staff_id, r12.full_name FROM r12 JOIN need ON need.yr = r12.yr AND need.n_products = r12.n_products"""))
+    def q_r13(spark, sf_dir):
+        t, _, won = _by_deltas(spark, sf_dir)
+        return N.employees_of_the_year(won, t.staff)
+
+
 @register("r14_report_lines", O.with_binding(f"""
 WITH {O.REVENUE}
 SELECT printf('%-30s%-1s%-30s%-1s%-30s', product_id || ',', ' ', product_desc || ',', ' ',
@@ -346,6 +403,9 @@ def q_cascade_staff(spark, sf_dir):
 
 # ------------------------------------------------------------------ stock
 
+_register_deltas()
+
+
 @register("d1_reduce_stock", O.with_binding("""
 SELECT i.product_id, i.product_desc, i.price, i.stock - COALESCE(s.q, 0) AS stock
 FROM b_inventory i LEFT JOIN (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS q FROM b_lines GROUP BY product_id) s
@@ -508,6 +568,134 @@ def q_integrity(spark, sf_dir):
     return V.validate_tables(_spoiled(bind_tables(spark, sf_dir))).select("rule", "table_name", "row_key")
 
 
+def _cascade_sql() -> str:
+    """Rejects of the spoiled tables by a recursive walk down the foreign keys."""
+    names = {"inventory": "s_inventory", "orders": "s_orders", "order_products": "s_lines", "deliveries": "s_deliveries",
+             "collections": "s_collections", "staff": "s_staff", "staff_orders": "s_staff_orders"}
+    key = {t: " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), 'NULL')" for c in cols) for t, cols in V.ROW_KEYS.items()}
+    ctes = [f"n_{t} AS MATERIALIZED (SELECT row_number() OVER () AS rid, {key[t]} AS row_key, * FROM {s})" for t, s in names.items()]
+    own = []
+
+    def rule(name, t, cond):
+        own.append(f"SELECT '{name}' AS rule, '{t}' AS tn, rid FROM n_{t} WHERE {cond}")
+    for t, (k,) in V.PRIMARY_KEYS.items():
+        rule("V1", t, f"{k} IS NULL OR {k} IN (SELECT {k} FROM n_{t} GROUP BY {k} HAVING COUNT(*) > 1)")
+    for child, col, parent, pcol in V.FOREIGN_KEYS:
+        rule("V2", child, f"{col} IS NULL OR {col} NOT IN (SELECT {pcol} FROM n_{parent} WHERE {pcol} IS NOT NULL)")
+    rule("V3", "orders", "order_type IS NULL OR order_type NOT IN ('InStore', 'Collection', 'Delivery')")
+    rule("V4", "orders", "completed IS NULL OR completed NOT IN (0, 1)")
+    rule("V6", "order_products", "quantity <= 0")
+    rule("V8", "inventory", f"abs(price) >= {V.MAX_PRICE_EXCLUSIVE}")
+    for t, schema in TABLE_SCHEMAS.items():
+        for f in schema.fields:
+            if not f.nullable:
+                rule("V5", t, f"{f.name} IS NULL")
+        for c in V.TEXT_COLUMNS.get(t, []):
+            rule("V8", t, f"length({c}) > {V_MAX_TEXT}")
+    for t, c in V.DUE_DATES.items():
+        rule("V7", t, f"{c} < (SELECT max(order_placed) FROM n_orders o WHERE o.order_id = n_{t}.order_id)")
+    edges = [f"SELECT '{child}' AS tn, c.rid, '{parent}' AS ptn, p.rid AS prid FROM n_{child} c JOIN n_{parent} p ON p.{pcol} = c.{col}"
+             for child, col, parent, pcol in V.FOREIGN_KEYS]
+    keys = [f"SELECT '{t}' AS tn, rid, row_key FROM n_{t}" for t in names]
+    body = f"""{SPOILED_SQL}, {", ".join(ctes)},
+  own AS MATERIALIZED ({" UNION ALL ".join(own)}), edges AS MATERIALIZED ({" UNION ALL ".join(edges)}),
+  bad(tn, rid) AS (SELECT tn, rid FROM own UNION SELECT e.tn, e.rid FROM bad JOIN edges e ON e.ptn = bad.tn AND e.prid = bad.rid),
+  why AS (SELECT tn, rid, rule FROM own
+          UNION ALL SELECT e.tn, e.rid, 'cascade' FROM edges e JOIN bad ON bad.tn = e.ptn AND bad.rid = e.prid),
+  keys AS ({" UNION ALL ".join(keys)})"""
+    return O.with_binding(f"WITH {body}\n").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@register("v_cascade_rejects", _cascade_sql() + """
+SELECT tn AS table_name, row_key, string_agg(DISTINCT rule, ',' ORDER BY rule) AS reasons
+FROM why JOIN keys USING (tn, rid) GROUP BY tn, rid, row_key""")
+def q_cascade(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    cleaned = V.clean_tables(_spoiled(bind_tables(spark, sf_dir)), lambda df: df.checkpoint(eager=True))
+    return cleaned.rejects.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@register("v_valid_tables", _cascade_sql() + """
+SELECT tn AS table_name, row_key, count(*) AS n_rows
+FROM keys ANTI JOIN bad USING (tn, rid) GROUP BY tn, row_key""")
+def q_valid_tables(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    valid = V.clean_tables(_spoiled(bind_tables(spark, sf_dir)), lambda df: df.checkpoint(eager=True)).tables
+    parts = [df.select(F.lit(name).alias("table_name"), V._key(V.ROW_KEYS[name]).alias("row_key")) for name, df in valid.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("table_name", "row_key").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ------------------------------------------------------------------ sources
+
+FORMATS = ("parquet", "orc", "csv", "json")
+_SCAN_SUMS = {"inventory": "product_id", "orders": "order_id", "order_products": "quantity", "deliveries": "order_id",
+              "collections": "order_id", "staff": "staff_id", "staff_orders": "staff_id"}
+_SCAN_TEXT = {"inventory": "product_desc", "orders": "order_type", "order_products": None, "deliveries": "city",
+              "collections": "lname", "staff": "fname", "staff_orders": None}
+_B_NAMES = {"order_products": "b_lines"}
+
+
+@register("s_read_tables", O.with_binding("WITH scans AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST(sum({c}) AS BIGINT) AS key_sum, "
+    f"CAST({f'sum(length({_SCAN_TEXT[t]}))' if _SCAN_TEXT[t] else '0'} AS BIGINT) AS text_length FROM {_B_NAMES.get(t, 'b_' + t)}"
+    for t, c in _SCAN_SUMS.items()) + f") SELECT unnest({list(FORMATS)}) AS format, * FROM scans"))
+def q_read_tables(spark, sf_dir):
+    """The tables written in each file format and read by their declared schemas."""
+    base = f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    t = bind_tables(spark, sf_dir)
+    out = None
+    for fmt in FORMATS:
+        for name, df in t.items():
+            df.write.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(f"{base}/{fmt}/{name}")
+        for name, df in read_tables(spark, f"{base}/{fmt}", fmt).items():
+            text = F.sum(F.length(_SCAN_TEXT[name])) if _SCAN_TEXT[name] else F.lit(0)
+            one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(_SCAN_SUMS[name]).cast("bigint").alias("key_sum"),
+                         text.cast("bigint").alias("text_length"))
+            one = one.select(F.lit(fmt).alias("format"), F.lit(name).alias("table_name"), "n_rows", "key_sum", "text_length")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Request lines as JSON text, some of them broken: cut off, or with a value of another type.
+BREAK_EVERY = 97
+
+
+@register("s8_request_quarantine", O.with_binding(f"""
+WITH lines AS (SELECT order_id, order_id % {BREAK_EVERY} AS k FROM b_orders)
+SELECT order_id AS seq, CASE k WHEN 1 THEN 'not json' WHEN 2 THEN 'type of quantities' WHEN 3 THEN 'type of staff_id' END AS reason
+FROM lines"""))
+def q_quarantine(spark, sf_dir):
+    """Every line comes out once, as a request or quarantined with its reason."""
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    reqs, k = bind_requests(spark, sf_dir), F.col("seq") % BREAK_EVERY
+    line = F.to_json(F.struct(*[F.col(c) for c in reqs.columns]), {"ignoreNullFields": "false"})
+    broken = (F.when(k == 1, F.substr(line, F.lit(1), F.length(line) - 3))
+              .when(k == 2, F.regexp_replace(line, r'"quantities":\[[^\]]*\]', '"quantities":["many"]'))
+              .when(k == 3, F.regexp_replace(line, r'"staff_id":[^,}]*', '"staff_id":"somebody"')).otherwise(line))
+    reqs.select(broken.alias("value")).write.text(path)
+    read = read_requests_checked(spark, path, lambda df: df.checkpoint(eager=True))
+    seq = F.regexp_extract("text", r'"seq":(\d+)', 1).cast("bigint")
+    return read.requests.select("seq", F.lit(None).cast("string").alias("reason")).unionByName(
+        read.quarantine.select(seq.alias("seq"), "reason"))
+
+
+@register("s9_view_product_revenue", REGISTRY["r2_product_revenue"].sql)
+def q_view(spark, sf_dir):
+    """All columns of a view."""
+    register_views(bind_tables(spark, sf_dir), prefix="s9_")
+    return spark.sql("SELECT * FROM s9_product_revenue")
+
+
+@register("s10_view_columns", f"SELECT full_name, lifetime_sales FROM ({_lifetime_sql('strict', 'customer')}) AS v")
+def q_view_columns(spark, sf_dir):
+    """Two columns of a view."""
+    register_views(bind_tables(spark, sf_dir, "customer"), lifetime_min=LIFETIME_MIN, prefix="s10_")
+    return spark.sql("SELECT full_name, lifetime_sales FROM s10_lifetime_sales")
+
+
 # ------------------------------------------------------------------ intake
 
 @register("c1_explode_order_lines", O.with_binding(f"WITH {REQUEST_LINES_SQL}\nSELECT * FROM req_lines"))
@@ -801,6 +989,8 @@ def q_stream(spark, sf_dir):
 MONEY_COLUMNS = {
     "r1_sale_values": ("sale_value",),
     "r2_product_revenue": ("total_value",),
+    "s9_view_product_revenue": ("total_value",),
+    "s10_view_columns": ("lifetime_sales",),
     "r3_order_totals": ("order_total",),
     "r4_staff_lifetime_sales": ("lifetime_sales",),
     "r4_staff_lifetime_sales_compat": ("lifetime_sales",),
@@ -812,6 +1002,9 @@ MONEY_COLUMNS = {
     "r9_yearly_top_products": ("total_value",),
     "r9_yearly_top_products_compat": ("total_value",),
     "r11_yearly_staff_sales": ("total_sales",),
+    "r2_revenue_by_deltas": ("total_value",),
+    "r9_yearly_top_by_deltas": ("total_value",),
+    "r11_yearly_sales_by_deltas": ("total_sales",),
     "r11_yearly_staff_sales_compat": ("total_sales",),
     "d1_reduce_stock": ("price",),
     "d2_restock": ("price",),
