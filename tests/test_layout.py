@@ -1,0 +1,112 @@
+import random
+import uuid
+from datetime import date, timedelta
+from decimal import Decimal as D
+
+import pytest
+
+from counterfoil.operators import expiry as E
+from counterfoil.operators import incremental as N
+from counterfoil.plans.layout import store
+from counterfoil.tables import Tables
+from tests.fixtures import STAFF
+
+
+def _nodes(plan):
+    """Every physical node of an executed plan, through query stages."""
+    name = plan.getClass().getSimpleName()
+    yield name, plan
+    if name == "AdaptiveSparkPlanExec":
+        yield from _nodes(plan.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from _nodes(plan.plan())
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def _plan(df):
+    df.collect()
+    return list(_nodes(df._jdf.queryExecution().executedPlan()))
+
+
+def _files_read(df, columns):
+    """Files read by the scans that return all of ``columns``."""
+    return sum(p.metrics().get("numFiles").get().value() for name, p in _plan(df)
+               if name == "FileSourceScanExec" and all(c in p.output().mkString(",") for c in columns))
+
+
+def _ledger(spark):
+    rnd = random.Random(4)
+    day = date(2020, 1, 1)
+    orders = [(i, rnd.choice(["InStore", "Collection", "Collection"]), rnd.randint(0, 1), day + timedelta(rnd.randrange(300)))
+              for i in range(400)]
+    return Tables.from_rows(
+        spark, inventory=[(p, f"p{p}", D("2.00"), 5) for p in range(1, 6)], staff=STAFF, orders=orders,
+        order_products=[(o[0], rnd.randint(1, 5), rnd.randint(1, 9)) for o in orders for _ in range(rnd.randint(0, 3))],
+        staff_orders=[(rnd.randint(1, 3), o[0]) for o in orders],
+        collections=[(o[0], "A", "B", None if rnd.random() < 0.05 else o[3] + timedelta(rnd.randrange(20)))
+                     for o in orders if o[1] == "Collection" for _ in range(rnd.choice([1, 1, 2]))],
+        deliveries=[(i, "A", "B", "1", "s", "c", None) for i in range(0, 400, 11)])
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    import tempfile
+    t = _ledger(spark)
+    layout = store(t, f"l{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="counterfoil-test-", dir="/tmp"), 4)
+    yield t, layout
+    layout.drop()
+
+
+def _rows(df):
+    return sorted(map(str, map(tuple, df.collect())))
+
+
+def test_layout_holds_the_same_rows(stored):
+    t, layout = stored
+    for name, df in layout.tables().items():
+        assert _rows(df) == _rows(getattr(t, name))
+
+
+def test_staff_join_has_no_exchange(spark, stored):
+    t, layout = stored
+    want = _rows(N.ledger_aggregates(t).cells)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = N.ledger_aggregates(layout.tables()).cells
+        nodes = [name for name, _ in _plan(cells)]
+        plain = [name for name, _ in _plan(N.ledger_aggregates(t).cells)]
+        assert _rows(cells) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the only exchange is the one above the partial aggregate
+    assert nodes.count("SortMergeJoinExec") == 2 and nodes.count("ShuffleExchangeExec") == 1
+    below = nodes[nodes.index("ShuffleExchangeExec") + 1:]
+    assert below[0].startswith(("WholeStageCodegen", "HashAggregate")) and "BroadcastExchangeExec" not in nodes
+    assert plain.count("ShuffleExchangeExec") >= 4
+
+
+@pytest.mark.parametrize("as_of", ["2019-06-01", "2020-03-15", "2020-04-08", "2021-06-01"])
+def test_expiry_on_partitions_equals_plain_expiry(stored, as_of):
+    t, layout = stored
+    plain = E.expire_collections(t, as_of)
+    assert _rows(layout.expired_orders(as_of).select("order_id")) == _rows(E.expired_orders(t, as_of).select("order_id").distinct())
+    removed = layout.removed_orders(as_of)
+    assert _rows(removed.select("order_id")) == _rows(plain.cancelled)
+    back = {r.product_id: r.quantity for r in layout.returned_stock(as_of).collect()}
+    after = {r.product_id: r.stock for r in plain.tables.inventory.collect()}
+    assert {p: 5 + back.get(p, 0) for p in after} == after
+
+
+def test_expiry_reads_the_files_of_its_months_only(spark, stored):
+    _, layout = stored
+    every = _files_read(layout.table("order_products"), ["quantity"])
+    early = layout.returned_stock("2020-02-05")
+    assert 0 < _files_read(early, ["quantity"]) <= every / 4
+    assert _files_read(layout.expired_orders("2020-02-05"), ["collection_date"]) <= _files_read(layout.table("collections"), ["collection_date"]) / 4
+    assert _files_read(layout.returned_stock("2019-01-01"), ["quantity"]) == 0
+    # months without an expired order are not read, although they lie before the cut-off
+    one_month = layout.removed_orders("2020-12-01").filter("due_month = '2020-03'").checkpoint()
+    some = layout.dependants("order_products", one_month)
+    assert 0 < _files_read(some, ["quantity"]) <= 4 and some.count() > 0
