@@ -29,6 +29,13 @@ the all-or-nothing step is a window per order, whose lines already sat in
 one row of the request.  Each round's state is checkpointed to the shared
 checkpoint folder, so lineage stays one round deep and a lost executor
 recomputes at most one round; the number of open lines comes with that write.
+
+Deep chains (orders that wait for each other one by one) would set the number
+of rounds for all.  So from time to time (after 4, 8, 16 ... rounds) the open
+orders are split into components that share no contested product, found by
+min-label propagation with pointer jumping over the lines that are left.  A
+component of at most ``FOLD_LINES`` lines is folded in sequence, each by one
+task, and leaves; larger ones go on in rounds.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +53,14 @@ from ..session import ensure_checkpoint_dir
 
 ACCEPTED, REJECTED, OPEN = "A", "R", "O"
 FOLD_ROUNDS = 16             # rejected orders of so many rounds become one table
+FOLD_LINES = 20_000          # lines that one task folds in sequence at most
 
 @dataclass(frozen=True)
 class Admission:
     decisions: DataFrame     # seq, accepted (bool), reason (NULL if accepted): a row for each request
     refused: DataFrame       # distinct seq of the valid requests that stock rejected
     rounds: int              # rounds run on contested products
+    folded_lines: int        # lines of components that were folded in sequence
 
 
 def contested_demand(lines: DataFrame, eligible: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -90,6 +100,56 @@ def _round(state: DataFrame, width: int) -> DataFrame:
                          open_after.alias("open_after"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(product_id, label) of the products that orders connect; ``edges``:
+    (seq, product_id), stored.  The label is the least product reached."""
+    labels = edges.select("product_id").distinct().withColumn("label", F.col("product_id")).checkpoint(eager=True)
+    while True:
+        by_order = edges.join(labels, "product_id").groupBy("seq").agg(F.min("label").alias("_near"))
+        near = edges.join(by_order, "seq").groupBy("product_id").agg(F.min("_near").alias("_near"))
+        step = near.join(labels, "product_id")
+        far = labels.select(F.col("product_id").alias("_near"), F.col("label").alias("_far"))
+        moved = Observation()
+        labels = (step.join(far, "_near").select("product_id", F.col("label").alias("_old"), F.least("_near", "_far").alias("label"))
+                  .observe(moved, F.count_if(F.col("label") != F.col("_old")).alias("n"))
+                  .drop("_old").checkpoint(eager=True))
+        if not moved.get["n"]:
+            return labels
+
+
+def _fold_component(table):
+    """The orders of one component in arrival order: seq of those that do not fit."""
+    used: dict[int, int] = {}
+    refused = []
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("at", "seq", "st", "product_id", "qty", "stock"))))
+    i = 0
+    while i < len(rows):
+        j = i
+        while j < len(rows) and rows[j][0] == rows[i][0]:
+            j += 1
+        lines = rows[i:j]
+        if lines[0][2] == ACCEPTED or all(used.get(p, 0) + q <= s for *_, p, q, s in lines):
+            for *_, p, q, _ in lines:
+                used[p] = used.get(p, 0) + q
+        else:
+            refused.append(lines[0][1])
+        i = j
+    return pa.table({"seq": pa.array(refused, pa.int64())})
+
+
+def fold_small_components(state: DataFrame, limit: int = FOLD_LINES) -> tuple[DataFrame, DataFrame, int]:
+    """(lines of larger components, seq that the fold of the others rejects,
+    lines folded) of the rounds' ``state``."""
+    edges = state.filter(F.col("st") == OPEN).select("seq", "product_id").checkpoint(eager=True)
+    labelled = state.join(components(edges), "product_id").checkpoint(eager=True)
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("_lines"))
+    small = sizes.filter(F.col("_lines") <= limit).checkpoint(eager=True)
+    some = labelled.join(small, "label")
+    rejected = some.groupBy("label").applyInArrow(_fold_component, "seq long").checkpoint(eager=True)
+    rest = labelled.join(small.select("label"), "label", "left_anti").drop("label")
+    return rest, rejected, small.agg(F.sum("_lines")).first()[0] or 0
+
+
 def fold_rejected(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
@@ -121,8 +181,16 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame) -
     state = contenders.join(order, "seq").withColumn("st", F.lit(OPEN)).checkpoint(eager=True)
     open_lines, last = state.agg(F.count(F.lit(1)), F.max("at")).first()
     width = block_width_for(last or 0)
-    rounds = 0
+    rounds, folded, next_fold = 0, 0, 4
     while open_lines:
+        if rounds == next_fold:
+            next_fold *= 2
+            state, out, lines_out = fold_small_components(state)
+            rejected.append(out)
+            folded += lines_out
+            open_lines = state.filter(F.col("st") == OPEN).count()
+            if not open_lines:
+                break
         seen = Observation()
         judged = _round(state, width).observe(
             seen, F.count_if(F.col("st") == OPEN).alias("open")).checkpoint(eager=True)
@@ -142,4 +210,4 @@ def admit_orders(validated: DataFrame, lines: DataFrame, inventory: DataFrame) -
                  .withColumn("reason", F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(),
                                               F.lit("stock")).otherwise(F.col("reason")))
                  .select("seq", F.col("reason").isNull().alias("accepted"), "reason"))
-    return Admission(decisions, refused, rounds)
+    return Admission(decisions, refused, rounds, folded)

@@ -214,3 +214,50 @@ def test_dense_index_is_consecutive_across_partitions(spark):
                                                                    partitions=9).collect())
     assert [i for _, i in out] == list(range(100, 100 + len(keys)))
     assert [s for s, _ in out] == sorted(keys)
+
+
+def _admit(spark, reqs, stock):
+    validated = spark.createDataFrame([(s, None) for s, _ in reqs], "seq long, reason string")
+    lines = spark.createDataFrame([(s, i, p, q) for s, ls in reqs for i, (p, q) in enumerate(ls)],
+                                  "seq long, pos int, product_id long, quantity int")
+    inv = spark.createDataFrame([(p, "d", D("1.00"), s) for p, s in stock.items()],
+                                "product_id long, product_desc string, price decimal(8,2), stock long")
+    got = admit_orders(validated, lines, inv)
+    return {r["seq"]: r["accepted"] for r in got.decisions.collect()}, got
+
+
+def _chain(links, first):
+    """Orders of which each waits for the one before: two products of one unit each, met in turn."""
+    return [(first + i, [(first + i, 1), (first + i + 1, 1)]) for i in range(links)], {first + i: 1 for i in range(links + 1)}
+
+
+def test_deep_chains_are_folded(spark):
+    """A chain of 60 orders would take 30 rounds or more."""
+    one, stock = _chain(60, 1000)
+    two, more = _chain(41, 5000)
+    stock |= more | {1: 10}
+    reqs = one + two + [(s, [(1, 3)]) for s in range(1, 8)]
+    got, adm = _admit(spark, reqs, stock)
+    assert got == sequential_admission(reqs, stock)[0]
+    assert adm.rounds <= 4 and adm.folded_lines > 0
+
+
+def test_large_components_stay_in_rounds(spark):
+    from counterfoil.operators import admission
+    rnd = random.Random(3)
+    chain, stock = _chain(12, 1000)
+    reqs = chain + [(s, [(rnd.randint(1, 4), rnd.randint(1, 3)) for _ in range(2)]) for s in range(1, 60)]
+    stock |= {p: 30 for p in range(1, 5)}
+    demand = {}
+    for s, ls in reqs:
+        for p, q in ls:
+            demand[s, p] = demand.get((s, p), 0) + q
+    order = {s: i for i, s in enumerate(sorted(s for s, _ in reqs))}
+    state = spark.createDataFrame([(s, order[s], p, q, stock[p], "O") for (s, p), q in demand.items()],
+                                  "seq long, at long, product_id long, qty long, stock long, st string")
+    rest, out, folded = admission.fold_small_components(state, 30)
+    want = sequential_admission(reqs, stock)[0]
+    assert {r["seq"] for r in out.collect()} == {s for s, _ in chain if not want[s]}
+    assert folded == 24 and {r["product_id"] for r in rest.collect()} == {1, 2, 3, 4}
+    labels = {r["product_id"]: r["label"] for r in admission.components(state.select("seq", "product_id")).collect()}
+    assert set(labels.values()) == {1, 1000}
