@@ -6,7 +6,9 @@ The posterior of a document's language multiplies
   sample: of every declared language the texts of least hash, its share of
   ``train_rows`` of them and LEAST_ROWS at least;
 * the likelihood of its declared language and of its address suffix, from
-  counts of both by text language over all documents;
+  counts of both by text language over all documents (a declaration counts by
+  its primary subtag, lowered: ``en``, ``EN``, ``en-US`` and ``en_GB`` are one
+  language; one that is no language tag is no evidence);
 * the prior of its host, smoothed towards its site's and that towards the
   whole corpus's language mix, from grouped sums over all documents.
 
@@ -56,16 +58,26 @@ def _trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return doc[:-2][inside], bucket[inside]
 
 
+def primary_tag(declared: Column) -> Column:
+    """The primary subtag of a language tag, A-Z lowered; null if it is none
+    (2 to 8 letters or digits, up to the first ``-`` or ``_``)."""
+    tag = F.regexp_extract(F.trim(declared), r"\A([A-Za-z0-9]{2,8})(?:[-_].*)?\z", 1)
+    return F.nullif(F.lower(tag), F.lit(""))
+
+
 def sample(docs: DataFrame, train_rows: int) -> DataFrame:
     """declared, text: of every declared language its distinct texts of least
     hash.  ``docs``: text, declared."""
     rows = docs.where("declared IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    hashes = rows.select("declared", "h").distinct()
-    languages = rows.select("declared").distinct().count()
-    each = max(train_rows // max(languages, 1), LEAST_ROWS)
-    # the planner keeps the first rows of each language map-side, so a large language is no large task
+    hashes = stored(rows.select("declared", "h").distinct())
+    counts = hashes.groupBy("declared").agg(F.count(F.lit(1)).alias("texts"))
+    each = max(train_rows // max(counts.count(), 1), LEAST_ROWS)
+    # a threshold that about four times as many hashes pass comes first, so the
+    # window of a language is as small however many texts and tasks there are
+    share = (F.col("h").cast("double") + 2.0 ** 63) / 2.0 ** 64
+    low = hashes.join(counts, "declared").where(share * F.col("texts") <= 4 * each)
     least = Window.partitionBy("declared").orderBy("h")
-    picked = stored(hashes.withColumn("place", F.row_number().over(least)).where(F.col("place") <= each).drop("place"))
+    picked = stored(low.withColumn("place", F.row_number().over(least)).where(F.col("place") <= each).select("declared", "h"))
     # copies collapse map-side (equal hashes are taken for equal texts)
     return (rows.join(picked, ["declared", "h"], "left_semi").groupBy("declared", "h")
             .agg(F.min("text").alias("text")).select("declared", "text"))
@@ -137,7 +149,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host:
     where = F.coalesce(F.col("host"), F.lit(""))
     suffix = F.regexp_extract(F.coalesce(F.col("address") if address else F.lit(None).cast("string"), F.lit("")),
                               r"(?s)\A.*?://[^/?#]*\.([A-Za-z]+)(?:[:/?#]|\z)", 1)
-    d = d.select(*keys, "text", F.coalesce("declared", F.lit("")).alias("declared"), where.alias("host"),
+    d = d.select(*keys, "text", F.coalesce(primary_tag(F.col("declared")), F.lit("")).alias("declared"), where.alias("host"),
                  F.regexp_extract(where, r"([^.]+\.[^.]+)\z|\A([^.]*)\z", 0).alias("site"),
                  F.lower(suffix).alias("suffix"))
     names, logs = learn(d.select("text", F.nullif("declared", F.lit("")).alias("declared")), train_rows)

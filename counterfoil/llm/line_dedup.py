@@ -19,12 +19,10 @@ a null host is a host of its own; a page whose lines all go has the empty
 text; repeated rows count as pages of their own; an empty table gives an
 empty result.
 
-op2 counts rows as pages, as its SQL says, so the copies of a page are
-evidence of boilerplate and a page that is copied often enough loses its
-lines.  With ``distinct_texts`` (the pipeline, whose next stage drops copies)
-the rows of a host with equal texts (by 64-bit hash) count as one page, for
-the lines and the host's total, and a page whose lines would all go keeps its
-text.
+With ``distinct_texts`` (op2 and the pipeline) the rows of a host with equal
+texts (by 64-bit hash) count as one page, for the lines and the host's total,
+so the copies of a page are no evidence of boilerplate; and a page whose lines
+would all go keeps its text.
 """
 
 from __future__ import annotations
@@ -81,30 +79,31 @@ def dedup_lines(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), distinct_texts=True)
 
 
 def dedup_sql(source: str, ratio: float = MAX_RATIO, pages: int = MIN_PAGES) -> str:
     """DuckDB SQL for the documents after line dedup: the columns of
     ``source`` with text replaced, n_lines and n_dropped."""
     return f"""
-SELECT * REPLACE (CASE WHEN text IS NULL OR text = '' THEN text
-                       ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT coalesce(list_contains(drop_, x), false)), chr(10)) END AS text)
+SELECT * EXCLUDE (lines, kept) REPLACE (CASE WHEN drop_ IS NULL OR text = '' THEN text ELSE array_to_string(kept, chr(10)) END AS text),
+       CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(lines) - len(kept) END::BIGINT AS n_dropped
 FROM (
-  SELECT d.*, b.drop_,
-         CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
-         CASE WHEN text IS NULL OR text = '' THEN 0
-              ELSE len(list_filter(string_split(text, chr(10)), lambda x: coalesce(list_contains(drop_, x), false))) END::BIGINT AS n_dropped
-  FROM {source} d LEFT JOIN (
-    SELECT l.source, list(line) AS drop_
-    FROM (SELECT source, line, count(*) AS n
-          FROM (SELECT source, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))) AS line
-                FROM {source} WHERE text IS NOT NULL)
-          GROUP BY source, line HAVING count(*) >= {pages}) l
-    JOIN (SELECT source, count(*) AS pages FROM {source} GROUP BY source) p
-      ON l.source IS NOT DISTINCT FROM p.source
-    WHERE n > pages * {ratio}
-    GROUP BY l.source) b ON d.source IS NOT DISTINCT FROM b.source)"""
+  SELECT * REPLACE (CASE WHEN len(list_filter(kept, lambda x: trim(x) <> '')) > 0 THEN kept ELSE lines END AS kept),
+         CASE WHEN text IS NULL OR text = '' THEN 0 ELSE len(lines) END::BIGINT AS n_lines
+  FROM (
+    SELECT d.*, b.drop_, string_split(text, chr(10)) AS lines,
+           list_filter(string_split(text, chr(10)), lambda x: NOT coalesce(list_contains(b.drop_, x), false)) AS kept
+    FROM {source} d LEFT JOIN (
+      SELECT l.source, list(line) AS drop_
+      FROM (SELECT source, line, count(*) AS n
+            FROM (SELECT source, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))) AS line
+                  FROM (SELECT DISTINCT source, text FROM {source} WHERE text IS NOT NULL))
+            GROUP BY source, line HAVING count(*) >= {pages}) l
+      JOIN (SELECT source, count(*) AS pages FROM (SELECT DISTINCT source, text FROM {source}) GROUP BY source) p
+        ON l.source IS NOT DISTINCT FROM p.source
+      WHERE n > pages * {ratio}
+      GROUP BY l.source) b ON d.source IS NOT DISTINCT FROM b.source))"""
 
 
 OP2_SQL = f"SELECT doc_id, text, n_lines, n_dropped FROM ({dedup_sql('documents')})"

@@ -152,7 +152,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scan_secrets(table(spark, sf_dir, "documents"))
+    d = scan_secrets(table(spark, sf_dir, "documents"), must_look=True)
 
     def n(kind):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
@@ -172,6 +172,11 @@ _FOUND_SQL = " UNION ALL ".join(
     f"SELECT rid, {kind} AS kind, {least} AS least, regexp_extract_all(t, '{rx}', 0) AS m, "
     f"regexp_extract_all(t, '{rx}', {group}) AS v, string_split_regex(t, '{rx}') AS g FROM d"
     for kind, rx, group, least in _KINDS_SQL)
+#: ``looks_live`` in SQL: pairs of neighbours instead of the places between them.
+_LOOKS_SQL = """(regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 5
+  AND (kind < 3 OR list_bool_or(list_transform(string_split_regex(value, '[^A-Za-z0-9]+'), lambda r: length(r) >= 8
+    AND list_transform([len(list_filter(range(1, length(r)), lambda i: regexp_matches(substring(r, i, 2),
+      '^([A-Za-z][0-9]|[0-9][A-Za-z]|[a-z][A-Z])$')))], lambda n: n >= 2 AND n * 5 >= length(r))[1]))))"""
 OP1_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS owner,
                   coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1)) AS repo FROM documents),
@@ -182,18 +187,18 @@ placed AS (SELECT rid, kind, least, unnest(v) AS value, unnest(ml) AS n, unnest(
                   unnest(range(len(ml))) AS i FROM lens),
 spans AS (SELECT rid, kind, least, value, n,
                  SUM(n + gap) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM placed),
-kept AS (SELECT rid, kind, value, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM spans
+kept AS (SELECT rid, kind, value, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e, {_LOOKS_SQL} AS looks FROM spans
          WHERE length(value) >= least AND (kind <> 3 OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))),
 finds AS (SELECT * FROM kept WHERE kind < 3 UNION ALL
           SELECT * FROM kept b WHERE kind = 3 AND NOT EXISTS (
             SELECT 1 FROM kept a WHERE a.rid = b.rid AND a.kind < 3 AND a.s < b.e AND b.s < a.e)),
 held AS (SELECT value, count(DISTINCT owner) >= 3 AND count(DISTINCT repo) >= 3 AS example
          FROM finds JOIN d USING (rid) GROUP BY value),
-written AS (SELECT rid, kind, s, example, list_extract({list(KINDS)}, kind + 1) || ':' || s || ':' || e AS span
+written AS (SELECT rid, kind, s, example, NOT example AND looks AS live, list_extract({list(KINDS)}, kind + 1) || ':' || s || ':' || e AS span
             FROM finds JOIN held USING (value))
 SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
        count(*) FILTER (WHERE kind = 2) AS n_hex,
        sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
-       coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3 OR NOT example), '') AS spans,
-       count(*) FILTER (WHERE NOT example) AS n_live, count(*) FILTER (WHERE example) AS n_example
+       coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3 OR live), '') AS spans,
+       count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE example) AS n_example
 FROM d LEFT JOIN written USING (rid) GROUP BY rid, doc_id"""

@@ -244,6 +244,18 @@ def test_language_id_suffix_and_site_decide(spark):
     assert without[900] == without[901] and without[902] == "fr"
 
 
+def test_language_tags_of_one_language_are_one(spark):
+    rnd = random.Random(2)
+    rows = [r[:5] for r in lang_rows(400)]
+    tags = ["en", "EN", "en-US", "en-us", "en_GB"]
+    rows = [(i, t, rnd.choice(tags) if lang == "en" else lang, h, n) for i, t, lang, h, n in rows]
+    rows += [(1000, rows[0][1], "not a language tag", None, 1)]
+    got = language_id.identify(frame(spark, rows)).collect()
+    assert {r["language"] for r in got} == {"en", "fr", "de"}
+    tagged = spark.createDataFrame([(t,) for t in [*tags, None, "", "x", "zh-Hant-TW", " fr ", "a b", "sr_Latn"]], "t string")
+    assert [r[0] for r in tagged.select(language_id.primary_tag(tagged.t)).collect()] == ["en"] * 5 + [None, None, None, "zh", "fr", None, "sr"]
+
+
 def test_language_id_odd_rows(spark):
     rows = [r[:5] for r in lang_rows(100)] + [(500 + i, *r[1:]) for i, r in enumerate(corpus())]
     got = language_id.identify(frame(spark, rows), accepted=("en", "fr", "de")).collect()
