@@ -256,3 +256,30 @@ def test_long_words_of_equal_polynomials_do_not_link(spark):
     rows = [(1, one + " same same", "en", "s", 0), (2, other + " same same", "en", "s", 0), (3, one + " same same", "en", "s", 0)]
     got = {r.doc_id: r.component_id for r in jaccard_join(frame(spark, rows), 3, 90, 100).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+# -- ties of the top-k search -------------------------------------------------------------------------
+
+def one_term_shard(ids, counts, length):
+    from counterfoil.llm.topk_search import Shard
+    n = len(ids)
+    return Shard({"ids": ids, "lengths": np.full(n, length, np.int32).tobytes(), "terms": np.array([5], np.int64).tobytes(),
+                  "starts": np.array([0, n], np.int32).tobytes(), "docs": np.arange(n, dtype=np.uint16).tobytes(),
+                  "counts": np.array(counts, np.uint16).tobytes()}, 100.0)
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_equal_small_scores_go_to_the_smaller_id(parts):
+    from counterfoil.llm.topk_search import Search
+    rnd = random.Random(parts)
+    for trial in range(200):
+        n = rnd.choice([20, 200, 300])     # few documents are summed posting by posting, many densely
+        ids = rnd.sample(range(10 * n), n)
+        counts = [rnd.choice([1, 1, 1, 2]) for _ in ids]
+        search = Search([0, 1], [np.array([5]), np.array([5])], [np.array([rnd.uniform(1e-8, 0.3)]), np.array([rnd.uniform(0, 9)])], 10, 100.0)
+        cut = [0, *sorted(rnd.sample(range(1, n), parts - 1)), n]
+        for a, b in zip(cut, cut[1:]):
+            search.shard(one_term_shard(ids[a:b], counts[a:b], 80))
+        want = [i for _, i in sorted((-c, i) for c, i in zip(counts, ids))[:10]]
+        for best in search.best:
+            assert [i for _, i in sorted(best)] == want
