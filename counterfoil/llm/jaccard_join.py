@@ -60,7 +60,7 @@ from .url_filter import Level
 
 CUTS = 3
 GROUP_DOCS, GROUP_TOKENS = 64, 1 << 18
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 19
 FILTER_BITS = 1 << 26
 _SALT = [np.uint64(x) for x in (0x0123456789ABCDEF, 0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B, 0x510E527FADE682D1,
                                 0x9B05688C2B3E6C1F)]
