@@ -17,6 +17,15 @@ is more than half of the page's, it is a wrapper and its lines count, unless an
 article stands outside of it.
 Every other line between a surge and its dive is kept whole.
 
+On a page that marks no article, position and boxes (div, section, table cell
+...) join the distribution.  A surge must begin at a line of some weight of its
+own, and a dive comes where a window weighs less than such a line, so a word
+above the title or a line of terms below the last paragraph belongs to no
+surge.  The lines of a surge are taken box by box: boxes at its ends that hold
+under a quarter of the heaviest box of the page (a notice before the text, a
+card after it) go, what lies between heavy boxes stays.  Short lines next to
+what is kept stay when they stand in its box, and headings right above it.
+
 Defined results: a null, empty or text-free page gives the empty text; markup
 that is never closed ends with its enclosing element, a head at the body or
 the first element or text that cannot be in it, a title at the next tag; only
@@ -56,17 +65,21 @@ _HINT = re.compile(
     r"popup|modal|overlay|widget|toolbar|complementary|contentinfo)(?:$|[\s_-])", re.I)
 #: Class names that tell of a page's state, not of what the element is.
 _STATE = re.compile(r"(?:^|(?<=\s))(?:with|has|have|is|no|not|without|hide|show)[_-]\S+", re.I)
+_BOX = frozenset("div section td th fieldset blockquote center details form".split())
+_HEADING = ("h1", "h2", "h3", "h4", "h5", "h6")
 _ARTICLE_HINT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)(?:$|[\s_-])", re.I)
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "article", "soft")
+    __slots__ = ("parts", "linked", "article", "soft", "box", "heading")
 
     def __init__(self, article: bool, soft: tuple[int, ...]):
         self.parts: list[str] = []
         self.linked = 0
         self.article = article
         self.soft = soft  # the forms and hinted elements around it
+        self.box = 0  # the box it stands in, 0: the page itself
+        self.heading = False
 
 
 def _kind(name: str, attrs: str, in_article: bool) -> str:
@@ -85,6 +98,8 @@ def page_lines(page: str) -> list[_Line]:
     """The page's blocks in order, without those inside asides."""
     lines = [_Line(False, ())]
     stack: list[tuple[str, str]] = []  # open block elements: name, what they are
+    boxes: list[int] = []  # open boxes
+    n_boxes = 0
     open_names: Counter[str] = Counter()
     soft: tuple[int, ...] = ()
     asides = articles = links = softs = 0
@@ -99,6 +114,8 @@ def page_lines(page: str) -> list[_Line]:
         articles -= kind == "article"
         if kind == "soft":
             soft = soft[:-1]
+        if name in _BOX:
+            boxes.pop()
         return name
 
     def text(raw: str) -> None:
@@ -108,6 +125,9 @@ def page_lines(page: str) -> list[_Line]:
             return
         if lines[-1].article != (articles > 0) or lines[-1].soft != soft:
             lines.append(_Line(articles > 0, soft))
+        if raw.strip() and not "".join(lines[-1].parts).strip():
+            lines[-1].box = boxes[-1] if boxes else 0
+            lines[-1].heading = any(open_names[h] for h in _HEADING)
         lines[-1].parts.append(raw)
         if links:
             lines[-1].linked += len(raw.strip())
@@ -149,6 +169,9 @@ def page_lines(page: str) -> list[_Line]:
                 pop()  # the end tag may be left out
             stack.append((name, kind))
             open_names[name] += 1
+            if name in _BOX:
+                n_boxes += 1
+                boxes.append(n_boxes)
             asides += kind == "aside"
             articles += kind == "article"
             if kind == "soft":
@@ -178,6 +201,40 @@ def spans_of_text(weights: list[int], surge: int, window: int) -> list[tuple[int
     return out
 
 
+def unmarked_spans(lines: list[_Line], weights: list[int], surge: int, window: int, line: int) -> list[tuple[int, int]]:
+    """(from, to) of the line ranges of a page that marks no article."""
+    n = len(weights)
+    sums = [sum(weights[i:i + window]) for i in range(n)]
+    runs, start = [], None
+    for i in range(n + 1):
+        if start is None:
+            if i < n and sums[i] >= surge and weights[i] >= line:
+                start = i
+        elif i == n or sums[i] < line:
+            runs.append((start, i))
+            start = None
+    held = Counter()
+    for i in range(n):
+        held[lines[i].box] += weights[i] if weights[i] >= line else 0
+    heaviest = max(held.values(), default=0)
+    out, done = [], 0
+    for a, b in runs:
+        heavy = [i for i in range(a, b) if 4 * held[lines[i].box] >= heaviest and weights[i] >= line]
+        if not heavy:
+            continue
+        a, b = heavy[0], heavy[-1] + 1
+        kept = {lines[i].box for i in heavy} - {0}
+        while a > done and weights[a - 1] and (lines[a - 1].box in kept or lines[a - 1].heading):
+            a -= 1
+        while b < n and weights[b] and lines[b].box in kept:
+            b += 1
+        a = max(a, done)
+        if a < b:
+            out.append((a, b))
+            done = b
+    return out
+
+
 def _without_asides(lines: list[tuple[_Line, str]], surge: int) -> list[tuple[_Line, str]]:
     """The lines outside forms and hinted elements, and those inside the ones
     that hold most of the page's text."""
@@ -192,7 +249,7 @@ def _without_asides(lines: list[tuple[_Line, str]], surge: int) -> list[tuple[_L
     return [(x, t) for x, t in lines if wrappers.issuperset(x.soft)]
 
 
-def main_text(page: str | None, surge: int = 86, window: int = 3) -> str:
+def main_text(page: str | None, surge: int = 86, window: int = 3, line: int = 40) -> str:
     lines = [(x, " ".join(html.unescape("".join(x.parts)).split())) for x in page_lines(page or "")]
     lines = _without_asides([(x, t) for x, t in lines if t], surge)
     weights = [max(0, len(t) - x.linked) for x, t in lines]
@@ -202,7 +259,10 @@ def main_text(page: str | None, surge: int = 86, window: int = 3) -> str:
         if outside <= sum(w for w, (x, _) in zip(weights, lines) if x.article):
             lines, surge = [(x, t) for x, t in lines if x.article], 1
             weights = [len(t) for _, t in lines]
-    ranges = spans_of_text(weights, surge, window)
+    if any(x.article for x, _ in lines):
+        ranges = spans_of_text(weights, surge, window)
+    else:
+        ranges = unmarked_spans([x for x, _ in lines], weights, surge, window, line)
     if not ranges and any(weights):  # a short page: its only text
         ranges = spans_of_text(weights, 1, window)
     return "\n".join(t for a, b in ranges for _, t in lines[a:b])

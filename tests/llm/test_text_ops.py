@@ -135,6 +135,46 @@ def test_main_text_of_loose_markup(page, text):
     assert html_text.main_text(page) == text
 
 
+COOKIE = "We use cookies and other means to tell visitors apart; by reading on you agree to all of them, and to our terms of use."
+PARAGRAPHS = [("word and another of the main text. " * k).strip() for k in (9, 3, 12, 1, 7)]
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(5)) + "</ul>"
+
+
+def unmarked(body, before="", after=""):
+    return f"<html><head><title>T</title></head><body>{before}<div>{body}</div>{after}</body></html>"
+
+
+@pytest.mark.parametrize("before,after", [
+    ("<div>Contact</div>", "<div>Copyright 2020 Example Ltd</div><div>Terms</div>"),
+    (f"<div>{MENU}</div><div>Contact</div><div>{COOKIE}</div>", f"<div>{MENU}</div><div>All rights reserved</div>"),
+    (f"<div>{COOKIE}</div>", f"<div><p>Great post, thanks!</p></div><div>{MENU}</div>"),
+    ("<table><tr><td>Home<td>Shop</table>", "<div><div>Read next</div><div><a href=x>A long title of another page of this very site</a></div></div>")])
+def test_unmarked_pages_keep_the_main_text_only(before, after):
+    body = "<h1>The title</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "<p>The end.</p>"
+    want = "\n".join(["The title", *PARAGRAPHS, "The end."])
+    assert html_text.main_text(unmarked(body, before, after)) == want
+    # the same with every paragraph in a box of its own, but for what only its box tells
+    parts = "<h1>The title</h1>" + "".join(f"<div>{p}</div>" for p in PARAGRAPHS)
+    assert html_text.main_text(unmarked(parts, before, after)).split("\n")[-6:-1] == ["The title", *PARAGRAPHS[:4]]
+
+
+def test_given_pages_without_their_marks():
+    """The test data's pages: with marks as before; without article marks, classes and ids the menus, adverts
+    and footers still go, but on pages whose text is no longer than they are."""
+    import pyarrow.parquet as pq
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist()
+    same = clean = 0
+    for page in pages:
+        marked = html_text.main_text(page)
+        plain = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|section)\b[^>]*>", r"<\1div>", page)
+        plain = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", plain)
+        got = html_text.main_text(plain)
+        want, have = set(marked.split("\n")), set(got.split("\n"))
+        same += len(want & have) >= 0.8 * len(want) and len(have - want) <= 1
+        clean += "\u00a9" not in got
+    assert same >= 0.95 * len(pages) and clean >= 0.95 * len(pages)
+
+
 def test_unclosed_elements_take_linear_time():
     page = "".join(f"<{n}>" * 20_000 for n in ("object", "select", "svg", "textarea", "iframe"))
     assert html_text.main_text(page + "x") == ""
