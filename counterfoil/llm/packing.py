@@ -53,7 +53,7 @@ class WordTokenizer:
     Words of plain letters are merged by ``tiktoken`` over the same merges: a
     word end is written as the byte 0xFF, which UTF-8 never has.  That gives
     the same ids when every token's own bytes merge into the file's two parts
-    of it (``tests/llm/test_packing.py`` checks all of them).  Other words go
+    of it (``tests/llm/test_bpe.py`` checks all of them).  Other words go
     through the library itself.
     """
 

@@ -162,7 +162,7 @@ def test_given_pages_without_their_marks():
     """The test data's pages: with marks as before; without article marks, classes and ids the menus, adverts
     and footers still go, but on pages whose text is no longer than they are."""
     import pyarrow.parquet as pq
-    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist()
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
     same = clean = 0
     for page in pages:
         marked = html_text.main_text(page)
