@@ -19,6 +19,7 @@ import uuid
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from counterfoil.operators import expiry as E            # noqa: E402
+from counterfoil.operators import incremental as N       # noqa: E402
 from counterfoil.operators import intake as I            # noqa: E402
 from counterfoil.operators import reports as R           # noqa: E402
 from counterfoil.operators.admission import admit_orders  # noqa: E402
@@ -86,6 +87,28 @@ def main():
             publish(C._no_orders(spark, bind_tables(spark, sf_dir)), root)
         run_placement(read_version(spark, root), bind_requests(spark, sf_dir).filter(f"seq % 2 = {part}"), root)
 
+    def timeline():
+        tl = C._timeline(spark, sf_dir)
+        run(tl.decisions)
+        return tl.rounds
+
+    def clean():
+        for _, df in V.clean_tables(bind_tables(spark, sf_dir), lambda df: df.checkpoint(eager=True)).tables.items():
+            run(df)
+
+    # the report aggregates after a batch of 1 % of the orders
+    kept = {}
+
+    def one_more_batch():
+        t = bind_tables(spark, sf_dir, "region")
+        keep = lambda df: df.checkpoint(eager=True)
+        names = ("orders", "order_products", "staff_orders")
+        if not kept:
+            state = N.ledger_aggregates(t.replace(**{n: getattr(t, n).filter("order_id % 100 <> 0") for n in names}))
+            kept["state"] = N.Aggregates(*[keep(df) for _, df in state.items()])
+        change = N.delta({n: getattr(t, n).filter("order_id % 100 = 0") for n in names})
+        run(N.winners(N.merged(kept["state"], change, keep), t.inventory, C.YEAR_PRODUCT_MIN, staff_min=C.YEAR_STAFF_MIN))
+
     queries = {
         "r2_product_revenue": product_revenue,
         "r4_staff_lifetime_sales": staff_lifetime_sales,
@@ -97,6 +120,9 @@ def main():
         "c3_admit_orders": admit,
         "c9_place_first_batch": lambda: place(0),
         "c9_place_second_batch": lambda: place(1),
+        "c3_timeline_admission": timeline,
+        "v_clean_tables": clean,
+        "r13_after_a_batch": one_more_batch,
     }
     only = os.environ.get("BENCH_ONLY")
     if only:

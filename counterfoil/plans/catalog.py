@@ -1009,6 +1009,35 @@ def q_place_lines(spark, sf_dir):
     return _placed(spark, sf_dir).tables.order_products
 
 
+# C4 and C6-C8 for the accepted orders, with stock, rejections and gaps in the ids.
+@register("c9_orders_after", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT n.order_id, o.order_type, CAST(CASE WHEN o.order_type = 'InStore' THEN 1 ELSE 0 END AS INTEGER) AS completed, o.order_placed
+FROM numbered n JOIN b_orders o ON o.order_id = n.src WHERE n.reason IS NULL"""))
+def q_place_orders_rows(spark, sf_dir):
+    return _placed(spark, sf_dir).tables.orders
+
+
+@register("c9_staff_links_after", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT s.staff_id, n.order_id FROM numbered n JOIN b_sold_by s ON s.order_id = n.src WHERE n.reason IS NULL"""))
+def q_place_links(spark, sf_dir):
+    return _placed(spark, sf_dir).tables.staff_orders
+
+
+@register("c9_collections_after", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT n.order_id, c.fname, c.lname, c.collection_date
+FROM numbered n JOIN b_collections c ON c.order_id = n.src WHERE n.reason IS NULL"""))
+def q_place_collections(spark, sf_dir):
+    return _placed(spark, sf_dir).tables.collections
+
+
+@register("c9_deliveries_after", O.with_binding(f"""WITH {FOLD_SQL}
+SELECT n.order_id, d.fname, d.lname, d.house, d.street, d.city, d.delivery_date
+FROM numbered n JOIN b_deliveries d ON d.order_id = n.src
+WHERE n.reason IS NULL AND n.src NOT IN (SELECT order_id FROM b_collections)"""))
+def q_place_deliveries(spark, sf_dir):
+    return _placed(spark, sf_dir).tables.deliveries
+
+
 @register("c9_stock_after", O.with_binding(f"""WITH {FOLD_SQL}
 SELECT i.product_id, coalesce(left_.stock, CASE WHEN s.product_id IS NULL THEN i.stock END) AS stock
 FROM b_inventory i LEFT JOIN shelf s USING (product_id)
@@ -1017,6 +1046,25 @@ def q_place_stock(spark, sf_dir):
     return _placed(spark, sf_dir).tables.inventory.select("product_id", "stock")
 
 
+REPEAT_EVERY = 29   # requests that come again in the last file of the stream
+
+
+@register("c11_stream_decisions", O.with_binding(f"""WITH {_fold_sql("")}
+SELECT seq, reason IS NULL AS accepted, reason FROM decided
+UNION ALL SELECT seq, false, 'seq' FROM decided WHERE seq % {REPEAT_EVERY} = 0"""))
+def q_stream_decisions(spark, sf_dir):
+    """Every request of the stream gets one decision; those that repeat an
+    earlier file's ``seq`` are rejected."""
+    base = f"{ensure_checkpoint_dir(spark)}/c11-{uuid.uuid4().hex}"
+    reqs = materialize_requests(bind_requests(spark, sf_dir))
+    publish(_no_orders(spark, bind_tables(spark, sf_dir)), f"{base}/ledger")
+    for part in (reqs, reqs.filter(F.col("seq") % REPEAT_EVERY == 0)):
+        part.write.mode("append").parquet(f"{base}/requests")
+        stream_orders(spark, f"{base}/requests", f"{base}/ledger", f"{base}/checkpoint", fmt="parquet",
+                      decisions_path=f"{base}/decisions").awaitTermination()
+    return spark.read.parquet(f"{base}/decisions").select("seq", "accepted", "reason")
+
+
 @register("c11_stream_orders", O.with_binding(f"""WITH {_fold_sql("")}
 SELECT n.order_id, l.product_id, l.quantity FROM numbered n JOIN b_lines l ON l.order_id = n.src WHERE n.reason IS NULL"""))
 def q_stream(spark, sf_dir):
