@@ -70,12 +70,14 @@ def sample(docs: DataFrame, train_rows: int) -> DataFrame:
     hash.  ``docs``: text, declared."""
     rows = docs.where("declared IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
     hashes = stored(rows.select("declared", "h").distinct())
-    counts = hashes.groupBy("declared").agg(F.count(F.lit(1)).alias("texts"))
-    each = max(train_rows // max(counts.count(), 1), LEAST_ROWS)
+    # a row a language, each of which also has a model on the driver
+    texts = {r["declared"]: r["n"] for r in hashes.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(train_rows // max(len(texts), 1), LEAST_ROWS)
     # a threshold that about four times as many hashes pass comes first, so the
     # window of a language is as small however many texts and tasks there are
     share = (F.col("h").cast("double") + 2.0 ** 63) / 2.0 ** 64
-    low = hashes.join(counts, "declared").where(share * F.col("texts") <= 4 * each)
+    many = F.create_map(*[F.lit(x) for kv in sorted(texts.items()) for x in kv]) if texts else F.lit(None).cast("map<string,bigint>")
+    low = hashes.where(share * many[F.col("declared")] <= 4 * each)
     least = Window.partitionBy("declared").orderBy("h")
     picked = stored(low.withColumn("place", F.row_number().over(least)).where(F.col("place") <= each).select("declared", "h"))
     # copies collapse map-side (equal hashes are taken for equal texts)
