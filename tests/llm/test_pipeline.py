@@ -122,5 +122,5 @@ def test_pipeline_over_the_given_tables(spark):
 def test_every_query_is_registered():
     import __spark_entry__
     names = __spark_entry__.queries()
-    assert {re.match(r"op\d+_", n)[0] for n in registry.QUERIES} == {f"op{i}_" for i in range(1, 11)}
+    assert {re.match(r"op\d+_", n)[0] for n in registry.QUERIES} == {f"op{i}_" for i in range(1, 14)}
     assert set(registry.QUERIES) | {"pipeline"} <= set(names) and set(registry.SQL) <= set(registry.QUERIES)
