@@ -51,7 +51,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pick, table
@@ -97,11 +97,17 @@ class Bands:
             self.cuts[j] = (k + 1 + e, e) if k else (0, 0)
         return self.cuts[j]
 
+    def differ(self, n: int, j: int) -> int:
+        """How many shingles a set of size ``n`` and one that it links with in
+        the bands j and j + 1 differ in at most."""
+        largest = min(self.tops[j + 1], n * self.den // self.num)
+        return (self.den - self.num) * (n + largest) // (self.den + self.num)
+
 
 def block_keys(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """The block keys of a sorted set of shingle hashes, and for each how many
-    blocks of its cut a linked set shares at least: all but the largest
-    difference and the empty ones."""
+    blocks of its cut a linked set shares at least: all that are not empty but
+    one for each shingle that the two may differ in at this set's own size."""
     out, needs, j = [], [], bands.band(len(tokens))
     for instance in (j - 1, j):
         blocks, spare = bands.cut(instance)
@@ -117,7 +123,7 @@ def block_keys(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             place = part[at] + np.uint64((instance * CUTS + seed) << 32)
             out.append(mix64(np.add.reduceat(mix64(t ^ _SALT[3]), at) ^ mix64(place)))
-            need = 1 + spare - (blocks - len(at)) if seed == 0 else 1
+            need = len(at) - bands.differ(len(tokens), instance) if seed == 0 else 1
             needs.append(np.full(len(at), min(max(1, need), 65535), np.uint16))
             if blocks - len(at) <= spare:
                 break
@@ -254,6 +260,15 @@ def shared_blocks(rows: DataFrame, buckets: int) -> DataFrame:
         run, "key bigint, h1 bigint, holders bigint, need bigint")
 
 
+def enough_shared(shared: DataFrame) -> DataFrame:
+    """``shared`` without the keys of classes that share fewer blocks with all
+    others together than a link needs, and without keys that are then held once."""
+    alike = Window.partitionBy("h1", "need")  # the keys of a class's cut, or of two cuts of equal need
+    alive = cut(shared.withColumn("_n", F.count(F.lit(1)).over(alike)).where("_n >= need").drop("_n", "holders"))
+    held = alive.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    return cut(alive.join(held, "key").select("key", "h1", "holders", "need"))
+
+
 def _overlaps(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     at = np.minimum(np.searchsorted(query, tokens), len(query) - 1)
     return np.bincount(owner[query[at] == tokens], minlength=n)
@@ -377,7 +392,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     sizes = scanned.agg(F.sum("n"), F.count(F.lit(1))).first()
     keys = (sizes[0] or 0) * 4 * (den - num) / (den + num) + 8 * sizes[1]
     buckets = max(1, math.ceil(keys / BUCKET_KEYS))
-    shared = cut(shared_blocks(block_rows(d, width, num, den, buckets), buckets))
+    shared = enough_shared(shared_blocks(block_rows(d, width, num, den, buckets), buckets))
     classes = scanned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"))
     # a class's first label is its most widely held block; a block's is the
     # most widely held first label among its holders, so that a class without
@@ -418,8 +433,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     size = members.groupBy("g").agg(F.sum("n").alias("size"))
     # bound: a link needs so many equal blocks, and these are all the groups share
     two = (meet.groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b"))
-           .agg(F.count(F.lit(1)).alias("_n"), F.min(F.least("x.need", "y.need")).alias("_need"))
-           .where("_n >= _need"))
+           .agg(F.count(F.lit(1)).alias("_n"), F.min("x.need").alias("_a"), F.min("y.need").alias("_b"))
+           .where("_n >= greatest(_a, _b)").select("a", "b"))
     two = (two.join(size.select(F.col("g").alias("a"), F.col("size").alias("_a")), "a")
            .join(size.select(F.col("g").alias("b"), F.col("size").alias("_b")), "b"))
     less = F.col("_a") <= F.col("_b")  # the smaller group is carried to the larger one

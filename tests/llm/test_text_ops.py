@@ -63,6 +63,10 @@ def test_linked_sets_share_a_block(num):
             both = set(x.tolist()) & set(y.tolist())
             needs = [k for keys, need in ((x, nx), (y, ny)) for i, k in zip(keys.tolist(), need.tolist()) if i in both]
             assert both and len(both) >= min(needs), (n, gone, more)
+            # no cut of either one has fewer of the shared keys than its need
+            for keys, need in ((x, nx), (y, ny)):
+                counts = Counter(i for k, i in zip(keys.tolist(), need.tolist()) if k in both)
+                assert all(have >= i for i, have in counts.items()), (n, gone, more)
 
 
 def test_topk_matches_brute_force(spark, monkeypatch):
