@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from counterfoil.llm import jaccard_join, language_id, line_dedup, packing, secret_scan
 from counterfoil.llm.common import pick, stored, table
+from counterfoil.llm.url_filter import Level
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: The most bits of the filter of ids to look up; beyond some 7 M ids it lets more rows through.
+FILTER_BITS = 1 << 26
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -36,6 +39,18 @@ def _same_row():
     return F.col("_rid").eqNullSafe(F.col("row_id"))
 
 
+def _split(d: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``d`` that ``ids`` (_rid) certainly lacks, and the others:
+    only these need a join with it, so the other texts are not shuffled."""
+    def name(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    seen = Level(0, 1, 0.02)
+    seen.m = min(FILTER_BITS, max(64, 9 * ids.count()))
+    seen.build(ids.select(name("_rid.doc_id").alias("key")))
+    maybe = seen.holds(name("doc_id"))
+    return d.where(~maybe), d.where(maybe)
+
+
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a clear language go."""
     d = _rows(docs)
@@ -60,11 +75,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     acts = stored(per_row.where("doc_id <> component_id OR times > 1").select(
         F.col("doc_id").alias("_rid"), (F.col("doc_id") == F.col("component_id")).alias("one")))
     drop, once = acts.where("NOT one").select("_rid"), acts.where("one").select("_rid")
+    clear, d = _split(d, acts)
     if not once.limit(1).count():
-        return d.join(drop, _same_row(), "left_anti").select(*COLUMNS)
+        return clear.unionAll(d.join(drop, _same_row(), "left_anti")).select(*COLUMNS)
     single = d.join(acts.select("_rid"), _same_row(), "left_anti")
     repeated = d.join(once, _same_row(), "left_semi").dropDuplicates(["row_id"])
-    return single.unionAll(repeated).select(*COLUMNS)
+    return clear.unionAll(single).unionAll(repeated).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
