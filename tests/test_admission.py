@@ -261,3 +261,27 @@ def test_large_components_stay_in_rounds(spark):
     assert folded == 24 and {r["product_id"] for r in rest.collect()} == {1, 2, 3, 4}
     labels = {r["product_id"]: r["label"] for r in admission.components(state.select("seq", "product_id")).collect()}
     assert set(labels.values()) == {1, 1000}
+
+
+def test_rounds_do_not_swell_the_planner_s_estimate(spark, monkeypatch):
+    """A chain of orders takes a round each; the size that the planner keeps of
+    the state must stay that of its rows, not be multiplied every round."""
+    from counterfoil.operators import admission
+    sizes, judge = [], admission._round
+
+    def seen(state, width):
+        sizes.append(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return judge(state, width)
+    monkeypatch.setattr(admission, "_round", seen)
+    monkeypatch.setattr(admission, "FOLD_LINES", 0)
+    monkeypatch.setattr(admission, "fold_small_components", lambda state: (state, state.select("seq").limit(0), 0))
+    # every order takes the last piece of one product and one of the next: each waits for the one before
+    inventory = [(p, f"p{p}", D("1.00"), 1) for p in range(1, 14)]
+    t = _tables(spark, inventory)
+    reqs = spark.createDataFrame([request(s, [(s, 1), (s + 1, 1)], 1) for s in range(1, 13)], REQUESTS)
+    v = I.validate_requests(reqs, t.inventory, t.staff)
+    adm = admit_orders(v, I.explode_order_lines(reqs), t.inventory)
+    want, _ = sequential_admission([(s, [(s, 1), (s + 1, 1)]) for s in range(1, 13)], {p: 1 for p in range(1, 14)})
+    assert {r["seq"]: r["accepted"] for r in adm.decisions.collect()} == want
+    assert adm.rounds > 5
+    assert max(int(n) for n in sizes) < 1 << 40
