@@ -285,3 +285,36 @@ def test_rounds_do_not_swell_the_planner_s_estimate(spark, monkeypatch):
     assert {r["seq"]: r["accepted"] for r in adm.decisions.collect()} == want
     assert adm.rounds > 5
     assert max(int(n) for n in sizes) < 1 << 40
+
+
+def _state(spark, reqs, stock):
+    rows = []
+    for at, (s, ls) in enumerate(sorted(reqs)):
+        need = {}
+        for p, q in ls:
+            need[p] = need.get(p, 0) + q
+        rows += [(s, at, p, q, stock[p], "O") for p, q in need.items()]
+    return spark.createDataFrame(rows, "seq long, at long, product_id long, qty long, stock long, st string")
+
+
+def test_a_block_decides_its_chain_in_one_round(spark):
+    from counterfoil.operators import admission
+    reqs, stock = _chain(40, 1000)
+    want = sequential_admission(reqs, stock)[0]
+    for width, left in ((40, 0), (20, 20)):
+        judged = admission._round(_state(spark, reqs, stock), width).collect()
+        assert {r.seq for r in judged if r.st == "R"} == {s for s, a in want.items() if not a and s < 1040 - left}
+        assert sum(r.st == "O" for r in judged) <= 2 * left
+
+
+@pytest.mark.parametrize("limit", [3, 40])
+def test_rounds_of_blocks_equal_the_fold(spark, monkeypatch, limit):
+    """Small blocks, a product on every other order, blocks that merge as lines leave."""
+    from counterfoil.operators import admission
+    monkeypatch.setattr(admission, "FOLD_LINES", limit)
+    rnd = random.Random(limit)
+    stock = {p: rnd.randint(5, 60) for p in range(1, 7)} | {0: 90}
+    reqs = [(s, [(0 if rnd.random() < 0.5 else rnd.randint(1, 6), rnd.randint(1, 6)) for _ in range(rnd.randint(1, 3))])
+            for s in rnd.sample(range(1, 900), 110)]
+    got, adm = _admit(spark, reqs, stock)
+    assert got == sequential_admission(reqs, stock)[0] and adm.rounds > 1
