@@ -15,14 +15,15 @@ accepted, and p lies before its return) or nothing, and
     hi = lo + quantity of open orders before p that have not returned by p
 
 enclose the real use at p, less what older orders of the ledger return by
-then.  The rounds are those of ``operators.admission`` with these two bounds:
+then.  The rounds are those of ``operators.blocks`` with these two bounds:
 accept when every line fits under hi, reject when one fails under lo.  The
-earliest open order has lo = hi, so every round decides one at least.
+first block with open orders is decided whole, so every round decides one at
+least.
 
 A line counts as two events on its product, its quantity at the order's place
-and minus that at the return; events of one product and run are summed first,
-so a run that returns a third of all lines is a row a product.  Running sums
-are the two-level prefix of ``functions.prefix``.  The runs are parameters of
+and minus that at the return; returns of one product and run to a block are
+summed first, so a run that returns a third of all lines is a row a product and
+block.  The runs are parameters of
 the job (a list); nothing else reaches the driver but counts.
 """
 
@@ -32,14 +33,14 @@ import datetime as _dt
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ids import dense_index
 from ..functions.lookup import count_below
-from ..functions.prefix import block_width_for, exclusive_prefix_sums
-from ..session import ensure_checkpoint_dir
-from .admission import ACCEPTED, FOLD_ROUNDS, OPEN, REJECTED, contested_demand, fold_rejected
+from ..session import discard, ensure_checkpoint_dir, store, stored
+from .admission import FOLD_LINES, FOLD_ROUNDS, contested_demand, fold_rejected
+from .blocks import OPEN, REJECTED, first_width, judge_blocks, wider
 from .expiry import EXPIRY_DAYS
 from .stock import reduce_stock, restock
 
@@ -79,28 +80,6 @@ def _at(positions: list[int], run):
         if positions else F.lit(None).cast("bigint")
 
 
-def _round(state: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """One round over (seq, at, product_id, qty, stock, back_at, st)."""
-    taken = F.when(F.col("st") == ACCEPTED, F.col("qty")).otherwise(F.lit(0))
-    asked = F.when(F.col("st") == OPEN, F.col("qty")).otherwise(F.lit(0))
-    marked = state.withColumn("_a", taken).withColumn("_o", asked).withColumn("_op", asked)
-    back = (marked.filter(F.col("back_at").isNotNull()).select(
-                "product_id", F.col("back_at").alias("at"), (-F.col("_a")).alias("_a"), (-F.col("_o")).alias("_o"))
-            .unionByName(base).groupBy("product_id", "at").agg(F.sum("_a").alias("_a"), F.sum("_o").alias("_o")))
-    events = marked.unionByName(back.withColumn("_op", F.lit(0).cast("bigint")), allowMissingColumns=True)
-    sums = exclusive_prefix_sums(events, "product_id", "at", {"lo": "_a", "unsure": "_o", "open_before": "_op"}, width,
-                                 key_totals={"open_total": "_op"}).filter(F.col("seq").isNotNull())
-    fits = F.col("lo") + F.col("unsure") + F.col("qty") <= F.col("stock")
-    fails = F.col("lo") + F.col("qty") > F.col("stock")
-    per_order = Window.partitionBy("seq")
-    judged = (sums.withColumn("_all_fit", F.min(F.when(F.col("st") == OPEN, fits)).over(per_order))
-              .withColumn("_any_fail", F.max(F.when(F.col("st") == OPEN, fails)).over(per_order)))
-    st = (F.when(F.col("st") != OPEN, F.col("st")).when(F.col("_any_fail"), REJECTED)
-          .when(F.col("_all_fit"), ACCEPTED).otherwise(OPEN))
-    return judged.select("seq", "at", "product_id", "qty", "stock", "back_at", st.alias("st"),
-                         (F.col("open_total") - F.col("open_before") - F.col("_op")).alias("open_after"))
-
-
 def admit_timeline(validated: DataFrame, lines: DataFrame, inventory: DataFrame, runs: list[ExpiryRun],
                    collected: DataFrame | None = None, pending: DataFrame | None = None,
                    days: int = EXPIRY_DAYS) -> Timeline:
@@ -143,23 +122,32 @@ def admit_timeline(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
     place = [2 * n + 1 for n in accumulate(earlier.get(i, 0) for i in range(len(runs)))]
     state = (contenders.join(order.select("seq", "at"), "seq").join(eligible.select("seq", "back"), "seq")
              .select("seq", "at", "product_id", "qty", "stock", _at(place, F.col("back")).alias("back_at"),
-                     F.lit(OPEN).alias("st")).checkpoint(eager=True))
-    base = (state.sparkSession.createDataFrame([], "product_id long, at long, _a long, _o long") if older is None else
-            older.join(state.select("product_id").distinct(), "product_id", "left_semi").select(
-                "product_id", _at(place, F.col("back")).alias("at"), (-F.col("qty")).alias("_a"), F.lit(0).cast("bigint").alias("_o")))
-
-    open_lines, last = state.agg(F.count(F.lit(1)), F.greatest(F.max("at"), F.max("back_at"))).first()
-    width = block_width_for(last or 0)
-    rejected, rounds = [hopeless], 0
+                     F.lit(OPEN).alias("st")))
+    state = stored(state)
+    if older is not None:
+        older_back = stored(older.join(state.select("product_id").distinct(), "product_id", "left_semi").select(
+            "product_id", _at(place, F.col("back")).alias("at"), "qty"))
+    else:
+        older_back = None
+
+    open_lines, last = state.agg(F.count(F.lit(1)), F.max("at")).first()
+    parallel = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = first_width(open_lines, (last or 0) + 1, parallel, FOLD_LINES)
+    rejected, rounds, files = [hopeless], 0, []
     while open_lines:
+        if rounds:
+            width = wider(state, width, FOLD_LINES)
         seen = Observation()
-        judged = _round(state, base, width).observe(
-            seen, F.count_if(F.col("st") == OPEN).alias("open")).checkpoint(eager=True)
+        judged, path = store(judge_blocks(state, width, older_back).observe(
+            seen, F.count_if(F.col("st") == OPEN).alias("open")))
         rounds += 1
         rejected.append(judged.filter(F.col("st") == REJECTED).select("seq"))
         if len(rejected) > FOLD_ROUNDS:
-            rejected = [fold_rejected(rejected).checkpoint(eager=True)]
-        state = judged.filter((F.col("st") == OPEN) | ((F.col("st") == ACCEPTED) & (F.col("open_after") > 0))).drop("open_after")
+            rejected = [stored(fold_rejected(rejected))]
+            discard(judged.sparkSession, files)
+            files = []
+        files.append(path)
+        state = judged.filter(F.col("st") != REJECTED)
         if seen.get["open"] >= open_lines:
             raise RuntimeError("timeline round made no progress")  # impossible by construction
         open_lines = seen.get["open"]

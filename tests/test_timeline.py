@@ -104,3 +104,23 @@ def test_count_below(spark):
         df = spark.createDataFrame([(v,) for v in [None, -1, 0, 1, 2, 3, 4, 9, 10, 198, 199, 500]], "v int")
         for r in df.select("v", count_below(F.col("v"), items).alias("n")).collect():
             assert r.n == (None if r.v is None else sum(x < r.v for x in items))
+
+
+@pytest.mark.parametrize("limit", [4, 60])
+def test_returns_within_and_between_blocks(spark, monkeypatch, limit):
+    """Blocks of a few orders, many runs: stock returns in the block of its order and in later ones."""
+    from counterfoil.operators import timeline
+    monkeypatch.setattr(timeline, "FOLD_LINES", limit)
+    widths, judge = [], timeline.judge_blocks
+    monkeypatch.setattr(timeline, "judge_blocks", lambda state, width, older: widths.append(width) or judge(state, width, older))
+    rnd = random.Random(limit)
+    stock = {p: rnd.randint(8, 40) for p in range(1, 5)}
+    requests = [(s, rnd.choice(["InStore", "Collection", "Collection"]), DAY + dt.timedelta(rnd.randrange(40)),
+                 [(rnd.randint(1, 4), rnd.randint(1, 6)) for _ in range(rnd.randint(1, 3))]) for s in range(1, 121)]
+    runs = [ExpiryRun(6 * i, DAY + dt.timedelta(3 * i)) for i in range(1, 20)]
+    pending = [(DAY + dt.timedelta(rnd.randrange(40)), [(rnd.randint(1, 4), rnd.randint(1, 9))]) for _ in range(10)]
+    accepted, cancelled, left, got = run_it(spark, requests, stock, runs, (), pending)
+    want, want_cancelled, want_left = fold(requests, stock, runs, (), pending)
+    want_cancelled.pop(None, None)
+    assert (accepted, cancelled, left) == (want, want_cancelled, want_left)
+    assert len(set(want.values())) == 2 and got.rounds == len(widths) > 1 and widths[-1] >= widths[0]
