@@ -49,6 +49,12 @@ def expired_orders(t: Tables, as_of, days: int = EXPIRY_DAYS) -> DataFrame:
         F.col("collection_date") <= F.date_sub(_as_date(as_of), days))
 
 
+def _hashed(order_ids: DataFrame) -> DataFrame:
+    """Distinct ids as the hashed side of a join with the order lines, which
+    then pass by a partition's ids; a sort-merge join would sort the lines."""
+    return order_ids.select("order_id").hint("shuffle_hash")
+
+
 def cascade_from_parent(child: DataFrame, removed_keys: DataFrame, key: str) -> DataFrame:
     """Child rows left after their parent keys are deleted."""
     return child.join(removed_keys.select(key), key, "left_anti")
@@ -63,7 +69,7 @@ def cascade_delete(t: Tables, removed: DataFrame) -> Tables:
     """Delete ``removed`` orders and their dependants (no restock)."""
     return t.replace(
         orders=cascade_from_parent(t.orders, removed, "order_id"),
-        order_products=cascade_from_parent(t.order_products, removed, "order_id"),
+        order_products=t.order_products.join(_hashed(removed), "order_id", "left_anti"),
         collections=cascade_from_parent(t.collections, removed, "order_id"),
         staff_orders=cascade_from_parent(t.staff_orders, removed, "order_id"))
 
@@ -112,6 +118,6 @@ def expire_collections(t: Tables, as_of, days: int = EXPIRY_DAYS,
     removed = expired.join(blocked, "order_id", "left_anti")
     if on_blocked == "abort" and blocked.limit(1).count() > 0:
         removed = removed.filter(F.lit(False))   # the whole run fails: nothing removed
-    removed_lines = t.order_products.join(removed, "order_id", "left_semi")
+    removed_lines = t.order_products.join(_hashed(removed), "order_id", "left_semi")
     after = cascade_delete(t, removed).replace(inventory=restock(t.inventory, removed_lines))
     return ExpiryResult(after, removed, blocked)

@@ -195,3 +195,18 @@ def test_read_raw_csv_requests(spark, scratch):
     got = {r["seq"]: r for r in read_requests(spark, path, fmt="csv", raw=True).collect()}
     assert got[7]["products"] == [1, 3] and got[7]["quantities"] == [2, 1] and got[7]["staff_id"] == 2
     assert got[8]["quantities"] == [None] and got[8]["fname"] == "Al"
+
+
+def test_expiry_does_not_sort_the_lines(spark):
+    """A task holds the removed ids of its partition, not its order lines."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = E.expire_collections(g1(spark), "2020-06-10").tables
+        for df, kind in ((after.order_products, "LeftAnti"), (after.inventory, "LeftSemi")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert any("ShuffledHashJoin" in line and kind in line for line in plan.splitlines())
+        assert sorted(r.order_id for r in after.order_products.collect()) == [1, 3, 4, 5, 6]
+        assert {r.product_id: r.stock for r in after.inventory.collect()}[2] == 600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
