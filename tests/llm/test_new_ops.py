@@ -60,6 +60,20 @@ def test_a_passage_in_every_document_stays_in_the_first_only(spark):
     assert got[0][1] == [] and all(len(got[i][1]) == 1 for i in range(1, 40))
 
 
+def test_a_text_that_repeats_itself_is_cut_and_sent_by_its_distances(spark):
+    rows = [(i, "x" * i + " Is onhe." * (30 + 5 * i) + f"{i} and " + "ab" * 40 + " end" * (i % 3), None, None, 0) for i in range(24)]
+    want = repeats_removed([(r[0], r[1]) for r in rows], 50)
+    got = found_repeats(frame(spark, rows), 50, 20)  # fewer than 30 runs, but hundreds of their usual lengths
+    assert sorted((i, kept, spans) for i, _, kept, spans in got) == sorted((i, *v) for (i, _), v in want.items())
+    text = np.frombuffer(b". Is onhe" * 300, np.uint8)
+    block = suffix_dedup.Texts({"block": 0, "data": suffix_dedup._zip(text.tobytes()), "bytes": len(text), "ids": np.array([7]).tobytes(),
+                                "known": b"\1", "ends": np.array([len(text)]).tobytes()})
+    keys, times = block.weighed(50)
+    assert len(keys) == 1 and times[0] == -(-(2700 - 49) // 35)
+    key, size, _, content, *_, repeated = suffix_dedup._contents(block, [{"shared": b"", "hot": keys.tobytes()}], 50)
+    assert len(key) == 9 and size.tolist() == [50] * 9 and len(content) == 9 and repeated.sum() == 2651
+
+
 def test_repeats_of_empty_table(spark):
     assert found_repeats(frame(spark, []), 50) == []
 
