@@ -62,6 +62,8 @@ CUTS = 3
 GROUP_DOCS, GROUP_TOKENS = 64, 1 << 18
 BUCKET_KEYS = 1 << 19
 FILTER_BITS = 1 << 26
+#: Bytes of text, and block keys, that a task works on at a time.
+TEXT_BYTES, SEND_KEYS = 1 << 19, 1 << 18
 _SALT = [np.uint64(x) for x in (0x0123456789ABCDEF, 0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B, 0x510E527FADE682D1,
                                 0x9B05688C2B3E6C1F)]
 
@@ -167,7 +169,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             [part.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()),
              pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64())],
             names=["doc_id", "n", "h1", "h2"])
-    return map_blocks(docs, run, f"doc_id {kind}, n bigint, h1 bigint, h2 bigint")
+    return map_blocks(docs, run, f"doc_id {kind}, n bigint, h1 bigint, h2 bigint", size=TEXT_BYTES)
 
 
 def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
@@ -178,7 +180,7 @@ def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) ->
         bands, met = Bands(num, den), set()
         keys, needs, owners, held = [], [], [], 0
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, size=TEXT_BYTES):
                 for t in text_sets(part.column("text"), width):
                     c = _class(t)
                     if c in met or not len(t):
@@ -192,7 +194,7 @@ def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) ->
                         needs.append(need)
                         owners.append(c[0])
                         held += len(found)
-                if held > 1 << 20:
+                if held > SEND_KEYS:
                     yield flush(keys, needs, owners)
                     keys, needs, owners, held = [], [], [], 0
         if held:
@@ -274,6 +276,16 @@ def _overlaps(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int)
     return np.bincount(owner[query[at] == tokens], minlength=n)
 
 
+def _views(tokens: pa.Array) -> list[np.ndarray]:
+    """The sets in the batch's own memory."""
+    _, offsets, data = tokens.buffers()
+    if data is None or not len(tokens):
+        return [np.zeros(0, np.uint64)] * len(tokens)
+    ends = np.frombuffer(offsets, np.int32)[tokens.offset:tokens.offset + len(tokens) + 1].tolist()
+    return [np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64)
+            for a, b in zip(ends, ends[1:])]
+
+
 def verify(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links between the members of ``left`` and of ``right`` (arrays
     of struct(m, star, tokens)); right null: among the members of left.
@@ -281,7 +293,7 @@ def verify(pairs: DataFrame, num: int, den: int) -> DataFrame:
     def members(column):
         flat = column.values
         m, star = flat.field("m").to_numpy(), flat.field("star").to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in flat.field("tokens")]
+        sets = _views(flat.field("tokens"))
         return column.offsets.to_numpy(), m, star, sets
 
     def run(batches):
@@ -379,7 +391,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             "h1": pa.array([k[0] for k in keys], pa.int64()), "h2": pa.array([k[1] for k in keys], pa.int64()),
             "tokens": pa.array([t.tobytes() for t in got], pa.binary())})
     again = map_blocks(docs.where(wanted.holds(name("doc_id"))).select("text"), sets,
-                       "h1 bigint, h2 bigint, tokens binary")
+                       "h1 bigint, h2 bigint, tokens binary", size=TEXT_BYTES)
     return members.join(again.dropDuplicates(["h1", "h2"]), ["h1", "h2"])
 
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -330,3 +331,24 @@ def test_word_hashes_follow_the_words():
     for h, w in zip(block.word_hashes().tolist(), want, strict=True):
         assert seen.setdefault(h, w) == w
     assert len(seen) == len(set(want))
+
+
+def test_sets_are_read_in_the_batch_and_texts_in_small_parts():
+    sets = [np.arange(n, dtype=np.uint64) * np.uint64(n) for n in (3, 0, 1, 5)]
+    tokens = pa.array([s.tobytes() for s in sets], pa.binary())
+    views = jaccard_join._views(tokens)
+    assert [v.tolist() for v in views] == [s.tolist() for s in sets]
+    assert [v.tolist() for v in jaccard_join._views(tokens.slice(2))] == [s.tolist() for s in sets[2:]]
+    assert not any(v.flags.owndata for v in views if len(v)) and jaccard_join._views(tokens[:0]) == []
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 1 << 40, 400)) for _ in range(2500)]
+    out = list(jaccard_join.block_rows(Docs(), 5, 80, 100, 3)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    sent = [sum(len(k) for k in b.column("keys").to_pylist()) // 8 for b in out]
+    assert len(sent) > 1 and max(sent) < 1 << 19  # no more than the most to send, and a part's keys
