@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pick, table
-from .textnum import Block, blocks, map_blocks, mix64
+from .textnum import Block, blocks, give_back, map_blocks, mix64
 from .url_filter import Level
 
 CUTS = 3
@@ -63,7 +63,7 @@ GROUP_DOCS, GROUP_TOKENS = 64, 1 << 18
 BUCKET_KEYS = 1 << 19
 FILTER_BITS = 1 << 26
 #: Bytes of text, and block keys, that a task works on at a time.
-TEXT_BYTES, SEND_KEYS = 1 << 19, 1 << 18
+TEXT_BYTES, SEND_KEYS = 1 << 18, 1 << 18
 _SALT = [np.uint64(x) for x in (0x0123456789ABCDEF, 0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B, 0x510E527FADE682D1,
                                 0x9B05688C2B3E6C1F)]
 
@@ -199,6 +199,8 @@ def block_rows(docs: DataFrame, width: int, num: int, den: int, buckets: int) ->
                     keys, needs, owners, held = [], [], [], 0
         if held:
             yield flush(keys, needs, owners)
+        keys, needs, owners = [], [], []
+        give_back()
 
     def flush(keys, needs, owners):
         need = np.concatenate(needs)
@@ -227,16 +229,18 @@ def shared_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         now, keys, owners, needs = None, [], [], []
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "keys", "owners", "runs", "needs"))
-            for bucket, k, o, r, least in zip(*columns):
+            columns = (_views(batch.column(c), kind) for c, kind in (
+                ("keys", np.uint64), ("owners", np.int64), ("runs", np.uint32), ("needs", np.uint16)))
+            for bucket, k, o, many, least in zip(batch.column("bucket").to_pylist(), *columns):
                 if bucket != now:
                     yield from out(keys, owners, needs)
                     now, keys, owners, needs = bucket, [], [], []
-                many = np.frombuffer(r, np.uint32)
-                needs.append(np.repeat(np.frombuffer(least, np.uint16), many))
-                keys.append(np.frombuffer(k, np.uint64))
-                owners.append(np.repeat(np.frombuffer(o, np.int64), many))
+                needs.append(np.repeat(least, many))
+                keys.append(k)
+                owners.append(np.repeat(o, many))
         yield from out(keys, owners, needs)
+        keys, owners, needs = [], [], []
+        give_back()
 
     def out(keys, owners, needs):
         if not keys:
@@ -276,13 +280,13 @@ def _overlaps(query: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int)
     return np.bincount(owner[query[at] == tokens], minlength=n)
 
 
-def _views(tokens: pa.Array) -> list[np.ndarray]:
-    """The sets in the batch's own memory."""
+def _views(tokens: pa.Array, kind: type = np.uint64) -> list[np.ndarray]:
+    """The sets (numbers of ``kind``) in the batch's own memory."""
     _, offsets, data = tokens.buffers()
     if data is None or not len(tokens):
-        return [np.zeros(0, np.uint64)] * len(tokens)
-    ends = np.frombuffer(offsets, np.int32)[tokens.offset:tokens.offset + len(tokens) + 1].tolist()
-    return [np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64)
+        return [np.zeros(0, kind)] * len(tokens)
+    ends, wide = np.frombuffer(offsets, np.int32)[tokens.offset:tokens.offset + len(tokens) + 1].tolist(), kind().itemsize
+    return [np.frombuffer(data, kind, (b - a) // wide, a) if b > a else np.zeros(0, kind)
             for a, b in zip(ends, ends[1:])]
 
 
@@ -329,6 +333,7 @@ def verify(pairs: DataFrame, num: int, den: int) -> DataFrame:
                     # one component needs a chain, not all its pairs
                     a, b = _forest(a, b)
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        give_back()
     return pairs.select("left", "right").mapInArrow(run, "a bigint, b bigint")
 
 

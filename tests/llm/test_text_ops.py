@@ -3,13 +3,14 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from counterfoil.llm import html_text, jaccard_join, language_id, quality_rules, topk_search
+from counterfoil.llm import html_text, jaccard_join, language_id, quality_rules, textnum, topk_search
 from counterfoil.llm.common import pick
 from counterfoil.llm.textnum import Block
 
@@ -352,3 +353,34 @@ def test_sets_are_read_in_the_batch_and_texts_in_small_parts():
     out = list(jaccard_join.block_rows(Docs(), 5, 80, 100, 3)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
     sent = [sum(len(k) for k in b.column("keys").to_pylist()) // 8 for b in out]
     assert len(sent) > 1 and max(sent) < 1 << 19  # no more than the most to send, and a part's keys
+
+
+def test_little_stays_in_a_worker_after_long_texts():
+    texts = pa.array(["word " * 20, "some words " * 300_000])
+    short, long = Block(texts[:1]).word_hashes(), Block(texts).word_hashes()
+    assert long[:20].tolist() == short.tolist() and len(set(long[20:].tolist())) == 2
+    assert sum(p.nbytes for p in textnum._powers.values()) < 10 << 20
+
+
+def test_block_keys_are_read_in_the_batch():
+    class Rows:
+        def __getattr__(self, name):
+            return lambda run, *rest: run if name == "mapInArrow" else self
+    rnd = np.random.default_rng(3)
+    keys, n = rnd.integers(0, 1 << 62, 1 << 17).astype(np.uint64), 32
+    rows = {"keys": pa.array([keys.tobytes()] * n, pa.binary()),
+            "owners": pa.array([np.array([i % 2], np.int64).tobytes() for i in range(n)], pa.binary()),
+            "runs": pa.array([np.array([len(keys)], np.uint32).tobytes()] * n, pa.binary()),
+            "needs": pa.array([np.array([1], np.uint16).tobytes()] * n, pa.binary()),
+            "bucket": pa.array(range(n), pa.int32())}
+    # what a task holds beside the batch is a bucket, not the batch again
+    run = jaccard_join.shared_blocks(Rows(), 1)
+    tracemalloc.start()
+    assert not list(run(iter([pa.RecordBatch.from_pydict(rows)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < keys.nbytes * n / 2  # the batch's keys are 32 MB
+    rows["bucket"] = pa.array([0] * 2 + [1] * (n - 2), pa.int32())
+    out = next(run(iter([pa.RecordBatch.from_pydict(rows).slice(0, 2)])))
+    assert sorted(zip(out["key"].to_pylist(), out["h1"].to_pylist())) == sorted(
+        (int(k), h) for k in set(keys.tolist()) for h in (0, 1))
