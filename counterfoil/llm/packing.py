@@ -41,6 +41,8 @@ from .common import cut, pick, table
 from .textnum import map_blocks
 
 CAPACITY = 4096
+#: Bytes of text that a task tokenizes at a time.
+TEXT_BYTES = 1 << 20
 END_ID = 1
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -59,7 +61,7 @@ class WordTokenizer:
 
     _PLAIN = re.compile("[!-~¡-įı-ɏ]+")
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
@@ -106,11 +108,12 @@ class WordTokenizer:
             at = end
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.cached) > self.most:
-            self.cached, self.pieces = {"": b""}, {}
         fresh: set[str] = set()
         for t in texts:
             fresh.update(t.replace("\n", " ").split(" "))
+        if len(self.cached) > self.most:  # frequent words are in these texts too
+            self.cached = {"": b""} | {w: self.cached[w] for w in fresh if w in self.cached}
+            self.pieces = {}
         fresh.difference_update(self.cached.keys())
         self._learn(fresh)
         get = self.cached.__getitem__
@@ -157,7 +160,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
         if with_ids:
             columns["ids"] = pa.array(pieces, pa.binary())
         return pa.RecordBatch.from_pydict(columns)
-    return map_blocks(d, run, PIECES + (", ids binary" if with_ids else ""), size=8 << 20)
+    return map_blocks(d, run, PIECES + (", ids binary" if with_ids else ""), size=TEXT_BYTES)
 
 
 class _Lengths:

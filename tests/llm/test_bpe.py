@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -160,3 +161,38 @@ def test_empty_tables(spark):
     assert packing.pack_documents(empty, WORDS).count() == 0
     assert byte_bpe.encode_documents(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                      public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_task_tokenizes_small_parts(monkeypatch):
+    class Docs:
+        columns = ["doc_id", "text"]
+
+        def mapInArrow(self, run, schema):
+            return run
+    parts, encode_all = [], packing.WordTokenizer.encode_all
+
+    def seen(self, texts):
+        parts.append(sum(map(len, texts)))
+        return encode_all(self, texts)
+    monkeypatch.setattr(packing, "pick", lambda docs, **_: docs)
+    monkeypatch.setattr(packing.WordTokenizer, "encode_all", seen)
+    texts = ["some words of a text " * 500] * 300
+    run = packing.tokenize(Docs(), WORDS)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    ends = sum(b.column("length").to_numpy().sum() for b in run(iter([batch])))
+    assert ends == 300 * (len(Tokenizer.from_file(WORDS).encode(texts[0], add_special_tokens=False).ids) + 1)
+    assert max(parts) <= 1 << 20 and sum(parts) == sum(map(len, texts))
+
+
+def test_a_full_cache_keeps_the_words_in_use():
+    few = packing.WordTokenizer(WORDS, cache=50)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) + " the words, Of every text" for i in range(5)]
+    library = Tokenizer.from_file(WORDS)
+    for t in texts:
+        got = few.encode_all([t])[0]
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode(t, add_special_tokens=False).ids
+        assert len(few.cached) <= 50 + 66
+    learned = []
+    few._learn, learn = lambda words: (learned.extend(words), learn(words)), few._learn
+    few.encode_all(["the words, Of other"])
+    assert learned == ["other"]
