@@ -93,47 +93,40 @@ def admit_timeline(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
     """
     ensure_checkpoint_dir(validated.sparkSession)
     runs = _in_order(runs)
-    waits = validated.filter(F.col("reason").isNull() & (F.col("order_type") == "Collection")).select("seq", "due_day")
+    back = F.when(F.col("reason").isNull() & (F.col("order_type") == "Collection"),
+                  return_run(runs, F.col("seq"), F.col("due_day"), days))
+    verdicts = validated.select("seq", "reason", back.alias("back"))
     if collected is not None:
-        waits = waits.join(collected.select("seq"), "seq", "left_anti")
-    back = waits.select("seq", return_run(runs, F.col("seq"), F.col("due_day"), days).alias("back"))
-    verdicts = validated.select("seq", "reason").join(
-        back.filter(F.col("back").isNotNull()), "seq", "left").checkpoint(eager=True)
+        gone = collected.select("seq").distinct().withColumn("_gone", F.lit(True))
+        verdicts = verdicts.join(gone, "seq", "left").select(
+            "seq", "reason", F.when(F.col("_gone").isNull(), F.col("back")).alias("back"))
+    verdicts = stored(verdicts)
 
     older = None
     if pending is not None:
-        older = (pending.select("product_id", "quantity", return_run(runs, F.lit(None).cast("bigint"), F.col("collection_date"), days)
-                                .alias("back")).filter(F.col("back").isNotNull())
-                 .groupBy("product_id", "back").agg(F.sum("quantity").cast("bigint").alias("qty")).checkpoint(eager=True))
-    eligible = verdicts.filter(F.col("reason").isNull())
-    demand = contested_demand(lines, eligible, inventory)
-    most = F.col("stock")
-    if older is not None:
-        demand = demand.join(older.groupBy("product_id").agg(F.sum("qty").alias("_older")), "product_id", "left")
-        most = most + F.coalesce(F.col("_older"), F.lit(0))
-    demand = demand.withColumn("_most", most).checkpoint(eager=True)
-    hopeless = demand.filter(F.col("qty") > F.col("_most")).select("seq").distinct()
-    contenders = demand.join(hopeless, "seq", "left_anti").select("seq", "product_id", "qty", "stock")
+        older = stored(pending.select("product_id", "quantity", return_run(runs, F.lit(None).cast("bigint"), F.col("collection_date"), days)
+                                      .alias("back")).filter(F.col("back").isNotNull())
+                       .groupBy("product_id", "back").agg(F.sum("quantity").cast("bigint").alias("qty")))
 
     # places: even for requests, odd for the runs between them
-    order = dense_index(contenders.select("seq").distinct(), "seq", "_at").withColumn("at", F.col("_at") * 2).checkpoint(eager=True)
+    eligible = verdicts.filter(F.col("reason").isNull()).select("seq", "back")
+    order = dense_index(eligible, "seq", "_at").withColumn("at", F.col("_at") * 2)
     earlier = {r["runs"]: r["n"] for r in order.groupBy(count_below(F.col("seq"), [r.after_seq for r in runs]).alias("runs"))
                .agg(F.count(F.lit(1)).alias("n")).collect()}           # a row a run
     place = [2 * n + 1 for n in accumulate(earlier.get(i, 0) for i in range(len(runs)))]
-    state = (contenders.join(order.select("seq", "at"), "seq").join(eligible.select("seq", "back"), "seq")
-             .select("seq", "at", "product_id", "qty", "stock", _at(place, F.col("back")).alias("back_at"),
-                     F.lit(OPEN).alias("st")))
-    state = stored(state)
+    order = order.select("seq", "at", _at(place, F.col("back")).alias("back_at"))
+    state = stored(contested_demand(lines, order, inventory).withColumn("st", F.lit(OPEN)))
     if older is not None:
         older_back = stored(older.join(state.select("product_id").distinct(), "product_id", "left_semi").select(
             "product_id", _at(place, F.col("back")).alias("at"), "qty"))
     else:
         older_back = None
 
-    open_lines, last = state.agg(F.count(F.lit(1)), F.max("at")).first()
+    open_lines, first, last = state.agg(F.count(F.lit(1)), F.min("at"), F.max("at")).first()
     parallel = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = first_width(open_lines, (last or 0) + 1, parallel, FOLD_LINES)
-    rejected, rounds, files = [hopeless], 0, []
+    width = wider(state, first_width(open_lines, last - first + 1, parallel, FOLD_LINES),
+                  FOLD_LINES, parallel) if open_lines else 1
+    rejected, rounds, files = [], 0, []
     while open_lines:
         if rounds:
             width = wider(state, width, FOLD_LINES)
@@ -152,10 +145,10 @@ def admit_timeline(validated: DataFrame, lines: DataFrame, inventory: DataFrame,
             raise RuntimeError("timeline round made no progress")  # impossible by construction
         open_lines = seen.get["open"]
 
-    refused = fold_rejected(rejected).withColumn("_stock", F.lit(True))
+    refused = (fold_rejected(rejected) if rejected else verdicts.select("seq").limit(0)).withColumn("_stock", F.lit(True))
     days_of = F.array(*[F.lit(r.as_of) for r in runs]) if runs else F.array().cast("array<date>")
     reason = F.when(F.col("reason").isNull() & F.col("_stock").isNotNull(), "stock").otherwise(F.col("reason"))
-    decided = verdicts.join(refused, "seq", "left").withColumn("reason", reason).checkpoint(eager=True)
+    decided = stored(verdicts.join(refused, "seq", "left").withColumn("reason", reason))
     accepted = F.col("reason").isNull()
     decisions = decided.select("seq", accepted.alias("accepted"), "reason",
                                F.when(accepted, F.get(days_of, F.col("back").cast("int"))).alias("cancelled_on"))

@@ -6,9 +6,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from counterfoil.functions.dates import DEFAULT_REFERENCE_DATE as REFERENCE
 from counterfoil.operators import blocks
 from counterfoil.operators import intake as I
 from counterfoil.operators.admission import admit_orders
+from counterfoil.operators.timeline import ExpiryRun, admit_timeline
 from counterfoil.plans import jobs
 from counterfoil.sources.schemas import REQUESTS
 from counterfoil.tables import Tables
@@ -118,3 +120,10 @@ def _counted(spark):
 def test_verdicts_are_read_once_by_admission(spark):
     seen, rows, lines, inventory, read = _counted(spark)
     assert len(admit_orders(seen, lines, inventory).decisions.collect()) == rows == read.value
+
+
+def test_verdicts_are_read_once_in_the_timeline(spark):
+    seen, rows, lines, inventory, read = _counted(spark)
+    collected = spark.createDataFrame([(1,), (1,)], "seq long")
+    got = admit_timeline(seen, lines, inventory, [ExpiryRun(3, REFERENCE)], collected).decisions.collect()
+    assert read.value == rows == len(got)
