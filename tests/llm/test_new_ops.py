@@ -93,6 +93,24 @@ def test_suffix_sort_survives_hash_collisions():
         assert same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
 
 
+def test_windows_of_equal_bytes_are_not_compared():
+    """Copies, and windows that differ in their first bytes, meet no comparison of the mergesort."""
+    rnd = random.Random(5)
+    text = "".join(f"{rnd.random():.9f}"[2:] for _ in range(300))
+    data = np.frombuffer((text * 3).encode(), np.uint8)
+    at = np.arange(len(data) - 50)
+    compared = []
+
+    class Counting(suffix_dedup.SuffixSort):
+        def less(self, a, b):
+            compared.append(len(a))
+            return super().less(a, b)
+    order, same = Counting(data, 50).order(at, np.zeros(len(at), np.int64))
+    keys = [data[i:i + 50].tobytes() for i in order]
+    assert keys == sorted(keys) and same.sum() == len(at) - len(set(keys))
+    assert sum(compared) < len(at)
+
+
 def test_common_extension_by_prefix_hashes():
     data = np.frombuffer(b"abcabcabd" * 9, np.uint8)
     sort = suffix_dedup.SuffixSort(data, 20)
