@@ -84,6 +84,14 @@ def test_few_orders_of_a_block_go_on_one_by_one(monkeypatch):
     assert got.num_rows == 0 and not seen
 
 
+def test_lines_of_an_order_on_one_product_are_one():
+    rows = [(5, 5, 1, 4, 7, None, "O"), (5, 5, 1, 4, 7, None, "O"), (6, 6, 1, 3, 7, None, "O"), (6, 6, 1, 4, 7, None, "O"),
+            (7, 7, 2, 2, 9, 8, "O"), (7, 7, 2, 2, 9, 8, "O")]
+    got = blocks._judge(_table(rows, LINES), _table([(0, 1, None, 0, 0, 5), (0, 2, None, 0, 6, 0)], STARTS)).to_pylist()
+    assert sorted((r["at"], r["qty"], r["back_at"], r["st"]) for r in got if r["st"] != "R") == [(6, 7, None, "A"), (7, 4, 8, "O")]
+    assert {r["seq"] for r in got if r["st"] == "R"} == {5}
+
+
 def _requests(spark):
     t = Tables.from_rows(spark, inventory=INVENTORY_A, staff=STAFF[:2])
     return t, spark.createDataFrame(REQUESTS_A, REQUESTS)
